@@ -145,7 +145,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("linear").alias("m"), (target * 0.3 + noise).alias("p")),
-                F.struct(F.lit("coarse").alias("m"), F.round(target * 20.0 + noise) / 20.0),
+                F.struct(F.lit("coarse").alias("m"), (F.round(target * 20.0 + noise) / 20.0).alias("p")),
             )
         ).alias("x"),
     )

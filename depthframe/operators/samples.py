@@ -122,10 +122,17 @@ def chunked(rows: DataFrame, context: int, size: int = CHUNK_ROWS) -> DataFrame:
     return out
 
 
-def window_samples(rows: DataFrame, history: int, size: int = CHUNK_ROWS) -> DataFrame:
-    """``window`` = the ``history`` feature vectors ending at (and including) each anchor."""
+def window_samples(
+    rows: DataFrame, history: int, size: int = CHUNK_ROWS, keys: list[str] | None = None
+) -> DataFrame:
+    """``window`` = the ``history`` feature vectors ending at (and including) each anchor.
+
+    ``keys`` names further columns that separate copies of a session, such as its fold.
+    """
     frame = (
-        Window.partitionBy(*KEY, "chunk").orderBy("row_no").rowsBetween(-(history - 1), 0)
+        Window.partitionBy(*KEY, *(keys or []), "chunk")
+        .orderBy("row_no")
+        .rowsBetween(-(history - 1), 0)
     )
     out = chunked(rows, history - 1, size).withColumn(
         "window", F.collect_list("features").over(frame)

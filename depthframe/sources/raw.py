@@ -34,11 +34,17 @@ def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def source_fingerprint(fingerprints: DataFrame) -> DataFrame:
-    """One hash over the set of file hashes, independent of file order."""
-    hashes = F.array_join(F.sort_array(F.collect_list("sha256")), ",")
-    return fingerprints.agg(
-        F.count(F.lit(1)).alias("file_count"), F.sha2(hashes, 256).alias("source_hash")
+    """One hash over the set of file hashes, independent of file order.
+
+    Hashed in two steps over fixed prefix buckets, so no task holds all file hashes.
+    """
+    def joined(name: str) -> Column:
+        return F.sha2(F.array_join(F.sort_array(F.collect_list(name)), ","), 256)
+
+    buckets = fingerprints.groupBy(F.substring("sha256", 1, 3).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.concat("bucket", joined("sha256")).alias("h")
     )
+    return buckets.agg(F.sum("n").alias("file_count"), joined("h").alias("source_hash"))
 
 
 def apply_column_mapping(df: DataFrame, mapping: dict[str, str] | None) -> DataFrame:

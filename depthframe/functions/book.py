@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,73 +20,72 @@ def is_finite(x: Column) -> Column:
     return F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))
 
 
-def finite_or_null(x: Column) -> Column:
-    return F.when(is_finite(x), x)
-
-
-def safe_ratio(num: Column, den: Column) -> Column:
-    return F.when(is_finite(num) & is_finite(den) & (den != 0.0), num / den)
+# Wide rules are written as SQL text: one parsed expression instead of hundreds of column
+# objects keeps building a plan fast.
+_ALL_LEVELS = ", ".join(BOOK_COLUMNS)
+_BID, _ASK = "coalesce(BIDp1 > 0, false)", "coalesce(ASKp1 > 0, false)"
+_CROSSED = f"({_BID} AND {_ASK} AND BIDp1 > ASKp1)"
 
 
 def has_any_book_value() -> Column:
-    return F.coalesce(*[F.col(c) for c in BOOK_COLUMNS]).isNotNull()
+    return F.expr(f"coalesce({_ALL_LEVELS}) IS NOT NULL")
 
 
 def whole_book_missing() -> Column:
-    return F.coalesce(*[F.col(c) for c in BOOK_COLUMNS]).isNull()
-
-
-def _positive(name: str) -> Column:
-    return F.coalesce(F.col(name) > 0, F.lit(False))
+    return F.expr(f"coalesce({_ALL_LEVELS}) IS NULL")
 
 
 def bid_side_valid() -> Column:
-    return _positive("BIDp1")
+    return F.expr(_BID)
 
 
 def ask_side_valid() -> Column:
-    return _positive("ASKp1")
+    return F.expr(_ASK)
 
 
 def crossed() -> Column:
-    return bid_side_valid() & ask_side_valid() & (F.col("BIDp1") > F.col("ASKp1"))
+    return F.expr(_CROSSED)
+
+
+def _out_of_order(near: str, far: str, wrong: str) -> str:
+    return f"coalesce({near} > 0 AND {far} > 0 AND {near} {wrong} {far}, false)"
+
+
+_LEVEL_ORDER = " OR ".join(
+    _out_of_order(f"{side}p{i}", f"{side}p{i + 1}", wrong)
+    for i in range(1, LEVELS)
+    for side, wrong in (("BID", "<"), ("ASK", ">"))
+)
 
 
 def level_order_violation() -> Column:
     """Bids must not rise and asks must not fall away from the touch."""
-    rules = []
-    for near in range(1, LEVELS):
-        for side in ("BID", "ASK"):
-            a, b = f"{side}p{near}", f"{side}p{near + 1}"
-            wrong = F.col(a) < F.col(b) if side == "BID" else F.col(a) > F.col(b)
-            rules.append(_positive(a) & _positive(b) & wrong)
-    return reduce(or_, rules)
+    return F.expr(_LEVEL_ORDER)
+
+
+def _any_negative(columns: list[str]) -> str:
+    return f"coalesce(least({', '.join(columns)}) < 0, false)"
 
 
 def negative_price() -> Column:
-    return F.coalesce(F.least(*[F.col(c) for c in PRICE_COLUMNS]) < 0, F.lit(False))
+    return F.expr(_any_negative(PRICE_COLUMNS))
 
 
 def negative_size() -> Column:
-    return F.coalesce(F.least(*[F.col(c) for c in SIZE_COLUMNS]) < 0, F.lit(False))
+    return F.expr(_any_negative(SIZE_COLUMNS))
 
 
 def mid_price() -> Column:
-    bid, ask = bid_side_valid(), ask_side_valid()
-    return (
-        F.when(bid & ask & ~crossed(), (F.col("BIDp1") + F.col("ASKp1")) / 2.0)
-        .when(bid & ~ask, F.col("BIDp1"))
-        .when(ask & ~bid, F.col("ASKp1"))
+    return F.expr(
+        f"CASE WHEN {_BID} AND {_ASK} AND NOT {_CROSSED} THEN (BIDp1 + ASKp1) / 2.0D"
+        f" WHEN {_BID} AND NOT {_ASK} THEN BIDp1 WHEN {_ASK} AND NOT {_BID} THEN ASKp1 END"
     )
 
 
 def book_valid() -> Column:
-    return (
-        (bid_side_valid() | ask_side_valid())
-        & ~crossed()
-        & ~level_order_violation()
-        & ~negative_size()
-        & ~negative_price()
+    return F.expr(
+        f"({_BID} OR {_ASK}) AND NOT {_CROSSED} AND NOT ({_LEVEL_ORDER})"
+        f" AND NOT {_any_negative(SIZE_COLUMNS)} AND NOT {_any_negative(PRICE_COLUMNS)}"
     )
 
 
@@ -98,40 +94,46 @@ def time_of_day(ts: Column) -> Column:
     return F.substring(ts.cast("string"), 12, 15)
 
 
-def _null_as_zero_sum(terms: list[Column]) -> Column:
-    return reduce(add, [F.coalesce(t, F.lit(0.0)) for t in terms])
+def finite_sql(x: str) -> str:
+    """Text form of ``is_finite``."""
+    return f"coalesce(abs({x}) < double('infinity'), false)"
+
+
+def _finite_or_null(x: str) -> str:
+    return f"CASE WHEN {finite_sql(x)} THEN {x} END"
+
+
+def _safe_ratio(num: str, den: str) -> str:
+    return f"CASE WHEN {finite_sql(num)} AND {finite_sql(den)} AND {den} <> 0 THEN {num} / {den} END"
+
+
+def _null_as_zero_sum(terms: list[str]) -> str:
+    return "(" + " + ".join(f"coalesce({t}, 0D)" for t in terms) + ")"
 
 
 def derived_features() -> dict[str, Column]:
     """Name -> expression for the eleven optional features."""
-    p = {c: F.col(c) for c in BOOK_COLUMNS}
     levels = range(1, LEVELS + 1)
-    bid_depth = _null_as_zero_sum([p[f"BIDs{i}"] for i in levels])
-    ask_depth = _null_as_zero_sum([p[f"ASKs{i}"] for i in levels])
-    touch_size = p["BIDs1"] + p["ASKs1"]
-    spread = p["ASKp1"] - p["BIDp1"]
-    depth_balance = safe_ratio(bid_depth - ask_depth, bid_depth + ask_depth)
+    bid_depth = _null_as_zero_sum([f"BIDs{i}" for i in levels])
+    ask_depth = _null_as_zero_sum([f"ASKs{i}" for i in levels])
+    touch_size, spread = "(BIDs1 + ASKs1)", "(ASKp1 - BIDp1)"
+    depth_balance = _safe_ratio(f"({bid_depth} - {ask_depth})", f"({bid_depth} + {ask_depth})")
     # Depth regressed on level 1..5: the centred levels have squared sum 10.
-    slope = _null_as_zero_sum(
-        [F.lit(float(i - 3)) * (p[f"BIDs{i}"] + p[f"ASKs{i}"]) for i in levels]
-    )
-    ask_widening = p["ASKp5"] - p["ASKp1"]
-    bid_widening = p["BIDp1"] - p["BIDp5"]
-    return {
-        "spread": finite_or_null(spread),
-        "relative_spread": safe_ratio(spread, (p["ASKp1"] + p["BIDp1"]) / 2.0),
-        "mid_price": finite_or_null(F.col("mid_price")),
-        "microprice": safe_ratio(
-            p["ASKp1"] * p["BIDs1"] + p["BIDp1"] * p["ASKs1"], touch_size
-        ),
-        "l1_imbalance": safe_ratio(p["BIDs1"] - p["ASKs1"], touch_size),
+    slope = _null_as_zero_sum([f"{i - 3}D * (BIDs{i} + ASKs{i})" for i in levels])
+    text = {
+        "spread": _finite_or_null(spread),
+        "relative_spread": _safe_ratio(spread, "((ASKp1 + BIDp1) / 2D)"),
+        "mid_price": _finite_or_null("mid_price"),
+        "microprice": _safe_ratio("(ASKp1 * BIDs1 + BIDp1 * ASKs1)", touch_size),
+        "l1_imbalance": _safe_ratio("(BIDs1 - ASKs1)", touch_size),
         "l5_imbalance": depth_balance,
-        "bid_depth": finite_or_null(bid_depth),
-        "ask_depth": finite_or_null(ask_depth),
+        "bid_depth": _finite_or_null(bid_depth),
+        "ask_depth": _finite_or_null(ask_depth),
         "depth_imbalance": depth_balance,
-        "price_slope": finite_or_null((ask_widening + bid_widening) / 8.0),
-        "volume_slope": finite_or_null(slope / 10.0),
+        "price_slope": _finite_or_null("(((ASKp5 - ASKp1) + (BIDp1 - BIDp5)) / 8D)"),
+        "volume_slope": _finite_or_null(f"({slope} / 10D)"),
     }
+    return {name: F.expr(t) for name, t in text.items()}
 
 
 def select_features(derived: list[str] | None = None) -> list[str]:

@@ -175,7 +175,7 @@ def drawn_blocks(sessions: DataFrame, session: list[str], draws: int, block: int
     left = F.col("_size") - F.col("_block") * F.col("_len")
     out = out.withColumn("_lo", lo)
     out = out.withColumn("_hi", F.col("_lo") + F.least(F.col("_len"), left))
-    return out.select(*session, "_draw", "_lo", "_hi", "_size")
+    return out.select(*session, "_draw", "_lo", "_hi")
 
 
 def _large_sessions(rows, session, group, sample_order, draws, block, schema) -> DataFrame:
@@ -184,7 +184,9 @@ def _large_sessions(rows, session, group, sample_order, draws, block, schema) ->
     Blocks are drawn by Spark and sent to the chunk of rows that holds their start; each
     chunk carries the ``block - 1`` rows after it, so every block finds all its rows.
     """
-    placed = running_total(rows, session, sample_order, F.lit(1).cast("bigint"), "_pos")
+    placed = running_total(
+        rows.drop("_size"), session, sample_order, F.lit(1).cast("bigint"), "_pos"
+    )
     own = F.expr(f"_pos DIV {CHUNK_ROWS}")
     needed_by_previous = (F.col("_pos") % CHUNK_ROWS < block - 1) & (own > 0)
     placed = placed.withColumn(
@@ -208,7 +210,10 @@ def _large_sessions(rows, session, group, sample_order, draws, block, schema) ->
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     empty = pa.schema([(f.split()[0], kinds.get(f.split()[1], pa.string())) for f in schema.split(", ")])
     keys = [*session, "_chunk"]
-    return placed.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(chunk_sums, schema)
+    # New names keep the two sides of the grouping apart: both derive from the same rows.
+    other = [f"_of_{c}" for c in keys]
+    blocks = blocks.select(*[F.col(k).alias(o) for k, o in zip(keys, other)], "_draw", "_lo", "_hi")
+    return placed.groupBy(*keys).cogroup(blocks.groupBy(*other)).applyInArrow(chunk_sums, schema)
 
 
 def _estimates() -> dict[str, Column]:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from depthframe.schema import KEY, RAW_COLUMNS, require
 
 
 def all_finite(names: list[str]) -> Column:
-    return reduce(and_, [book.is_finite(F.col(c)) for c in names])
+    return F.expr(" AND ".join(book.finite_sql(f"`{c}`") for c in names))
 
 
 def add_features(timeline: DataFrame, derived: list[str] | None = None) -> DataFrame:

@@ -69,7 +69,7 @@ def storage_rows(df: DataFrame, outputs: list[str], target_column: str) -> DataF
         "global_index",
         "session_start_index",
         "row_no",
-        F.array(*[F.col(c).cast("float") for c in outputs]).alias("features"),
+        F.expr("array(" + ", ".join(f"float(`{c}`)" for c in outputs) + ")").alias("features"),
         F.col(target_column).cast("float").alias("target"),
         "row_valid",
         _true("target_valid").alias("target_valid"),

@@ -60,10 +60,13 @@ WHOLE = Slicing()
 def choose_slicing(snapshots: DataFrame, max_rows: int = 4_000_000) -> Slicing:
     """Widest slice whose fullest (session, slice) group stays within ``max_rows``.
 
-    Sessions stay whole if the fullest one fits, which a single count settles. Only key
-    and time columns are read, and counts are combined before the exchange. One second is
-    the floor: it can hold at most a million distinct microsecond timestamps.
+    Sessions stay whole if the whole input or the fullest session fits, which one or two
+    counts settle. Only key and time columns are read, and counts are combined before the
+    exchange. One second is the floor: it can hold at most a million distinct microsecond
+    timestamps.
     """
+    if snapshots.count() <= max_rows:
+        return WHOLE
     for width in SLICE_WIDTHS:
         slicing = Slicing(width)
         groups = slicing.add(snapshots.select(*KEY, "timestamp")).groupBy(*slicing.keys).count()

@@ -126,7 +126,7 @@ def complete_timeline(
     )
     rows = rows.withColumns(
         {
-            c: F.when(F.col("is_ffilled"), F.col("_source")[c]).when(~on_grid_only, F.col(c))
+            c: F.expr(f"CASE WHEN is_ffilled THEN _source.{c} WHEN _j IS NULL THEN {c} END")
             for c in RAW_COLUMNS
         }
     )

@@ -24,7 +24,8 @@ def r(x: Column | str, digits: int = 6) -> Column:
 
 def rounded(names: list[str], digits: int = 6) -> list[Column]:
     # ``amount`` has seven decimals by construction, so rounding to six would meet ties.
-    return [r(F.col(n), 7 if n == "amount" else digits).alias(n) for n in names]
+    places = {n: 7 if n == "amount" else digits for n in names}
+    return [F.expr(f"round({n}, {places[n]}) + 0D").alias(n) for n in names]
 
 
 def text(name: str) -> Column:

@@ -6,7 +6,7 @@ fixed test parameters: which events are faulty and how long sessions, grid and w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthframe.operators.features import add_features
@@ -44,41 +44,34 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as one raw snapshot, with five kinds of injected fault."""
-    e = events(spark, sf_dir)
-    ident, fault = F.col("event_id"), F.col("event_id") % 50
-    m = F.col("m")
-
-    def unless_empty(x: Column) -> Column:
-        return F.when(fault != 7, x)
-
-    def bid(x: Column) -> Column:
-        return F.when(~fault.isin(7, 11), x)
-
     columns = {}
     for i in range(1, LEVELS + 1):
-        ask_price, bid_price = m + 0.01 * i, m - 0.01 * i
+        ask, bid = f"m + 0.01D * {i}", f"m - 0.01D * {i}"
         if i == 1:
-            bid_price = F.when(fault == 13, m + 0.03).otherwise(bid_price)
+            bid = f"if(fault = 13, m + 0.03D, {bid})"
         if i == 2:
-            ask_price = F.when(fault == 17, m + 0.005).otherwise(ask_price)
-        bid_size = (100 + (ident * (i + 5)) % 41).cast("double")
-        columns[f"ASKp{i}"] = unless_empty(ask_price)
-        columns[f"ASKs{i}"] = unless_empty((100 + (ident * (i + 2)) % 37).cast("double"))
-        columns[f"BIDp{i}"] = bid(bid_price)
-        columns[f"BIDs{i}"] = bid(F.when(fault == 19, F.lit(-1.0)).otherwise(bid_size))
-    price = F.lit(100.0) + (ident % 97) * F.lit(0.01) + F.col("value") / 1000.0
+            ask = f"if(fault = 17, m + 0.005D, {ask})"
+        ask_size = f"double(100 + (event_id * {i + 2}) % 37)"
+        bid_size = f"if(fault = 19, -1D, double(100 + (event_id * {i + 5}) % 41))"
+        columns[f"ASKp{i}"] = f"if(fault <> 7, {ask}, NULL)"
+        columns[f"ASKs{i}"] = f"if(fault <> 7, {ask_size}, NULL)"
+        columns[f"BIDp{i}"] = f"if(fault NOT IN (7, 11), {bid}, NULL)"
+        columns[f"BIDs{i}"] = f"if(fault NOT IN (7, 11), {bid_size}, NULL)"
     return (
-        e.select("event_id", "ts", "value", price.alias("m"))
-        .withColumns(columns)
-        .select(
-            F.when(ident % 2 == 0, "T0").otherwise("T1").alias("ticker"),
-            F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("raw_time"),
-            F.lit("events.parquet").alias("file"),
-            ident.alias("row_index"),
-            *columns,
-            m.alias("last"),
-            (F.col("value") * 10.0).alias("volume"),
-            (F.col("value") * m).alias("amount"),
+        events(spark, sf_dir)
+        .selectExpr(
+            "event_id", "ts", "value", "event_id % 50 AS fault",
+            "100D + (event_id % 97) * 0.01D + value / 1000D AS m",
+        )
+        .selectExpr(
+            "if(event_id % 2 = 0, 'T0', 'T1') AS ticker",
+            "CAST(date_trunc('minute', ts) AS timestamp_ntz) AS raw_time",
+            "'events.parquet' AS file",
+            "event_id AS row_index",
+            *[f"{e} AS {c}" for c, e in columns.items()],
+            "m AS last",
+            "value * 10D AS volume",
+            "value * m AS amount",
         )
     )
 

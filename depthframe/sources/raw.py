@@ -81,7 +81,7 @@ def restore_time_index(df: DataFrame, index_column: str | None = None) -> DataFr
 
 def lenient_double(name: str) -> Column:
     """Non-castable text and NaN become null; infinities stay and fail the finite checks."""
-    return F.nanvl(F.col(name).try_cast("double"), F.lit(None).cast("double"))
+    return F.expr(f"nanvl(try_cast(`{name}` AS double), CAST(NULL AS double))").alias(name)
 
 
 def parse_date(text: Column) -> Column:
@@ -158,7 +158,7 @@ def prepare_snapshots(
         "timestamp",
         "file",
         "row_index",
-        *[lenient_double(c).alias(c) for c in RAW_COLUMNS],
+        *[lenient_double(c) for c in RAW_COLUMNS],
     )
 
 

@@ -107,7 +107,8 @@ def parse_timestamp(df: DataFrame, fallback_date: Column) -> Column:
         return ts.cast("timestamp_ntz")
     text = F.trim(ts)
     clock = text.rlike(r"^\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?$")
-    on_day = F.concat(fallback_date.cast("string"), F.lit(" "), F.rpad(text, 5, ":00"))
+    minutes = F.when(F.length(text) == 2, F.concat(text, F.lit(":00"))).otherwise(text)
+    on_day = F.concat(fallback_date.cast("string"), F.lit(" "), minutes)
     bare = F.regexp_replace(text, r"(Z|(?<=[0-9])[+-]\d{2}:?\d{2}(:\d{2})?)$", "")
     bare = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).otherwise(bare)
     bare = F.regexp_replace(bare, r"^(\d{4})(\d{2})(\d{2})(?=$|T)", "$1-$2-$3")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthframe.functions.book import is_finite
@@ -28,11 +28,12 @@ def add_labels(
     """Append ``future_timestamp, future_mid``, both returns and ``target_valid``.
 
     Each row plays two parts: a question at t + horizon and, if its mid is valid, an
-    answer at t. Both are put on one axis per session and ordered windows pick the last
-    answer at or before and the first at or after each question; the nearer wins, the later
-    on a tie. Splitting a row into its parts keeps the session partitioning, so no join
-    and no extra exchange is needed. In sliced mode an answer is also copied to the
-    slices its tolerance reaches, which covers every match that can count.
+    answer at t. Both are put on one axis per session; one ordered window gives each
+    question the last answer at or before it and the first after it; the nearer wins, the
+    later on a tie. Splitting a row into its parts keeps the session partitioning, so no join
+    and no extra exchange is needed, and the wide row travels packed with its question only.
+    In sliced mode an answer is also copied to the slices its tolerance reaches, which
+    covers every match that can count.
     """
     require(timeline, [*KEY, "timestamp", "mid_price", "book_valid"], "label input")
     if horizon_seconds <= 0 or tolerance_seconds < 0:
@@ -45,7 +46,7 @@ def add_labels(
     ts = F.col("timestamp")
     asked_at = ts + F.expr(f"INTERVAL '{horizon_seconds}' SECOND")
 
-    # (axis time, slice, is_question); the wide row travels with the question only.
+    # (axis time, slice, is_question)
     question = F.array(F.struct(asked_at.alias("at"), slicing.of(asked_at).alias("s"), F.lit(True).alias("q")))
     reach = F.sequence(slicing.of(ts - tol), slicing.of(ts + tol))
     answers = F.when(
@@ -63,18 +64,20 @@ def add_labels(
             ~is_question,
             F.struct(F.col("timestamp").alias("ts"), F.col("mid_price").alias("mid")),
         ).alias("_answer"),
-        *[F.when(is_question, F.col(c)).alias(c) for c in payload],
+        F.when(is_question, F.struct(*payload)).alias("_row"),
     )
     keys = KEY if slicing.seconds is None else [*KEY, "_slice"]
-    frame = (Window.unboundedPreceding, 0)
-    # Answers sort before the question of the same instant in both directions.
-    up = Window.partitionBy(*keys).orderBy(F.col("_at"), F.col("_q")).rowsBetween(*frame)
-    down = Window.partitionBy(*keys).orderBy(F.col("_at").desc(), F.col("_q")).rowsBetween(*frame)
-    last_answer = F.last("_answer", ignorenulls=True)
+    # Answers sort before the question of the same instant, so they count as "before".
+    order = f"PARTITION BY {', '.join(keys)} ORDER BY _at, _q"
     found = (
-        parts.withColumn("_before", last_answer.over(up))
-        .withColumn("_after", last_answer.over(down))
+        parts.withColumns(
+            {
+                "_before": F.expr(f"last(_answer, true) OVER ({order} ROWS UNBOUNDED PRECEDING)"),
+                "_after": F.expr(f"lead(_answer, 1) IGNORE NULLS OVER ({order})"),
+            }
+        )
         .filter("_q")
+        .select(*KEY, "_at", "_before", "_after", "_row.*")
     )
     before, after, at = F.col("_before"), F.col("_after"), F.col("_at")
     nearest = F.when(before.isNull(), after).when(after.isNull(), before).otherwise(

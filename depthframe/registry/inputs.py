@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from depthframe.operators.features import add_features
 from depthframe.operators.labels import add_labels
 from depthframe.operators.normalize import CausalStandardizer
+from depthframe.operators.ranks import ensure_checkpoint_dir
 from depthframe.operators.samples import (
     add_global_index,
     add_row_valid,
@@ -121,6 +122,12 @@ def dataset_rows(spark: SparkSession, sf_dir: str, features: list[str] | None =
     return storage_rows(add_global_index(marked, offsets), outputs, TARGET)
 
 
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dataset_rows`` written once, as a published dataset would be, for plans that read it twice."""
+    ensure_checkpoint_dir(spark)
+    return dataset_rows(spark, sf_dir).checkpoint()
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prediction per event: two models over two folds, with tied and missing values."""
     e = events(spark, sf_dir)

@@ -35,7 +35,7 @@ def _ridge():
 
 def _predict(spark, sf, candidate) -> DataFrame:
     return walkforward.candidate_predictions(
-        inputs.dataset_rows(spark, sf), _plan(spark, sf), candidate, dataset_version="events"
+        inputs.stored_rows(spark, sf), _plan(spark, sf), candidate, dataset_version="events"
     )
 
 
@@ -78,7 +78,7 @@ def batch_scoring(spark, sf):
 
 def walk_forward_summary(spark, sf):
     """Two candidates over every fold, evaluated and summarised per candidate."""
-    rows, plan = inputs.dataset_rows(spark, sf), _plan(spark, sf)
+    rows, plan = inputs.stored_rows(spark, sf), _plan(spark, sf)
     tables = [
         walkforward.candidate_predictions(rows, plan, c, dataset_version="events")
         for c in (ZeroBaseline(), _imbalance())
@@ -92,7 +92,7 @@ def walk_forward_summary(spark, sf):
 
 def dataset_checks(spark, sf):
     """All dataset rules over the derived dataset; every count is zero."""
-    rows, plan = inputs.dataset_rows(spark, sf), _plan(spark, sf)
+    rows, plan = inputs.stored_rows(spark, sf), _plan(spark, sf)
     days = quality.daily_quality(inputs.timeline(spark, sf))
     folds = splits.fold_index(samples.anchors(rows), plan)
     return validation.report(
@@ -106,7 +106,7 @@ def dataset_checks(spark, sf):
 
 def anchor_violations(spark, sf):
     """The fold rules on an index whose anchors all point one row too far."""
-    rows = inputs.dataset_rows(spark, sf)
+    rows = inputs.stored_rows(spark, sf)
     shifted = {c: F.col(c) + 1 for c in ("global_anchor_index", "anchor_index")}
     folds = splits.fold_index(samples.anchors(rows), _plan(spark, sf)).withColumns(shifted)
     wanted = ["anchor window and target valid", "anchor describes its row"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthframe.functions.metrics import P, T, check_metrics, finite_pair
-from depthframe.operators.ranks import rank_correlation, running_total
+from depthframe.operators.ranks import ensure_checkpoint_dir, rank_correlation, running_total
 from depthframe.plans.evaluate import CANDIDATE, SAMPLE, evaluate
 from depthframe.schema import METRICS
 
@@ -258,6 +258,9 @@ def resampled_rank_ic(
     drawn = drawn.withColumn("_pos", F.explode(F.sequence("_lo", F.col("_hi") - 1)))
     drawn = drawn.groupBy(*session, F.col("_draw").alias("draw"), "_pos").agg(F.count(F.lit(1)).alias("_w"))
     chosen = drawn.join(placed, [*session, "_pos"]).filter(finite_pair())
+    # Ranking both sides reads the resamples several times; draw them once.
+    ensure_checkpoint_dir(chosen.sparkSession)
+    chosen = chosen.select(*group, "draw", P, T, "_w").checkpoint()
     return rank_correlation(chosen, [*group, "draw"], P, T, F.col("_w"))
 
 

@@ -130,12 +130,12 @@ def build_dataset(
         processing_config_hash=hashes[1],
         fold_plan_hash=hashes[2],
     )
-    slicing = choose_slicing(snaps)
     files = pkg.Files(spark, output_root)
     final = f"{output_root}/{metadata.dataset_id}"
     if files.exists(f"{final}/{pkg.MARKER}"):
-        return pkg.open_package(spark, final, slicing)
+        return pkg.open_package(spark, final)
 
+    slicing = choose_slicing(snaps)
     # The cleaned timeline feeds three tables, so it is written once in the staging folder.
     staged = pkg.staging_path(output_root)
     clean_path = f"{staged}/_clean"
@@ -151,4 +151,4 @@ def build_dataset(
     rows = pkg.Package(spark, staged, metadata).rows()
     pkg.write_folds(splits.fold_index(anchors(rows), plan), f"{staged}/folds")
     files.delete(clean_path)
-    return pkg.publish(spark, staged, output_root, metadata, slicing)
+    return pkg.publish(spark, staged, output_root, metadata)

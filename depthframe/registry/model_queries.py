@@ -13,6 +13,7 @@ from depthframe.operators.baselines import (
     ZeroBaseline,
     score_windows,
 )
+from depthframe.operators.sessions import choose_slicing
 from depthframe.plans import splits, walkforward
 from depthframe.plans import evaluate as ev
 from depthframe.registry import inputs
@@ -99,7 +100,7 @@ def dataset_checks(spark, sf):
         [
             validation.row_checks(rows, len(inputs.SAMPLE_FEATURES)),
             validation.quality_checks(days, rows),
-            validation.fold_checks(folds, rows, inputs.HISTORY),
+            validation.fold_checks(folds, rows, inputs.HISTORY, choose_slicing(rows)),
         ]
     )
 
@@ -110,7 +111,7 @@ def anchor_violations(spark, sf):
     shifted = {c: F.col(c) + 1 for c in ("global_anchor_index", "anchor_index")}
     folds = splits.fold_index(samples.anchors(rows), _plan(spark, sf)).withColumns(shifted)
     wanted = ["anchor window and target valid", "anchor describes its row"]
-    return validation.fold_checks(folds, rows, inputs.HISTORY).filter(F.col("rule").isin(wanted))
+    return validation.fold_checks(folds, rows, inputs.HISTORY, choose_slicing(rows)).filter(F.col("rule").isin(wanted))
 
 
 def window_violations(spark, sf):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthframe.operators import validation
-from depthframe.operators.sessions import WHOLE, Slicing
+from depthframe.operators.sessions import choose_slicing
 from depthframe.schema import (
     FOLD_INDEX_SCHEMA,
     PREDICTION_SCHEMA,
@@ -105,8 +105,9 @@ class Package:
             raise ValueError(f"no anchors in fold {fold_index} {split}")
         return out
 
-    def checks(self, slicing: Slicing = WHOLE) -> DataFrame:
+    def checks(self) -> DataFrame:
         rows, folds = self.rows(), self.folds()
+        slicing = choose_slicing(rows)
         return validation.report(
             [
                 validation.row_checks(rows, len(self.metadata.feature_columns)),
@@ -164,7 +165,7 @@ def write_folds(folds: DataFrame, path: str) -> None:
     folds.hint("rebalance", "fold_index", "split").write.partitionBy("fold_index", "split").parquet(path)
 
 
-def publish(spark: SparkSession, staged: str, output_root: str, metadata: Metadata, slicing: Slicing = WHOLE) -> Package:
+def publish(spark: SparkSession, staged: str, output_root: str, metadata: Metadata) -> Package:
     """Check the staged tables, then make them visible with one rename."""
     files = Files(spark, output_root)
     final = f"{output_root}/{metadata.dataset_id}"
@@ -172,7 +173,7 @@ def publish(spark: SparkSession, staged: str, output_root: str, metadata: Metada
     package = Package(spark, staged, metadata)
     for name, table in (("rows", package.rows()), ("quality", package.quality()), ("folds", package.folds())):
         validation.check_schema(table, validation.SCHEMAS[name], name)
-    validation.raise_if_broken(package.checks(slicing), "dataset")
+    validation.raise_if_broken(package.checks(), "dataset")
     files.write_text(f"{staged}/{MARKER}", "")
     files.rename(staged, final)
     return Package(spark, final, metadata)
@@ -189,7 +190,7 @@ def load_package(spark: SparkSession, root: str) -> Package:
     return Package(spark, root.rstrip("/"), metadata)
 
 
-def open_package(spark: SparkSession, root: str, slicing: Slicing = WHOLE) -> Package:
+def open_package(spark: SparkSession, root: str) -> Package:
     """Open a published dataset and audit every table."""
     package = load_package(spark, root)
     # Declared schemas hide type drift, so the stored ones are compared first.
@@ -200,7 +201,7 @@ def open_package(spark: SparkSession, root: str, slicing: Slicing = WHOLE) -> Pa
         have = {f.name: f.dataType.simpleString() for f in stored}
         if set(want) != set(have) or any(have[c] != want[c] for c in want if c not in partitions):
             raise ValueError(f"{name} schema differs from the contract")
-    validation.raise_if_broken(package.checks(slicing), "dataset")
+    validation.raise_if_broken(package.checks(), "dataset")
     return package
 
 

@@ -216,36 +216,48 @@ def source_violations(
 ) -> DataFrame:
     """Broken input rules as ``(rule, ticker, subject, violations)``; empty means pass."""
     inside = session_of(F.col("timestamp"), sessions).isNotNull()
-    per_file = prepared.groupBy("ticker", "file").agg(
-        F.count(F.when(F.col("timestamp").isNull(), 1)).alias("unparsed"),
-        F.count_distinct("trade_date").alias("dates"),
-        F.min("trade_date").alias("trade_date"),
-        F.count(F.when(inside, 1)).alias("inside"),
-    )
     by_name = Window.partitionBy("ticker").orderBy("file")
-    per_file = per_file.withColumn("prev_date", F.lag("trade_date").over(by_name))
+    same_date = Window.partitionBy("ticker", "trade_date")
+    per_file = (
+        prepared.groupBy("ticker", "file")
+        .agg(
+            F.count(F.when(F.col("timestamp").isNull(), 1)).alias("unparsed"),
+            F.count_distinct("trade_date").alias("dates"),
+            F.min("trade_date").alias("trade_date"),
+            F.count(F.when(inside, 1)).alias("inside"),
+        )
+        .withColumns(
+            {
+                "prev_date": F.lag("trade_date").over(by_name),
+                "files": F.count(F.lit(1)).over(same_date),
+                "first_of_date": F.row_number().over(same_date.orderBy("file")) == 1,
+            }
+        )
+    )
 
-    def rule(df: DataFrame, name: str, subject: str, n: Column) -> DataFrame:
-        return df.select(
-            F.lit(name).alias("rule"), "ticker", F.col(subject).alias("subject"), n.cast("bigint").alias("violations")
+    def rule(name: str, subject: str, broken: str, n: str = "1") -> Column:
+        return F.expr(
+            f"named_struct('rule', '{name}', 'subject', {subject},"
+            f" 'violations', IF({broken}, bigint({n}), 0L))"
         )
 
-    one = F.lit(1)
-    per_date = per_file.groupBy("ticker", "trade_date").agg(F.count(F.lit(1)).alias("files"))
-    order = order_violations(assign_sessions(prepared, sessions)).filter("order_violations > 0")
-    order = order.withColumn("subject", F.concat_ws(" ", "trade_date", "session_id"))
-    tables = [
-        rule(per_file.filter("unparsed > 0"), "unparseable timestamp", "file", F.col("unparsed")),
-        rule(per_file.filter("dates > 1"), "several trade dates in one file", "file", F.col("dates")),
-        rule(per_file.filter("inside = 0"), "no configured session in file", "file", one),
-        rule(per_file.filter("prev_date > trade_date"), "files not in date order", "file", one),
-        rule(per_date.filter("files > 1"), "several files for one trade date", "trade_date", F.col("files")),
-        rule(order, "timestamps not in order", "subject", F.col("order_violations")),
-    ]
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
+    # All file rules from one aggregate, one output row per broken rule.
+    rules = F.array(
+        rule("unparseable timestamp", "file", "unparsed > 0", "unparsed"),
+        rule("several trade dates in one file", "file", "dates > 1", "dates"),
+        rule("no configured session in file", "file", "inside = 0"),
+        rule("files not in date order", "file", "coalesce(prev_date > trade_date, false)"),
+        rule("several files for one trade date", "trade_date", "files > 1 AND first_of_date", "files"),
+    )
+    files = per_file.select("ticker", F.explode(rules).alias("r")).select("ticker", "r.*")
+    order = order_violations(assign_sessions(prepared, sessions)).select(
+        "ticker",
+        F.lit("timestamps not in order").alias("rule"),
+        F.concat_ws(" ", "trade_date", "session_id").alias("subject"),
+        F.col("order_violations").alias("violations"),
+    )
+    out = files.unionByName(order).filter("violations > 0")
+    return out.select("rule", "ticker", "subject", "violations")
 
 
 def raise_on_violations(violations: DataFrame, what: str) -> None:

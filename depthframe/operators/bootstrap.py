@@ -24,6 +24,7 @@ SEED_STEP, DRAW_STEP, BLOCK_STEP = 1000003, 7919, 104729
 MULTIPLIER, ADDEND, SQUARE_ADDEND = 48271, 11, 12345
 
 MAX_SESSION_ROWS = 200_000
+MAX_DRAWN_ROWS = 5_000_000
 CHUNK_ROWS = 4_096
 SUMS = [
     "n", "abs_error", "sq_error", "p", "t", "pp", "tt", "pt", "nonzero", "hit",
@@ -85,7 +86,7 @@ def _all_blocks(table: pa.Table, n: int, draws: int, block: int):
 
 def _emit(names: list[str], table: pa.Table, sums: np.ndarray) -> pa.Table:
     used = np.flatnonzero(sums[:, 0] > 0)
-    data = {g: pa.array([table[g][0].as_py()] * len(used), table.schema.field(g).type) for g in names}
+    data = {g: pa.repeat(table[g][0], len(used)) for g in names}
     data["draw"] = pa.array(used.astype("int64"))
     data |= {s: pa.array(sums[used, j]) for j, s in enumerate(SUMS)}
     return pa.table(data)
@@ -248,16 +249,51 @@ def resampled_rank_ic(
     method. Each draw is a group of its own, and rows drawn several times carry a weight.
     """
     session = [*group, "trade_date", "session_id"]
-    rows = predictions.select(*session, *[c for c in sample_order if c not in session], P, T)
     fold = F.col("fold_index") if "fold_index" in predictions.columns else F.lit(0)
-    placed = running_total(rows, session, sample_order, F.lit(1).cast("bigint"), "_pos")
-    sizes = rows.groupBy(*session).agg(F.count(F.lit(1)).alias("_size"))
     number = session_number(F.col("ticker"), F.col("trade_date"), F.col("session_id"))
     seeds = {"_seed": (fold + seed).cast("bigint"), "_session": number}
-    drawn = drawn_blocks(sizes.withColumns(seeds), session, draws, block)
-    drawn = drawn.withColumn("_pos", F.explode(F.sequence("_lo", F.col("_hi") - 1)))
-    drawn = drawn.groupBy(*session, F.col("_draw").alias("draw"), "_pos").agg(F.count(F.lit(1)).alias("_w"))
-    chosen = drawn.join(placed, [*session, "_pos"]).filter(finite_pair())
+    extra = [c for c in sample_order if c not in session]
+    rows = predictions.withColumns(seeds).select(*session, *extra, P, T, *seeds)
+    sizes = rows.groupBy(*session, *seeds).agg(F.count(F.lit(1)).alias("_size"))
+    largest = sizes.agg(F.max("_size")).first()[0] or 0
+    # A session's resamples leave one task together, so this bounds their number.
+    limit = max(1, MAX_DRAWN_ROWS // draws)
+    schema = ", ".join(
+        [f"{g} {rows.schema[g].dataType.simpleString()}" for g in group]
+        + ["draw bigint", f"{P} double", f"{T} double", "_w bigint"]
+    )
+
+    def drawn_rows(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in sample_order])
+        p, t = _vectors(table)
+        draw, lo, hi = _all_blocks(table, len(p), draws, block)
+        edges = np.zeros((draws, len(p) + 1), dtype="int64")
+        np.add.at(edges, (draw, lo), 1)
+        np.add.at(edges, (draw, hi), -1)
+        times = np.cumsum(edges, axis=1)[:, :-1] * (np.isfinite(p) & np.isfinite(t))
+        draw, at = np.nonzero(times)
+        data = {g: pa.repeat(table[g][0], len(at)) for g in group}
+        data |= {"draw": pa.array(draw.astype("int64")), P: pa.array(p[at]), T: pa.array(t[at])}
+        return pa.table(data | {"_w": pa.array(times[draw, at])})
+
+    if largest <= limit:
+        chosen = rows.groupBy(*session).applyInArrow(drawn_rows, schema)
+    else:
+        keys = rows.join(sizes.select(*session, "_size"), session)
+        small = keys.filter(F.col("_size") <= limit).drop("_size")
+        large = keys.filter(F.col("_size") > limit).drop("_size")
+        placed = running_total(large, session, sample_order, F.lit(1).cast("bigint"), "_pos")
+        drawn = drawn_blocks(sizes.filter(F.col("_size") > limit), session, draws, block)
+        drawn = drawn.withColumn("_pos", F.explode(F.sequence("_lo", F.col("_hi") - 1)))
+        drawn = drawn.groupBy(*session, F.col("_draw").alias("draw"), "_pos").agg(
+            F.count(F.lit(1)).alias("_w")
+        )
+        joined = drawn.join(placed, [*session, "_pos"]).filter(finite_pair())
+        chosen = (
+            small.groupBy(*session)
+            .applyInArrow(drawn_rows, schema)
+            .unionByName(joined.select(*group, "draw", P, T, "_w"))
+        )
     # Ranking both sides reads the resamples several times; draw them once.
     ensure_checkpoint_dir(chosen.sparkSession)
     chosen = chosen.select(*group, "draw", P, T, "_w").checkpoint()

@@ -135,6 +135,7 @@ def naive_draws(p, t, groups, fold_seed, draws, block, numbers):
 @pytest.mark.parametrize("limit", [200_000, 8])
 def test_bootstrap_against_rows(spark, limit, monkeypatch):
     monkeypatch.setattr(bs, "CHUNK_ROWS", 5)
+    monkeypatch.setattr(bs, "MAX_DRAWN_ROWS", limit * 25)
     rng = np.random.default_rng(2)
     n = 40
     t = rng.normal(size=n)

@@ -169,7 +169,8 @@ def test_imbalance_fit_is_exact(spark):
     with pytest.raises(Exception, match="no training samples"):
         model.fit(rows.withColumn("fold_index", F.lit(2).cast("bigint"))).predict(rows).collect()
     zero = synthetic(spark, 2, np.array([[1, -1], [0, 0]]), [0, 0])
-    assert [r[0] for r in zero.select(bl.imbalance(["BIDs1", "ASKs1"])).collect()] == [0.0, 0.0]
+    got = bl.add_imbalance(zero, ["BIDs1", "ASKs1"]).collect()
+    assert [r["imbalance"] for r in got] == [0.0, 0.0]
 
 
 @pytest.mark.parametrize(("alpha", "chunk"), [(0.0, 65536), (2.5, 65536), (2.5, 16)])

@@ -64,9 +64,9 @@ def causal_zscore(
 ) -> DataFrame:
     """Append ``normalized__<f>`` and ``normalization_valid``.
 
-    A bounded SQL frame re-aggregates all N rows for every row and column, and the
-    constant-time rewrite needs nine window columns per feature, whose generated code is
-    too large for the JIT (both measured, see README). So Spark groups by session, which
+    A bounded SQL frame re-aggregates all N rows for every row and column, and a
+    constant-time rewrite needs nine window columns per feature; both were slower when
+    measured (see README). So Spark groups by session, which
     the timeline's partitioning already satisfies, and each group runs one vectorised
     rolling pass over Arrow columns. In sliced mode a group is a fixed number of rows plus
     the N rows before it.

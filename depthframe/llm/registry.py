@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from depthframe.llm import chat_format, exact_dedup, license_scan
+from depthframe.llm import (
+    chat_format,
+    exact_dedup,
+    language_id,
+    license_scan,
+    packing,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_preference_format": chat_format.op8_preference_format,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from depthframe.llm import (
     chat_format,
+    decontaminate,
     exact_dedup,
     language_id,
     license_scan,
@@ -14,6 +15,7 @@ from depthframe.llm import (
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,

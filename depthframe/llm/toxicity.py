@@ -31,7 +31,10 @@ STEMS = (4, 5, 6)
 GRADES = 3
 #: A feature is telling from this many standard deviations and toxic texts on.
 TELLING_Z, TELLING_TEXTS = 5.0, 6
-COVER = 2
+#: Share of the sampled texts with the feature that must be toxic.
+TELLING_SHARE = 0.9
+#: Features are sought for toxic texts that hold fewer chosen features than this.
+COVER = 8
 REJECT = 0.2
 
 
@@ -85,8 +88,9 @@ def telling(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """
     bad_row = toxic.astype(bool)
     keys, at = np.unique(ids, return_inverse=True)
-    enough = np.bincount(at[bad_row[rows]], minlength=len(keys)) >= TELLING_TEXTS
-    use = enough[at]
+    bad = np.bincount(at[bad_row[rows]], minlength=len(keys))
+    clean = np.bincount(at[~bad_row[rows]], minlength=len(keys))
+    use = ((bad >= TELLING_TEXTS) & (bad >= TELLING_SHARE * (bad + clean)))[at]
     keys, at = np.unique(ids[use], return_inverse=True)
     rows = rows[use]
     clean = np.bincount(at[~bad_row[rows]], minlength=len(keys))
@@ -204,3 +208,14 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return grade(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def clean_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, unchanged and in their partitions."""
+
+    def run(batches):
+        for part in w.slices(batches, text_col):
+            reject = model.above(model.latent(part[text_col]))[:, 0] >= REJECT
+            yield part.filter(pa.array(~reject))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -116,7 +116,7 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         if 2 * span > k:
             return mix(out + U64(k))
         wide = wide[:-span] * power + wide[span:]
-        power, span = power * power, 2 * span
+        power, span = U64(int(power) ** 2 % 2**64), 2 * span
 
 
 def gram_valid(offsets: np.ndarray, k: int) -> np.ndarray:

@@ -6,7 +6,7 @@ row passes straight through. Only the rest, a superset of the true repeats, is s
 grouped by fingerprint, which settles it exactly.
 
 The filter is cut into blocks of 512 bits so that one lookup answers a row, and has 16 to 32 bits
-a row up to ``MAX_BLOCKS`` (16 MB of bits), which bounds the broadcast. Beyond about eight million
+a row up to ``bloom.MAX_BLOCKS`` (16 MB of bits), which bounds the broadcast. Beyond about eight million
 rows the filter is fuller: more rows are shuffled, the result is the same.
 """
 
@@ -15,70 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depthframe.llm import bloom
 from depthframe.llm.common import normal_text, stored, table, whole
 
-BLOCK_BITS = 512
-BITS_PER_ROW = 16
-PROBES = 4
-MAX_BLOCKS = 1 << 18
-
-
 def fingerprint(text: Column) -> Column:
     """SHA-256 of the normalised text, 32 bytes."""
     return F.unhex(F.sha2(F.encode(normal_text(text), "UTF-8"), 256))
 
 
-def block_count(rows: int) -> int:
-    wanted, blocks = max(1, rows * BITS_PER_ROW // BLOCK_BITS), 1
-    while blocks < wanted and blocks < MAX_BLOCKS:
-        blocks *= 2
-    return blocks
-
-
-def _block(sha: Column, blocks: int) -> Column:
-    return F.xxhash64(sha, F.lit(0)).bitwiseAND(F.lit(blocks - 1))
-
-
-def _bits(sha: Column) -> Column:
-    g = F.xxhash64(sha, F.lit(1))
-    return F.array(
-        *[F.shiftright(g, 9 * j).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for j in range(PROBES)]
-    )
-
-
-def repeat_filter(fingerprints: DataFrame, blocks: int) -> DataFrame:
-    """(block, words): the bits that at least two rows set, as 64-bit words. ``sha`` is the input."""
-    bits = fingerprints.select(
-        _block(F.col("sha"), blocks).alias("block"),
-        F.explode(F.array_distinct(_bits(F.col("sha")))).alias("bit"),
-    )
-    twice = bits.groupBy("block", "bit").count().filter("count >= 2")
-    word = [
-        F.coalesce(
-            F.bit_or(
-                F.when(
-                    F.shiftright("bit", 6) == w,
-                    F.expr("shiftleft(1L, bit & 63)"),
-                )
-            ),
-            F.lit(0).cast("bigint"),
-        )
-        for w in range(BLOCK_BITS // 64)
-    ]
-    return twice.groupBy("block").agg(F.array(*word).alias("words"))
-
-
-def mark_possible(rows: DataFrame, repeats: DataFrame, blocks: int) -> DataFrame:
-    """Add ``maybe``: false only if no other row can have the same ``sha``."""
-    joined = (
-        rows.withColumn("block", _block(F.col("sha"), blocks))
-        .withColumn("bits", _bits(F.col("sha")))
-        .join(F.broadcast(repeats), "block", "left")
-    )
-    hit = F.expr("forall(bits, b -> shiftright(words[shiftright(b, 6)], b & 63) & 1 = 1)")
-    return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", "bits", "words")
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -93,8 +37,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.monotonically_increasing_id().alias("rid"),
         )
     )
-    blocks = block_count(prints.count())
-    marked = mark_possible(prints, repeat_filter(prints, blocks), blocks)
+    blocks = bloom.block_count(prints.count())
+    marked = bloom.mark(prints, "sha", bloom.filter_words(prints, "sha", blocks, 2), blocks)
     rank = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("rid"))
     straight = marked.filter("not maybe").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
@@ -125,12 +69,12 @@ def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         whole(docs), F.col(f"`{id_col}`").alias("id"), fingerprint(F.col(f"`{text_col}`")).alias("sha")
     )
     prints = stored(rows.select("id", "sha"))
-    blocks = block_count(prints.count())
-    repeats = stored(repeat_filter(prints, blocks))
-    marked = mark_possible(rows, repeats, blocks)
+    blocks = bloom.block_count(prints.count())
+    repeats = stored(bloom.filter_words(prints, "sha", blocks, 2))
+    marked = bloom.mark(rows, "sha", repeats, blocks)
     rank = F.struct(F.col("id").isNull().alias("last"), F.col("id"))
     winners = (
-        mark_possible(prints, repeats, blocks)
+        bloom.mark(prints, "sha", repeats, blocks)
         .filter("maybe")
         .groupBy("sha")
         .agg(F.min(rank).alias("first"))

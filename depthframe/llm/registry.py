@@ -9,6 +9,7 @@ from depthframe.llm import (
     language_id,
     license_scan,
     packing,
+    set_join,
     token_counts,
     toxicity,
 )
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_jaccard_join": set_join.op4_jaccard_join,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_preference_format": chat_format.op8_preference_format,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_jaccard_join": set_join.SQL,
     "op8_preference_format": chat_format.SQL,
     "op9_license_scan": license_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,

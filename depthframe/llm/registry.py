@@ -10,6 +10,7 @@ from depthframe.llm import (
     license_scan,
     packing,
     set_join,
+    substring_dedup,
     token_counts,
     toxicity,
 )
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_jaccard_join": set_join.op4_jaccard_join,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_preference_format": chat_format.op8_preference_format,
     "op9_license_scan": license_scan.op9_license_scan,
@@ -28,6 +30,7 @@ QUERIES = {
 
 SQL = {
     "op4_jaccard_join": set_join.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
     "op8_preference_format": chat_format.SQL,
     "op9_license_scan": license_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (binds pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,82 +14,121 @@ from depthframe.operators.sessions import WHOLE, Slicing, row_number
 from depthframe.schema import KEY, require
 
 PREFIX = "normalized__"
-STATE_VERSION = 1
+#: Rows of one session scaled together; rounded up to whole runs of the window.
+CHUNK_ROWS = 65_536
+
 
+class Standardizer(Protocol):
+    """What a build needs of a scaler: its result columns, its work, and its settings as plain values.
 
-@dataclass(frozen=True)
-class CausalStandardizer:
-    """Pluggable DataFrame -> DataFrame standardizer with a round-trip state."""
+    ``apply`` adds ``outputs`` and ``normalization_valid`` to rows that have ``row_no``.
+    """
 
-    feature_columns: tuple[str, ...]
-    window: int = 180
-    slicing: Slicing = WHOLE
+    outputs: list[str]
 
-    def __post_init__(self) -> None:
-        if not self.feature_columns or len(set(self.feature_columns)) != len(self.feature_columns):
-            raise ValueError("feature_columns must be non-empty and unique")
-        if self.window < 2:
-            raise ValueError("window must be >= 2")
+    def apply(self, rows: DataFrame) -> DataFrame: ...
 
-    @property
-    def output_columns(self) -> list[str]:
-        return [PREFIX + c for c in self.feature_columns]
+    def settings(self) -> dict: ...
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return causal_zscore(df, list(self.feature_columns), self.window, self.slicing)
 
-    def to_dict(self) -> dict:
-        return {
-            "version": STATE_VERSION,
-            "mode": "causal_rolling",
-            "feature_columns": list(self.feature_columns),
-            "window": self.window,
-        }
+class TrailingScaler:
+    """Z-score over the ``window`` rows before each row, for every feature in ``features``."""
 
-    @classmethod
-    def from_dict(cls, state: dict) -> CausalStandardizer:
-        if state.get("version") != STATE_VERSION or state.get("mode") != "causal_rolling":
-            raise ValueError("unsupported standardizer state")
-        return cls(tuple(state["feature_columns"]), int(state["window"]))
+    kind = "trailing z-score"
 
+    def __init__(self, features: list[str], window: int = 180) -> None:
+        repeated = {f for f in features if features.count(f) > 1}
+        if not features or repeated:
+            raise ValueError(f"a scaler needs distinct features, got {features}")
+        if window < 2:
+            raise ValueError(f"no deviation over {window} rows")
+        self.features, self.window = list(features), window
+        self.outputs = [PREFIX + f for f in features]
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return causal_zscore(rows, self.features, self.window)
+
+    def settings(self) -> dict:
+        return {"kind": self.kind, "features": self.features, "window": self.window}
+
+
+def scaler_from_settings(settings: dict) -> TrailingScaler:
+    """The scaler that ``settings()`` described; missing or foreign keys are errors."""
+    odd = set(settings) ^ {"kind", "features", "window"}
+    if odd:
+        raise ValueError(f"scaler settings missing or unknown: {sorted(odd)}")
+    if settings["kind"] != TrailingScaler.kind:
+        raise ValueError(f"no scaler of kind {settings['kind']!r}")
+    return TrailingScaler(settings["features"], settings["window"])
 
-# Rows of one session handled together in sliced mode; earlier rows are copied in as context.
-CHUNK_ROWS = 65_536
+
+def _running_moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sum of squared deviations of the first 0, 1, ... values of each run.
+
+    ``x`` is (runs, width, features); the update adds one value at a time to a running mean, so
+    nothing is lost to a large value that is not in the prefix.
+    """
+    runs, width, features = x.shape
+    mean, square = np.zeros((2, runs, width + 1, features))
+    for i in range(width):
+        step = x[:, i] - mean[:, i]
+        mean[:, i + 1] = mean[:, i] + step / (i + 1)
+        square[:, i + 1] = square[:, i] + step * (x[:, i] - mean[:, i + 1])
+    return mean, square
+
+
+def trailing_moments(x: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of the ``window`` rows before each row of ``x`` (rows, features).
+
+    Rows are cut in runs of ``window``. A window is the end of one run and the start of the next, so
+    it is the merger of a backward and a forward running moment: values outside the window never
+    take part. The first ``window`` rows have no result.
+    """
+    rows, features = x.shape
+    runs = -(-rows // window)
+    padded = np.zeros((runs * window, features))
+    padded[:rows] = x
+    cut = padded.reshape(runs, window, features)
+    head_mean, head_square = _running_moments(cut)
+    tail_mean, tail_square = (m[:, ::-1] for m in _running_moments(cut[:, ::-1]))
+    at = np.arange(window, rows)
+    run, heads = at // window, at % window
+    m1, s1 = tail_mean[run - 1, heads], tail_square[run - 1, heads]
+    m2, s2 = head_mean[run, heads], head_square[run, heads]
+    share = (heads / window)[:, None]
+    gap = m2 - m1
+    mean, std = np.full((2, rows, features), np.nan)
+    mean[window:] = m1 + gap * share
+    std[window:] = np.sqrt((s1 + s2) / window + gap * gap * share * (1 - share))
+    return mean, std
 
 
 def causal_zscore(
-    df: DataFrame, features: list[str], window: int, slicing: Slicing = WHOLE
+    df: DataFrame, features: list[str], window: int, slicing: Slicing = WHOLE, chunk_rows: int | None = None
 ) -> DataFrame:
     """Append ``normalized__<f>`` and ``normalization_valid``.
 
-    A bounded SQL frame re-aggregates all N rows for every row and column, and a
-    constant-time rewrite needs nine window columns per feature; both were slower when
-    measured (see README). So Spark groups by session, which
-    the timeline's partitioning already satisfies, and each group runs one vectorised
-    rolling pass over Arrow columns. In sliced mode a group is a fixed number of rows plus
-    the N rows before it.
+    A bounded SQL frame re-aggregates all N rows for every row and column, and a constant-time
+    rewrite needs nine window columns per feature; both were slower when measured (see README).
+    So sessions are cut into chunks of rows, each with the ``window`` rows before it, and one
+    vectorised pass scales a chunk. Chunks end at multiples of the window, so the numbers do
+    not depend on their size. ``slicing`` only matters for rows that have no ``row_no`` yet.
     """
     require(df, [*KEY, "timestamp", "feature_valid", *features], "standardization input")
     if window < 2:
-        raise ValueError("window must be >= 2")
+        raise ValueError(f"no deviation over {window} rows")
     outputs = [PREFIX + f for f in features]
     rows = df.drop(*outputs, "normalization_valid")
     keep = rows.columns
-    order = "timestamp"
-    group = list(KEY)
-    if slicing.seconds is not None:
-        size = max(CHUNK_ROWS, window)
-        order = "row_no"
-        if order not in keep:
-            rows = row_number(rows, order, slicing)
-        chunk = F.expr(f"row_no DIV {size}")
-        spill = F.col("row_no") % size >= size - window
-        rows = rows.withColumn(
-            "_chunk",
-            F.explode(F.when(spill, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))),
-        ).withColumn("_context", F.col("_chunk") != chunk)
-        group.append("_chunk")
-    added = [*outputs, "normalization_valid"]
+    if "row_no" not in keep:
+        rows = row_number(rows, "row_no", slicing)
+    size = -(-max(chunk_rows or CHUNK_ROWS, window) // window) * window
+    chunk = F.expr(f"row_no DIV {size}")
+    spill = F.col("row_no") % size >= size - window
+    rows = rows.withColumn(
+        "_chunk",
+        F.explode(F.when(spill, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))),
+    ).withColumn("_context", F.col("_chunk") != chunk)
     schema = T.StructType(
         [rows.schema[c] for c in keep]
         + [T.StructField(o, T.DoubleType()) for o in outputs]
@@ -99,23 +136,27 @@ def causal_zscore(
     )
 
     def scale(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
+        table = table.sort_by("row_no")
         x = np.column_stack(
             [table[f].cast(pa.float64()).to_numpy().astype("float64") for f in features]
         )
         usable = table["feature_valid"].fill_null(False).to_numpy()
-        x[~usable] = np.nan
-        x[~np.isfinite(x)] = np.nan
-        past = pd.DataFrame(x).rolling(window, min_periods=window)
-        mean = past.mean().shift(1).to_numpy()
-        std = past.std(ddof=0).shift(1).to_numpy()
-        z = (x - mean) / np.where(std > 0, std, 1.0)
-        bad = ~(np.isfinite(x) & np.isfinite(mean) & np.isfinite(std))
+        good = usable[:, None] & np.isfinite(x)
+        missing = np.zeros((len(x) + 1, len(features)), np.int64)
+        missing[1:] = np.cumsum(~good, axis=0)
+        with np.errstate(all="ignore"):
+            mean, std = trailing_moments(np.where(good, x, 0.0), window)
+            z = (x - mean) / np.where(std > 0, std, 1.0)
+        good &= np.isfinite(mean) & np.isfinite(std)
+        good[window:] &= missing[window:-1] == missing[: -window - 1]
+        good[:window] = False
         out = table.select(keep)
         for i, name in enumerate(outputs):
-            out = out.append_column(name, pa.array(z[:, i], mask=bad[:, i]))
-        good = (~bad & np.isfinite(z)).all(axis=1)
-        out = out.append_column("normalization_valid", pa.array(good))
-        return out.filter(pa.compute.invert(table["_context"])) if "_chunk" in group else out
+            out = out.append_column(name, pa.array(z[:, i], mask=~good[:, i]))
+        out = out.append_column("normalization_valid", pa.array((good & np.isfinite(z)).all(axis=1)))
+        own = ~table["_context"].to_numpy()
+        return out.filter(pa.array(own))
 
-    return rows.groupBy(*group).applyInArrow(scale, schema).select(*keep, *added)
+    return rows.groupBy(*KEY, "_chunk").applyInArrow(scale, schema).select(
+        *keep, *outputs, "normalization_valid"
+    )

@@ -61,6 +61,15 @@ def add_global_index(df: DataFrame, offsets: DataFrame) -> DataFrame:
     return out.withColumn("global_index", F.col("session_start_index") + F.col("row_no"))
 
 
+def scaling_input(df: DataFrame, features: list[str], target_column: str) -> DataFrame:
+    """Only what scaling and ``storage_rows`` need: the rows cross into Python and back."""
+    needed = [
+        *KEY, "timestamp", "row_no", "book_valid", "feature_valid", "mid_price", "future_mid",
+        "target_valid", target_column, "BIDp1", "ASKp1",
+    ]
+    return df.select(*dict.fromkeys([*needed, *features]))
+
+
 def storage_rows(df: DataFrame, outputs: list[str], target_column: str) -> DataFrame:
     """Dense single-precision row table: what a published dataset stores."""
     return df.select(

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from depthframe.functions.book import select_features
 from depthframe.operators.features import add_features
 from depthframe.operators.labels import add_labels
-from depthframe.operators.normalize import CausalStandardizer
+from depthframe.operators.normalize import Standardizer, TrailingScaler
 from depthframe.operators.quality import daily_quality
 from depthframe.operators.samples import (
     add_global_index,
     add_row_valid,
     anchors,
     mark_anchors,
+    scaling_input,
     session_offsets,
     storage_rows,
 )
@@ -66,7 +67,9 @@ def plan_hash(plan: DataFrame) -> str:
     return pkg.stable_hash([row["n"], row["x"], row["s"]])
 
 
-def compile_rows(timeline: DataFrame, config: BuildConfig, slicing) -> DataFrame:
+def compile_rows(
+    timeline: DataFrame, config: BuildConfig, slicing, scaler: Standardizer | None = None
+) -> DataFrame:
     """Cleaned timeline to stored rows: features, label, scaling, validity, anchors."""
     features = config.features
     labelled = add_labels(
@@ -75,9 +78,9 @@ def compile_rows(timeline: DataFrame, config: BuildConfig, slicing) -> DataFrame
         tolerance_seconds=config.tolerance_seconds,
         slicing=slicing,
     )
-    standardizer = CausalStandardizer(tuple(features), config.normalize_window, slicing)
-    outputs = standardizer.output_columns
-    scaled = add_row_valid(standardizer.transform(labelled), outputs)
+    scaler = scaler or TrailingScaler(features, config.normalize_window)
+    outputs = scaler.outputs
+    scaled = add_row_valid(scaler.apply(scaling_input(labelled, features, config.target_column)), outputs)
     marked = mark_anchors(
         scaled, history=config.history, target_column=config.target_column, slicing=slicing
     )

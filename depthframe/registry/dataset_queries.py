@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthframe.functions import book
@@ -143,16 +143,27 @@ def asof_nearest_labels(spark, sf):
 
 
 def causal_zscore_query(spark, sf):
-    snaps = inputs.snapshots(spark, sf)
-    slicing = choose_slicing(snaps)
     features = inputs.SAMPLE_FEATURES
-    rows = causal_zscore(inputs.featured(spark, sf), features, inputs.WINDOW, slicing)
-    return rows.select(
+    rows = inputs.featured(spark, sf).select(*KEY, "timestamp", "row_no", "feature_valid", *features)
+    return causal_zscore(rows, features, inputs.WINDOW).select(
         *KEY, text("timestamp"), "normalization_valid",
         *[r(f"normalized__{f}").alias(f"z_{f}") for f in features],
     )
 
 
+def causal_zscore_spikes(spark, sf):
+    """Traded volume with one print in 97 a hundred million times too large."""
+    spiky = F.when(F.col("row_index") % 97 == 5, F.col("volume") * 1e8).otherwise(F.col("volume"))
+    snaps = inputs.snapshots(spark, sf).withColumn("x", spiky)
+    order = Window.partitionBy(*KEY).orderBy("row_index")
+    rows = snaps.select(
+        *KEY, "timestamp", "x", (F.row_number().over(order) - 1).alias("row_no"),
+        "row_index", F.lit(True).alias("feature_valid"),
+    )
+    scaled = causal_zscore(rows, ["x"], inputs.SPIKE_WINDOW, chunk_rows=64)
+    return scaled.select(*KEY, "row_index", "normalization_valid", r("normalized__x", 5).alias("z"))
+
+
 def anchors(spark, sf):
     return samples.anchors(inputs.dataset_rows(spark, sf)).select(
         *KEY, "global_anchor_index", "session_start_index", "anchor_index", text("anchor_timestamp")
@@ -239,6 +250,7 @@ QUERIES = {
     "feature_validity": feature_validity,
     "asof_nearest_labels": asof_nearest_labels,
     "causal_zscore": causal_zscore_query,
+    "causal_zscore_spikes": causal_zscore_spikes,
     "anchors": anchors,
     "global_row_index": global_row_index,
     "window_samples": window_samples,

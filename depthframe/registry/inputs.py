@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from depthframe.operators.features import add_features
 from depthframe.operators.labels import add_labels
-from depthframe.operators.normalize import CausalStandardizer
+from depthframe.operators.normalize import TrailingScaler
 from depthframe.operators.ranks import ensure_checkpoint_dir
 from depthframe.operators.samples import (
     add_global_index,
     add_row_valid,
     mark_anchors,
+    scaling_input,
     session_offsets,
     storage_rows,
 )
@@ -32,6 +33,7 @@ HORIZON = 3600
 TOLERANCE = 1800
 HISTORY = 4
 WINDOW = 4
+SPIKE_WINDOW = 12
 FOLDS = {"train_days": 10, "validation_days": 4, "test_days": 4, "step_days": 4}
 TARGET = label_column(HORIZON)
 # Features normalised in the sample queries: the ten size columns and four derived ones.
@@ -116,9 +118,9 @@ def dataset_rows(spark: SparkSession, sf_dir: str, features: list[str] | None =
         tolerance_seconds=TOLERANCE,
         slicing=slicing,
     )
-    standardizer = CausalStandardizer(tuple(features or SAMPLE_FEATURES), WINDOW, slicing)
-    outputs = standardizer.output_columns
-    scaled = add_row_valid(standardizer.transform(labelled), outputs)
+    scaler = TrailingScaler(features or SAMPLE_FEATURES, WINDOW)
+    outputs = scaler.outputs
+    scaled = add_row_valid(scaler.apply(scaling_input(labelled, scaler.features, TARGET)), outputs)
     marked = mark_anchors(scaled, history=HISTORY, target_column=TARGET, slicing=slicing)
     return storage_rows(add_global_index(marked, offsets), outputs, TARGET)
 

@@ -277,6 +277,14 @@ FROM days d LEFT JOIN q ON d.ticker = q.ticker AND d.trade_date = q.trade_date""
     "asof_nearest_labels": f"WITH {LINE}, {LABELS} SELECT {K}, {TS},"
     f" CAST(future_timestamp AS VARCHAR) AS future_timestamp, target_valid, {rounded(['future_mid'])},"
     f" {r('log_return', 8)} AS log_return, {r('simple_return', 8)} AS simple_return FROM returns",
+    "causal_zscore_spikes": f"""WITH {SNAP},
+x AS (SELECT {K}, row_index, CASE WHEN row_index % 97 = 5 THEN volume * {num('1e8')} ELSE volume END AS x FROM snap),
+w AS (SELECT *, list(x) OVER (PARTITION BY {K} ORDER BY row_index
+        ROWS BETWEEN {inputs.SPIKE_WINDOW} PRECEDING AND 1 PRECEDING) AS past FROM x),
+m AS (SELECT *, coalesce(len(past), 0) = {inputs.SPIKE_WINDOW} AS normalization_valid, list_avg(past) AS mu FROM w),
+s AS (SELECT *, sqrt(list_avg(list_transform(past, lambda v: (v - mu) * (v - mu)))) AS sd FROM m)
+SELECT {K}, row_index, normalization_valid,
+       CASE WHEN normalization_valid THEN {r('(x - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END', 5)} END AS z FROM s""",
     "causal_zscore": f"WITH {LINE}, {_zscore('line')} SELECT {K}, {TS}, normalization_valid,"
     f" {rounded([f'z_{f}' for f in F_NAMES])} FROM scaled",
     "anchors": f"WITH {ROWS} SELECT {K}, global_index AS global_anchor_index, session_start_index,"

@@ -7,9 +7,9 @@ import pytest
 from conftest import at, by_time
 from pyspark.sql import functions as F
 
-from depthframe.operators import normalize, samples
+from depthframe.operators import samples
 from depthframe.operators.labels import add_labels
-from depthframe.operators.normalize import CausalStandardizer, causal_zscore
+from depthframe.operators.normalize import TrailingScaler, causal_zscore, scaler_from_settings
 from depthframe.operators.sessions import WHOLE, Slicing
 from depthframe.schema import KEY
 
@@ -67,48 +67,58 @@ def series(spark, values, valid=None):
     return spark.createDataFrame(data, SERIES)
 
 
-@pytest.mark.parametrize("slicing", [WHOLE, Slicing(2)])
-@pytest.mark.parametrize(
-    ("values", "want"),
-    [
-        ([1.0, 3.0, 5.0, 7.0], [None, None, 3.0, 3.0]),
-        ([1.0, 3.0, 5.0, 7000.0], [None, None, 3.0, 6996.0]),
-        ([3.0, 3.0, 5.0], [None, None, 2.0]),
-    ],
-)
-def test_zscore_vectors(spark, slicing, values, want):
-    assert by_time(causal_zscore(series(spark, values), ["x"], 2, slicing), "normalized__x") == want
-
-
-def test_zscore_needs_every_history_row(spark):
-    got = causal_zscore(series(spark, [1.0, 3.0, 5.0, 7.0], [True, False, True, True]), ["x"], 2)
-    assert by_time(got, "normalization_valid") == [False] * 4
-
-
-def test_zscore_chunks_against_numpy(spark, monkeypatch):
-    monkeypatch.setattr(normalize, "CHUNK_ROWS", 16)
-    rng = np.random.default_rng(1)
-    values = (100 + np.cumsum(rng.normal(size=120))).tolist()
-    valid = (rng.random(120) > 0.03).tolist()
+def exact_scores(values, valid, window):
     want = []
     for i, v in enumerate(values):
-        past = values[max(0, i - 5) : i]
-        ok = i >= 5 and all(valid[i - 5 : i]) and valid[i]
-        want.append((v - np.mean(past)) / np.std(past) if ok else None)
-    for slicing in (WHOLE, Slicing(10)):
-        got = by_time(causal_zscore(series(spark, values, valid), ["x"], 5, slicing), "normalized__x")
+        past = np.array(values[max(0, i - window) : i], dtype="longdouble")
+        if i < window or not all(valid[i - window : i]) or not valid[i]:
+            want.append(None)
+            continue
+        std = np.sqrt(np.mean((past - past.mean()) ** 2))
+        want.append(float((v - past.mean()) / (std if std > 0 else 1)))
+    return want
+
+
+@pytest.mark.parametrize("window", [2, 5, 31])
+def test_zscore_equals_exact_moments_after_large_values(spark, window):
+    rng = np.random.default_rng(window)
+    values = (10 + rng.normal(size=140) * 1e-3).tolist()
+    for i in (3, 17, 60, 61):
+        values[i] = 1e9
+    values[80:120] = [7.25] * 40
+    valid = (rng.random(140) > 0.02).tolist()
+    want = exact_scores(values, valid, window)
+    results = []
+    for chunk in (1, 40, 1000):
+        got = by_time(causal_zscore(series(spark, values, valid), ["x"], window, chunk_rows=chunk), "normalized__x")
         assert [g is None for g in got] == [w is None for w in want]
-        assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None])
-
-
-def test_standardizer_state_round_trip():
-    one = CausalStandardizer(("a", "b"), 7)
-    assert CausalStandardizer.from_dict(one.to_dict()) == one
-    with pytest.raises(ValueError):
-        CausalStandardizer.from_dict({**one.to_dict(), "version": 99})
-    for bad in (((), 5), (("a", "a"), 5), (("a",), 1)):
+        pairs = [(g, w) for g, w in zip(got, want) if g is not None]
+        assert [g for g, _ in pairs] == pytest.approx([w for _, w in pairs], rel=1e-6, abs=1e-9)
+        results.append(got)
+    assert results[0] == results[1] == results[2]
+
+
+def test_zscore_uses_the_past_only_and_marks_rows(spark):
+    values = [4.0, 8.0, 6.0, 9.0, 9.5]
+    changed = [*values[:-1], 1e12]
+    one, two = (causal_zscore(series(spark, v), ["x"], 3) for v in (values, changed))
+    assert by_time(one, "normalized__x")[:4] == by_time(two, "normalized__x")[:4]
+    gap = causal_zscore(series(spark, values, [True, False, True, True, True]), ["x"], 3)
+    assert by_time(gap, "normalization_valid") == [False] * 5
+    infinite = causal_zscore(series(spark, [*values[:4], float("inf")]), ["x"], 3)
+    assert by_time(infinite, "normalization_valid") == [False, False, False, True, False]
+
+
+def test_scaler_settings_are_strict():
+    scaler = TrailingScaler(["a", "b"], 7)
+    assert scaler_from_settings(scaler.settings()).settings() == scaler.settings()
+    some = scaler.settings()
+    for bad in ({**some, "extra": 1}, {k: some[k] for k in ("kind", "window")}, {**some, "kind": "?"}):
+        with pytest.raises(ValueError):
+            scaler_from_settings(bad)
+    for args in (([], 5), (["a", "a"], 5), (["a"], 1)):
         with pytest.raises(ValueError):
-            CausalStandardizer(*bad)
+            TrailingScaler(*args)
 
 
 ROWS = "ticker string, trade_date string, session_id string, timestamp timestamp_ntz, row_no bigint, row_valid boolean, target_valid boolean, y double, future_mid double, features array<float>"

@@ -46,6 +46,8 @@ class BuildConfig:
         default_factory=lambda: {"train_days": 60, "validation_days": 20, "test_days": 20, "step_days": 20}
     )
     split_ratios: dict = field(default_factory=lambda: {"train_ratio": 0.6, "validation_ratio": 0.2})
+    # (first, last) dates of train, validation and test; used instead of ratios if given.
+    split_ranges: dict | None = None
 
     @property
     def features(self) -> list[str]:
@@ -58,13 +60,8 @@ class BuildConfig:
 
 def plan_hash(plan: DataFrame) -> str:
     """Order-free hash of a fold plan, combined on the executors."""
-    h = F.xxhash64("ticker", "fold_index", "split", "trade_date")
-    row = plan.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(h).alias("x"),
-        F.sum(h.cast("decimal(38,0)")).cast("string").alias("s"),
-    ).first()
-    return pkg.stable_hash([row["n"], row["x"], row["s"]])
+    one = raw.file_fingerprints(plan.withColumn("file", F.lit("plan")), ["ticker", "fold_index", "split", "trade_date"])
+    return raw.source_fingerprint(one).first()["source_hash"]
 
 
 def compile_rows(
@@ -89,9 +86,20 @@ def compile_rows(
 
 
 def make_plan(dates: DataFrame, config: BuildConfig) -> DataFrame:
-    if config.walk_forward is None:
-        return splits.single_fold(splits.chronological_split(dates, **config.split_ratios))
-    return splits.walk_forward_folds(dates, **config.walk_forward)
+    """The fold plan; raises if an instrument would lack a fold or a split, or a date its split."""
+    stop = raw.raise_on_violations
+    if config.walk_forward is not None:
+        days = config.walk_forward
+        needed = days["train_days"] + days["validation_days"] + days["test_days"]
+        stop(splits.short_instruments(dates, needed), "too few dates for one fold")
+        return splits.walk_forward_folds(dates, **days)
+    if config.split_ranges is not None:
+        split = splits.explicit_split(dates, **config.split_ranges)
+        stop(splits.uncovered_dates(split), "dates not in exactly one range")
+    else:
+        split = splits.chronological_split(dates, **config.split_ratios)
+    stop(splits.empty_splits(split), "splits without dates")
+    return splits.single_fold(split.select("ticker", "trade_date", "split"))
 
 
 def build_dataset(
@@ -100,58 +108,58 @@ def build_dataset(
     tickers: list[str],
     output_root: str,
     config: BuildConfig,
+    scaler: Standardizer | None = None,
 ) -> pkg.Package:
-    """Build and publish one dataset; the same inputs return the published one."""
+    """Build and publish one dataset; the same inputs return the published one.
+
+    Raw files are read once, into a staged table of typed rows; rules, fingerprint, dates, quality
+    and timeline all come from there.
+    """
     per_ticker = {t: raw.discover_sources(spark, raw_dir, t) for t in sorted(set(tickers))}
     if not per_ticker:
         raise ValueError("at least one ticker is required")
     paths = sorted({p for found in per_ticker.values() for p in found})
     ticker = tickers[0] if len(per_ticker) == 1 else None
     options = {"column_mapping": config.column_mapping, "index_column": config.index_column}
-    prepared = raw.read_snapshots(spark, paths, ticker=ticker, **options)
-    raw.raise_on_violations(raw.source_violations(prepared, config.sessions), "raw files")
-
-    snaps = raw.assign_sessions(prepared, config.sessions)
-    dates = splits.trade_dates(snaps)
-    plan = make_plan(dates, config)
-    settings = asdict(config)
-    source = raw.source_fingerprint(raw.file_fingerprints(spark, paths)).first()["source_hash"]
-    names = ",".join(per_ticker)
-    hashes = (source, pkg.stable_hash(settings), plan_hash(plan))
-    metadata = pkg.Metadata(
-        dataset_id=pkg.dataset_id(names, *hashes),
-        ticker=names,
-        feature_columns=config.features,
-        target_column=config.target_column,
-        feature_dtype="float32",
-        target_dtype="float32",
-        snapshot_interval_seconds=config.interval_seconds,
-        history_snapshots=config.history,
-        normalization_mode="causal_rolling",
-        normalization_window=config.normalize_window,
-        source_hash=hashes[0],
-        processing_config_hash=hashes[1],
-        fold_plan_hash=hashes[2],
-    )
-    files = pkg.Files(spark, output_root)
-    final = f"{output_root}/{metadata.dataset_id}"
-    if files.exists(f"{final}/{pkg.MARKER}"):
-        return pkg.open_package(spark, final)
-
-    slicing = choose_slicing(snaps)
-    # The cleaned timeline feeds three tables, so it is written once in the staging folder.
-    staged = pkg.staging_path(output_root)
-    clean_path = f"{staged}/_clean"
-    clean_sessions(
-        snaps,
-        interval_seconds=config.interval_seconds,
-        max_ffill_gap_seconds=config.max_ffill_gap_seconds,
-        slicing=slicing,
-    ).write.parquet(clean_path)
-    timeline = spark.read.parquet(clean_path)
-    daily_quality(timeline, prepared).write.parquet(f"{staged}/quality")
-    pkg.write_rows(compile_rows(timeline, config, slicing), f"{staged}/rows")
-    rows = pkg.Package(spark, staged, metadata).rows()
-    pkg.write_folds(splits.fold_index(anchors(rows), plan), f"{staged}/folds")
-    files.delete(clean_path)
-    return pkg.publish(spark, staged, output_root, metadata)
+    files, staged = pkg.Files(spark, output_root), pkg.staging_path(output_root)
+    raw_path, clean_path, plan_path = f"{staged}/_raw", f"{staged}/_clean", f"{staged}/plan"
+    try:
+        raw.read_snapshots(spark, paths, ticker=ticker, **options).write.parquet(raw_path)
+        prepared = spark.read.parquet(raw_path)
+        raw.raise_on_violations(raw.source_violations(prepared, config.sessions), "raw files")
+        snaps = raw.assign_sessions(prepared, config.sessions)
+        make_plan(splits.trade_dates(snaps), config).write.parquet(plan_path)
+        plan = spark.read.parquet(plan_path)
+        contents = [c for c in prepared.columns if c != "file"]
+        scaler = scaler or TrailingScaler(config.features, config.normalize_window)
+        record = pkg.Record(
+            source=raw.source_fingerprint(raw.file_fingerprints(prepared, contents)).first()["source_hash"],
+            plan=plan_hash(plan),
+            settings={"build": asdict(config), "scaler": scaler.settings()},
+            tickers=list(per_ticker),
+            features=config.features,
+            target=config.target_column,
+            history=config.history,
+        )
+        final = f"{output_root}/{record.version}"
+        if files.exists(f"{final}/{pkg.MARKER}"):
+            return pkg.audited_package(spark, final)
+
+        slicing = choose_slicing(snaps)
+        # The cleaned timeline feeds three tables, so it is written once in the staging folder.
+        clean_sessions(
+            snaps,
+            interval_seconds=config.interval_seconds,
+            max_ffill_gap_seconds=config.max_ffill_gap_seconds,
+            slicing=slicing,
+        ).write.parquet(clean_path)
+        timeline = spark.read.parquet(clean_path)
+        daily_quality(timeline, prepared).write.parquet(f"{staged}/quality")
+        pkg.write_rows(compile_rows(timeline, config, slicing, scaler), f"{staged}/rows")
+        rows = pkg.Package(spark, staged, record).rows()
+        pkg.write_folds(splits.fold_index(anchors(rows), plan), f"{staged}/folds")
+        files.delete(clean_path)
+        files.delete(raw_path)
+        return pkg.publish(spark, staged, output_root, record)
+    finally:
+        files.delete(staged)

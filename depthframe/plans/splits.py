@@ -89,6 +89,36 @@ def walk_forward_folds(
     )
 
 
+def short_instruments(dates: DataFrame, needed: int) -> DataFrame:
+    """``(ticker, dates, needed)`` of instruments with fewer dates than one fold takes."""
+    per_ticker = dates.groupBy("ticker").agg(F.count(F.lit(1)).alias("dates"))
+    return per_ticker.filter(F.col("dates") < needed).withColumn("needed", F.lit(needed).cast("bigint"))
+
+
+def empty_splits(split: DataFrame) -> DataFrame:
+    """``(ticker, split)`` without any date. Works on the result of either kind of split."""
+    have = split.groupBy("ticker").agg(F.collect_set("split").alias("have"))
+    every = F.array(*[F.lit(s) for s in SPLITS])
+    return have.select("ticker", F.explode(F.array_except(every, "have")).alias("split"))
+
+
+def uncovered_dates(split: DataFrame) -> DataFrame:
+    """``(ticker, trade_date, coverage)`` of dates that explicit ranges hold never or several times."""
+    return split.filter("coverage <> 1").select("ticker", "trade_date", "coverage").distinct()
+
+
+def missing_folds(plan: DataFrame, start_fold: int, num_folds: int | None = None) -> DataFrame:
+    """``(ticker, fold_index)`` of requested folds that an instrument does not have.
+
+    Without a number, every fold from the first on that any instrument has is requested.
+    """
+    have = plan.select("ticker", "fold_index").distinct()
+    last = plan.agg(F.max("fold_index")).first()[0] if num_folds is None else start_fold + num_folds - 1
+    asked = F.sequence(F.lit(start_fold).cast("bigint"), F.lit(max(start_fold, last or 0)).cast("bigint"))
+    wanted = have.select("ticker").distinct().withColumn("fold_index", F.explode(asked))
+    return wanted.join(have, ["ticker", "fold_index"], "left_anti")
+
+
 def single_fold(split: DataFrame) -> DataFrame:
     """Use one chronological split as fold 1 of a plan."""
     return split.select("ticker", F.lit(1).cast("bigint").alias("fold_index"), "split", "trade_date")
@@ -145,12 +175,16 @@ def fold_index(anchors: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def select_folds(df: DataFrame, start_fold: int = 1, num_folds: int | None = None) -> DataFrame:
-    """Rows of ``num_folds`` consecutive existing folds from ``start_fold`` on."""
-    available = sorted(r[0] for r in df.select("fold_index").distinct().collect())
-    if start_fold not in available:
-        raise ValueError(f"fold {start_fold} does not exist")
-    first = available.index(start_fold)
-    chosen = available[first:] if num_folds is None else available[first : first + num_folds]
-    if num_folds is not None and len(chosen) != num_folds:
-        raise ValueError(f"{num_folds} folds requested, {len(chosen)} available")
-    return df.filter(F.col("fold_index").between(chosen[0], chosen[-1]))
+    """Rows of ``num_folds`` consecutive folds from ``start_fold`` on, which every instrument must have.
+
+    Reports the first few (instrument, fold) that are missing as an error.
+    """
+    if start_fold < 1 or (num_folds is not None and num_folds < 1):
+        raise ValueError("folds count from 1 and at least one is needed")
+    lost = missing_folds(df, start_fold, num_folds).limit(5).collect()
+    if lost:
+        raise ValueError(f"folds not available: {[(r['ticker'], r['fold_index']) for r in lost]}")
+    chosen = F.col("fold_index") >= start_fold
+    if num_folds is not None:
+        chosen = chosen & (F.col("fold_index") < start_fold + num_folds)
+    return df.filter(chosen)

@@ -55,7 +55,13 @@ def source_violations(spark, sf):
 
 
 def source_fingerprint(spark, sf):
-    return raw.source_fingerprint(raw.file_fingerprints(spark, [f"{sf}/events.parquet"]))
+    """Contents of the feed, one file a day: integers, microseconds, scaled values and text."""
+    rows = inputs.events(spark, sf).select(
+        F.date_format("ts", "yyyy-MM-dd").alias("file"), "event_id",
+        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").alias("us"), "user_id",
+        "event_type", F.round(F.col("value") * 1e6).cast("bigint").alias("millionths"), "props",
+    )
+    return raw.source_fingerprint(raw.file_fingerprints(rows, [c for c in rows.columns if c != "file"]))
 
 
 def mid_price_validity(spark, sf):
@@ -215,6 +221,33 @@ def explicit_split(spark, sf):
     )
 
 
+def _uneven_dates(spark, sf):
+    """Three instruments of the feed with all, ten and two of its dates."""
+    snaps = inputs.snapshots(spark, sf).withColumn("ticker", F.concat(F.lit("U"), F.col("row_index") % 3))
+    day = F.dayofmonth("timestamp")
+    keep = (F.col("row_index") % 3 == 0) | ((F.col("row_index") % 3 == 1) & (day <= 10)) | (day <= 2)
+    return splits.trade_dates(snaps.filter(keep))
+
+
+def short_instruments(spark, sf):
+    return splits.short_instruments(_uneven_dates(spark, sf), 18)
+
+
+def missing_folds(spark, sf):
+    """Folds 2 and 3 of small folds: the second instrument has some, the third none."""
+    small = {"train_days": 4, "validation_days": 2, "test_days": 2, "step_days": 2}
+    plan = splits.walk_forward_folds(_uneven_dates(spark, sf), **small)
+    return splits.missing_folds(plan, 2, 2)
+
+
+def split_violations(spark, sf):
+    """Splits without dates by ratio, and dates that explicit ranges hold never or twice."""
+    dates = _uneven_dates(spark, sf)
+    ratio = splits.empty_splits(splits.chronological_split(dates)).withColumn("trade_date", F.lit(""))
+    ranges = splits.uncovered_dates(explicit_split(spark, sf)).withColumn("split", F.lit(""))
+    return ratio.unionByName(ranges.drop("coverage"))
+
+
 def walk_forward_folds(spark, sf):
     return splits.walk_forward_folds(_dates(spark, sf), **inputs.FOLDS)
 
@@ -257,6 +290,9 @@ QUERIES = {
     "sample_meta": sample_meta,
     "chronological_split": chronological_split,
     "explicit_split": explicit_split,
+    "short_instruments": short_instruments,
+    "missing_folds": missing_folds,
+    "split_violations": split_violations,
     "walk_forward_folds": walk_forward_folds,
     "fold_invariants": fold_invariants,
     "selected_folds": selected_folds,

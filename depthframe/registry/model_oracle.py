@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from depthframe.registry import inputs
 from depthframe.registry.evaluation_oracle import PREDS
-from depthframe.registry.oracle import DATES, K, PLAN, ROWS, SNAP, r
+from depthframe.registry.oracle import DATES, K, LINE, PLAN, ROWS, SNAP, r
 
 _N = len(inputs.SAMPLE_FEATURES)
 
@@ -74,7 +74,54 @@ _PREDICTION_RULES = {
     "sample unique per model and fold": "count(*) - count(DISTINCT (model_name, fold_index, ts))",
 }
 
+# Faults by residue, counted from the feed: the rules themselves do not appear here.
+_BROKEN_ROWS = {
+    "feature width": "SELECT count(*) FROM b WHERE global_index % 101 = 7",
+    "global index is session start plus position": "SELECT count(*) FROM b WHERE"
+    " (global_index % 103 = 9) <> (ticker = 'T0' AND row_no = 3)",
+    "session positions cover every row once": "SELECT count(*) FROM s WHERE ticker = 'T1' AND n > 6",
+    "one start per session": "SELECT count(*) FROM s WHERE ticker = 'T0' AND n > 3",
+    "sessions cover every global row once": "SELECT count(DISTINCT ticker) FROM s WHERE ticker = 'T1' AND n > 5",
+}
+_BROKEN_QUALITY = {
+    "quality not empty": "SELECT 0 * count(*) FROM d",
+    "quality without nulls": "SELECT count(*) FROM d WHERE k = 0",
+    "row count positive": "SELECT count(*) FROM d WHERE k = 4",
+    "ratios within 0 and 1": "SELECT count(*) FROM d WHERE k IN (0, 1)",
+    "gaps ordered and not negative": "SELECT count(*) FROM d WHERE k = 2",
+    "counts not negative": "SELECT count(*) FROM d WHERE k = 3",
+    "one quality row per day": "SELECT count(*) FROM d WHERE k = 5",
+    "quality rows match the dataset": "SELECT count(*) FROM d WHERE k IN (4, 6)",
+}
+_BROKEN_FOLDS = {
+    "fold index not empty": "SELECT 0 * count(*) FROM f",
+    "fold index without nulls": "SELECT count(*) FROM f WHERE g = 1",
+    "fold positions not negative": "SELECT count(*) FROM f WHERE g = 2",
+    "anchor inside the dataset": "SELECT count(*) FROM f WHERE g = 3",
+    "global minus start is local": "SELECT count(*) FROM f WHERE g = 2",
+    "anchor leaves room for its window": "SELECT count(*) FROM f WHERE g = 2",
+    "anchor window and target valid": "SELECT count(*) FROM f WHERE g = 3",
+    "anchor describes its row": "SELECT count(*) FROM f WHERE g IN (1, 3)",
+    "anchor unique in its split": "SELECT count(*) FROM f WHERE g = 4",
+    "fold has train, validation and test": "SELECT count(DISTINCT ticker) FROM f WHERE fold_index = 2",
+    "splits strictly one after another": "SELECT count(DISTINCT ticker) FROM f WHERE fold_index = 2",
+}
+_BROKEN_WINDOWS = {
+    "window length": "SELECT count(*) FROM w WHERE g = 1",
+    "window width": "SELECT count(*) FROM w WHERE g = 2",
+    "window finite": "SELECT count(*) FROM w WHERE g = 3",
+    "target finite": "SELECT count(*) FROM w WHERE g = 4",
+}
+
 SQL = {
+    "broken_rows": f"""WITH {ROWS}, b AS (SELECT * FROM stored WHERE NOT (ticker = 'T1' AND row_no = 5)),
+s AS (SELECT {K}, count(*) AS n FROM stored GROUP BY {K}) {_rules(_BROKEN_ROWS, "")}""",
+    "broken_quality": f"""WITH {LINE}, d AS (
+  SELECT DISTINCT ticker, trade_date, right(trade_date, 2)::INT % 7 AS k FROM line) {_rules(_BROKEN_QUALITY, "")}""",
+    "broken_folds": f"""WITH {FOLDED}, f AS (
+  SELECT *, global_index % 11 AS g FROM xy WHERE NOT (fold_index = 2 AND split = 'test')) {_rules(_BROKEN_FOLDS, "")}""",
+    "broken_windows": f"""WITH {ROWS}, w AS (SELECT global_index % 13 AS g FROM stored WHERE is_anchor)
+{_rules(_BROKEN_WINDOWS, "")}""",
     "zero_baseline": _predictions("zero", "0.0::DOUBLE"),
     "imbalance_ols": _predictions("imbalance", "f.slope * q.x + f.intercept"),
     "imbalance_coefficients": f"WITH {FOLDED} SELECT ticker, fold_index, train_count, {r('slope', 8)} AS slope,"

@@ -114,6 +114,69 @@ def dataset_checks(spark, sf):
     )
 
 
+def _when(condition: str, changed, name: str):
+    return F.when(F.expr(condition), changed).otherwise(F.col(name)).alias(name)
+
+
+def broken_rows(spark, sf):
+    """Row rules on rows with short features, moved positions, a lost row and a moved start."""
+    rows = inputs.stored_rows(spark, sf).filter("NOT (ticker = 'T1' AND row_no = 5)")
+    changed = {
+        "features": _when("global_index % 101 = 7", F.slice("features", 1, 3), "features"),
+        "global_index": _when("global_index % 103 = 9", F.col("global_index") + 1, "global_index"),
+        "session_start_index": _when("ticker = 'T0' AND row_no = 3", F.col("session_start_index") + 1, "session_start_index"),
+    }
+    rows = rows.select(*[changed.get(c, F.col(c)) for c in rows.columns])
+    return validation.row_checks(rows, len(inputs.SAMPLE_FEATURES))
+
+
+def broken_quality(spark, sf):
+    """Quality rules on a report with a different fault on each weekday-like residue of the day."""
+    rows = inputs.stored_rows(spark, sf)
+    days = quality.daily_quality(inputs.timeline(spark, sf)).withColumn("d", F.expr("int(right(trade_date, 2)) % 7"))
+    days = days.filter("d <> 6").withColumn("copy", F.explode(F.expr("sequence(1, IF(d = 5, 2, 1))")))
+    changed = {
+        "missing_ratio": F.when(F.col("d") == 1, 1.5).when(F.col("d") != 0, F.col("missing_ratio")).alias("missing_ratio"),
+        "max_gap": _when("d = 2", F.lit(-1.0), "max_gap"),
+        "duplicate_count": _when("d = 3", F.lit(-1).cast("bigint"), "duplicate_count"),
+        "row_count": _when("d = 4", F.lit(0).cast("bigint"), "row_count"),
+    }
+    days = days.select(*[changed.get(c, F.col(c)) for c in days.columns if c not in ("d", "copy")])
+    return validation.quality_checks(days, rows)
+
+
+def broken_folds(spark, sf):
+    """Fold rules on an index with nulls, negative and far positions, copies and a lost split."""
+    rows = inputs.stored_rows(spark, sf)
+    folds = splits.fold_index(samples.anchors(rows), _plan(spark, sf)).withColumn("g", F.col("global_anchor_index") % 11)
+    folds = folds.filter("NOT (fold_index = 2 AND split = 'test')")
+    folds = folds.withColumn("copy", F.explode(F.expr("sequence(1, IF(g = 4, 2, 1))")))
+    far = F.lit(10**6).cast("bigint")
+    changed = {
+        "anchor_timestamp": F.when(F.col("g") != 1, F.col("anchor_timestamp")).alias("anchor_timestamp"),
+        "anchor_index": _when("g = 2", F.lit(-1).cast("bigint"), "anchor_index"),
+        "global_anchor_index": _when("g = 3", F.col("global_anchor_index") + far, "global_anchor_index"),
+        "session_start_index": _when("g = 3", F.col("session_start_index") + far, "session_start_index"),
+    }
+    folds = folds.select(*[changed.get(c, F.col(c)) for c in folds.columns if c not in ("g", "copy")])
+    return validation.fold_checks(folds, rows, inputs.HISTORY, choose_slicing(rows))
+
+
+def broken_windows(spark, sf):
+    """Window rules on samples that lost a step, a feature, a number or the target."""
+    windows = samples.window_samples(inputs.dataset_rows(spark, sf), inputs.HISTORY).withColumn("g", F.col("global_index") % 13)
+    nan = F.transform("window", lambda row: F.transform(row, lambda x: F.lit(float("nan")).cast("float")))
+    window = (
+        F.when(F.col("g") == 1, F.slice("window", 1, inputs.HISTORY - 1))
+        .when(F.col("g") == 2, F.transform("window", lambda row: F.slice(row, 1, 2)))
+        .when(F.col("g") == 3, nan)
+        .otherwise(F.col("window"))
+    )
+    target = F.when(F.col("g") != 4, F.col("target"))
+    broken = windows.withColumns({"window": window, "target": target}).drop("g")
+    return validation.window_checks(broken, inputs.HISTORY, len(inputs.SAMPLE_FEATURES))
+
+
 def anchor_violations(spark, sf):
     """The fold rules on an index whose anchors all point one row too far."""
     rows = inputs.stored_rows(spark, sf)
@@ -177,6 +240,10 @@ QUERIES = {
     "batch_scoring": batch_scoring,
     "walk_forward_summary": walk_forward_summary,
     "dataset_checks": dataset_checks,
+    "broken_rows": broken_rows,
+    "broken_quality": broken_quality,
+    "broken_folds": broken_folds,
+    "broken_windows": broken_windows,
     "anchor_violations": anchor_violations,
     "segment_violations": segment_violations,
     "date_violations": date_violations,

@@ -186,6 +186,10 @@ past AS (SELECT *, count(CASE WHEN feature_valid THEN 1 END) {w} AS n_past, {sta
 scaled AS (SELECT *, feature_valid AND n_past = {N} AS normalization_valid, {z} FROM past)"""
 
 
+UNEVEN = """uneven AS (
+  SELECT DISTINCT 'U' || (event_id % 3)::VARCHAR AS ticker, strftime(ts, '%Y-%m-%d') AS trade_date FROM events
+  WHERE event_id % 3 = 0 OR (event_id % 3 = 1 AND day(ts) <= 10) OR day(ts) <= 2)"""
+
 T = inputs.HISTORY
 ROWS = (
     LINE + "," + LABELS + "," + _zscore("returns") + f""",
@@ -277,6 +281,19 @@ FROM days d LEFT JOIN q ON d.ticker = q.ticker AND d.trade_date = q.trade_date""
     "asof_nearest_labels": f"WITH {LINE}, {LABELS} SELECT {K}, {TS},"
     f" CAST(future_timestamp AS VARCHAR) AS future_timestamp, target_valid, {rounded(['future_mid'])},"
     f" {r('log_return', 8)} AS log_return, {r('simple_return', 8)} AS simple_return FROM returns",
+    "source_fingerprint": """WITH t AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS file, concat_ws('|', coalesce('=' || event_id::VARCHAR, '-'), coalesce('=' || epoch_us(ts)::VARCHAR, '-'), coalesce('=' || user_id::VARCHAR, '-'), coalesce('=' || event_type, '-'), coalesce('=' || CAST(round(value * 1e6) AS BIGINT)::VARCHAR, '-'), coalesce('=' || props, '-')) AS t FROM events),
+f AS (SELECT md5(concat_ws('|', count(*)::VARCHAR, sum(CAST('0x' || substr(md5(t), 1, 15) AS HUGEINT))::VARCHAR, sum(CAST('0x' || substr(md5(t), 16, 15) AS HUGEINT))::VARCHAR)) AS p FROM t GROUP BY file)
+SELECT count(*) AS file_count, md5(concat_ws('|', count(*)::VARCHAR, sum(CAST('0x' || substr(md5(p), 1, 15) AS HUGEINT))::VARCHAR, sum(CAST('0x' || substr(md5(p), 16, 15) AS HUGEINT))::VARCHAR)) AS source_hash FROM f""",
+    "short_instruments": f"WITH {UNEVEN} SELECT ticker, count(*) AS dates, 18::BIGINT AS needed FROM uneven GROUP BY ticker HAVING count(*) < 18",
+    "missing_folds": f"""WITH {UNEVEN}, n AS (SELECT ticker, count(*) AS n FROM uneven GROUP BY ticker)
+SELECT ticker, fold_index FROM n, (SELECT unnest([2, 3])::BIGINT AS fold_index) WHERE n >= 8 AND 8 + (fold_index - 1) * 2 > n""",
+    "split_violations": f"""WITH {UNEVEN}, n AS (SELECT ticker, count(*) AS n FROM uneven GROUP BY ticker),
+sizes AS (SELECT ticker, floor(n * 0.6) AS a, floor(n * 0.2) AS b, n - floor(n * 0.6) - floor(n * 0.2) AS c FROM n),
+{SNAP.strip()}, d AS (SELECT DISTINCT ticker, trade_date FROM snap)
+SELECT ticker, 'train' AS split, '' AS trade_date FROM sizes WHERE a = 0 UNION ALL
+SELECT ticker, 'validation', '' FROM sizes WHERE b = 0 UNION ALL SELECT ticker, 'test', '' FROM sizes WHERE c = 0 UNION ALL
+SELECT ticker, '', trade_date FROM d WHERE trade_date IN ('2024-01-18', '2024-01-24') OR trade_date > '2024-01-31'""",
     "causal_zscore_spikes": f"""WITH {SNAP},
 x AS (SELECT {K}, row_index, CASE WHEN row_index % 97 = 5 THEN volume * {num('1e8')} ELSE volume END AS x FROM snap),
 w AS (SELECT *, list(x) OVER (PARTITION BY {K} ORDER BY row_index

@@ -21,6 +21,7 @@ SIZE_COLUMNS = [c for c in BOOK_COLUMNS if c[3] == "s"]
 KEY = ["ticker", "trade_date", "session_id"]
 DAY = ["ticker", "trade_date"]
 
+# Fixed values from here to the last schema: session clocks, column names and types, metric names.
 # Half-open [start, end) clocks. "24:00:00" means "until midnight".
 DEFAULT_SESSIONS = {"AM": ("09:30:00", "11:30:00"), "PM": ("13:00:00", "14:57:00")}
 
@@ -116,6 +117,10 @@ FOLD_INDEX_SCHEMA = _struct(
     anchor_timestamp=T.TimestampNTZType(),
 )
 
+PLAN_SCHEMA = _struct(
+    ticker=T.StringType(), fold_index=T.LongType(), split=T.StringType(), trade_date=T.StringType()
+)
+
 PREDICTION_SCHEMA = _struct(
     model_name=T.StringType(),
     model_version=T.StringType(),

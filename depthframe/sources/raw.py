@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,24 +29,38 @@ def discover_sources(spark: SparkSession, raw_dir: str, ticker: str) -> list[str
     return [p.toString() for p in sorted(paths, key=lambda p: p.getName())]
 
 
-def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SHA-256 of each raw file, hashed where the file is read."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+def row_text(columns: list[str]) -> Column:
+    """Canonical text of a row: values in column order, nulls told apart from empty text."""
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
 
 
-def source_fingerprint(fingerprints: DataFrame) -> DataFrame:
-    """One hash over the set of file hashes, independent of file order.
+def _summed(text: Column, part: int) -> Column:
+    """Sum over rows of 60 bits of each row's MD5; ``part`` 0 or 1 picks the bits."""
+    bits = F.substring(F.md5(F.encode(text, "UTF-8")), 1 + 15 * part, 15)
+    return F.sum(F.conv(bits, 16, 10).cast("decimal(38,0)"))
+
 
-    Hashed in two steps over fixed prefix buckets, so no task holds all file hashes.
+def file_fingerprints(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``(file, rows, print)`` of the row contents of each file, whatever the order of rows.
+
+    Sums are combined before the exchange, so neither the size of a file nor the number of rows
+    matters. Pass a row number among ``columns`` if the order of rows counts.
     """
-    def joined(name: str) -> Column:
-        return F.sha2(F.array_join(F.sort_array(F.collect_list(name)), ","), 256)
+    sums = rows.groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[_summed(row_text(columns), i).cast("string").alias(f"s{i}") for i in (0, 1)],
+    )
+    return sums.select("file", "rows", F.md5(F.concat_ws("|", F.col("rows").cast("string"), "s0", "s1")).alias("print"))
 
-    buckets = fingerprints.groupBy(F.substring("sha256", 1, 3).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.concat("bucket", joined("sha256")).alias("h")
+
+def source_fingerprint(fingerprints: DataFrame) -> DataFrame:
+    """One hash over all files' fingerprints, independent of file names and order."""
+    sums = fingerprints.agg(
+        F.count(F.lit(1)).alias("file_count"),
+        *[_summed(F.col("print"), i).cast("string").alias(f"s{i}") for i in (0, 1)],
     )
-    return buckets.agg(F.sum("n").alias("file_count"), joined("h").alias("source_hash"))
+    text = F.concat_ws("|", F.col("file_count").cast("string"), "s0", "s1")
+    return sums.select("file_count", F.md5(text).alias("source_hash"))
 
 
 def apply_column_mapping(df: DataFrame, mapping: dict[str, str] | None) -> DataFrame:
@@ -116,11 +132,29 @@ def parse_timestamp(df: DataFrame, fallback_date: Column) -> Column:
     return F.when(clock, on_day.try_cast("timestamp_ntz")).otherwise(full)
 
 
+def session_problems(sessions: dict[str, tuple[str, str]]) -> list[str]:
+    """What is wrong with session clocks: spelling, empty spans, overlaps."""
+    found, spans = [], []
+    for name, (start, end) in sessions.items():
+        if not all(re.fullmatch(r"([01]\d|2[0-4]):[0-5]\d:[0-5]\d(\.\d{1,6})?", b) for b in (start, end)):
+            found.append(f"{name}: {start} to {end} are not HH:MM:SS clocks")
+        elif max(start, end) > "24:00:00" or start >= end:
+            found.append(f"{name}: {start} to {end} is no span of a day")
+        else:
+            spans.append((start, end, name))
+    spans.sort()
+    found += [f"{b[2]} starts before {a[2]} ends" for a, b in zip(spans, spans[1:]) if b[0] < a[1]]
+    return found if sessions else ["no session"]
+
+
 def session_of(ts: Column, sessions: dict[str, tuple[str, str]] | None = None) -> Column:
     """Name of the half-open session holding ``ts``; null outside all of them."""
     clock = time_of_day(ts)
     out = F.lit(None).cast("string")
-    for name, (start, end) in reversed(list((sessions or DEFAULT_SESSIONS).items())):
+    sessions = DEFAULT_SESSIONS if sessions is None else sessions
+    if session_problems(sessions):
+        raise ValueError("; ".join(session_problems(sessions)))
+    for name, (start, end) in reversed(list(sessions.items())):
         # The clock text has no trailing fraction zeros, so bounds must not either.
         start, end = (b.rstrip("0").rstrip(".") if "." in b else b for b in (start, end))
         out = F.when((clock >= start) & (clock < end), F.lit(name)).otherwise(out)

@@ -50,38 +50,66 @@ def test_build_is_published_once(spark, built):
     root, out, package = built
     again = build_dataset(spark, str(root), ["B", "A"], str(out), CONFIG)
     assert again.root == package.root
-    assert [p.name for p in out.iterdir() if not p.name.startswith(".")] == [package.metadata.dataset_id]
+    assert [p.name for p in out.iterdir() if not p.name.startswith(".")] == [package.record.version]
     assert {r[0] for r in package.plan().select("fold_index").distinct().collect()} == {1, 2}
     wider = BuildConfig(**{**CONFIG.__dict__, "history": 3})
     other = build_dataset(spark, str(root), ["A", "B"], str(out), wider)
-    assert other.metadata.dataset_id != package.metadata.dataset_id
+    assert other.record.version != package.record.version
 
 
 def test_open_and_read(spark, built):
-    package = pkg.open_package(spark, built[2].root)
+    package = pkg.audited_package(spark, built[2].root)
     assert package.rows().count() == 5 * 40 * 2
     assert package.quality().count() == 10
     assert package.fold(1, "test").count() > 0
     with pytest.raises(ValueError):
         package.fold(9, "test")
     with pytest.raises(ValueError):
-        pkg.load_package(spark, str(built[1]))
+        pkg.find_package(spark, str(built[1]))
     features = package.rows().filter("is_anchor").first()["features"]
     assert len(features) == 23
 
 
-def test_metadata_contract(built):
-    value = {**built[2].metadata.__dict__}
-    assert pkg.Metadata.from_dict(value) == built[2].metadata
+def test_record_names_the_folder_and_is_strict(built):
+    record = built[2].record
+    assert built[2].root.endswith(record.version)
+    assert pkg.Record.from_json(record.to_json()).version == record.version
+    value = json.loads(record.to_json())
+    assert value["settings"]["scaler"]["window"] == 2
+    assert pkg.Record(**{**value, "history": 5}).version != record.version
     bad = [
-        {**value, "extra": 1}, {k: v for k, v in value.items() if k != "ticker"}, {**value, "ticker": " "},
-        {**value, "history_snapshots": 0}, {**value, "dataset_id": "x"}, {**value, "feature_columns": ["a", "a"]},
-        {**value, "schema_version": 9}, {**value, "normalization_window": 1},
+        {**value, "colour": 1}, {k: v for k, v in value.items() if k != "plan"}, {**value, "tickers": ["A", " "]},
+        {**value, "history": 0}, {**value, "features": ["x", "x"]}, {**value, "format": 1}, {**value, "source": ""},
     ]
     for one in bad:
         with pytest.raises(ValueError):
-            pkg.Metadata.from_dict(one)
-    json.dumps(value)
+            pkg.Record.from_json(json.dumps(one))
+
+
+def test_build_reads_raw_files_once_and_stops_on_short_instruments(spark, tmp_path, monkeypatch):
+    from depthframe.sources import raw
+
+    for day in range(1, 6):
+        raw_day(tmp_path / "raw", day, 20)
+    for day in (2, 3):
+        raw_day(tmp_path / "raw", day, 20, "B")
+    reads = []
+    real = raw.read_snapshots
+    monkeypatch.setattr(raw, "read_snapshots", lambda *a, **k: reads.append(1) or real(*a, **k))
+    with pytest.raises(ValueError, match="too few dates"):
+        build_dataset(spark, str(tmp_path / "raw"), ["A", "B"], str(tmp_path / "out"), CONFIG)
+    assert len(reads) == 1
+    ranges = {"train": ("2026-01-01", "2026-01-02"), "validation": ("2026-01-03", "2026-01-03"), "test": ("2026-01-05", "2026-01-09")}
+    some = {**CONFIG.__dict__, "walk_forward": None, "split_ranges": ranges}
+    with pytest.raises(ValueError, match="exactly one range"):
+        build_dataset(spark, str(tmp_path / "raw"), ["A"], str(tmp_path / "out"), BuildConfig(**some))
+    some["split_ranges"] = {**ranges, "test": ("2026-01-04", "2026-01-09")}
+    package = build_dataset(spark, str(tmp_path / "raw"), ["A"], str(tmp_path / "out"), BuildConfig(**some))
+    assert package.plan().count() == 5
+    some["split_ranges"], some["split_ratios"] = None, {"train_ratio": 0.1, "validation_ratio": 0.3}
+    with pytest.raises(ValueError, match="splits without dates"):
+        build_dataset(spark, str(tmp_path / "raw"), ["A"], str(tmp_path / "out"), BuildConfig(**some))
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")] == [package.record.version]
 
 
 def broken_rules(checks):
@@ -130,11 +158,12 @@ def test_segment_checks(built):
     assert broken_rules(validation.segment_checks(twice)) == {"timestamps unique within a session"}
 
 
-def test_size_pairs():
-    assert bl.size_feature_pairs(["ASKp1", "ASKs2", "BIDs1", "ASKs1", "BIDs2", "last"]) == ([2, 4], [3, 1])
-    for bad in ([], ["ASKs1", "ASKs1"], ["last"], ["BIDs1", "ASKs2"]):
+def test_level_sizes_need_both_sides():
+    names = ["last", "ASKs3", "BIDs1", "BIDs3", "ASKs1", "volume"]
+    assert bl.level_sizes(names) == [(2, 4), (3, 1)]
+    for bad in ([], ["BIDs2", "ASKs2", "BIDs2"], ["volume"], ["BIDs1", "ASKs1", "ASKs4"]):
         with pytest.raises(ValueError):
-            bl.size_feature_pairs(bad)
+            bl.level_sizes(bad)
 
 
 def synthetic(spark, n, features, target, history=1, fold=1):
@@ -222,13 +251,13 @@ def test_spark_ml_candidate(spark, built):
 
 def test_walk_forward_run(spark, built, tmp_path):
     package = built[2]
-    names = package.metadata.feature_columns
+    names = package.record.features
     candidates = [
         bl.ZeroBaseline(), bl.ImbalanceBaseline(names), bl.RidgeBaseline(len(names), 2),
         bl.TrainedModel("last", lambda w: w[:, -1, 0] * 1e-4, 2),
     ]
     out = str(tmp_path / "predictions")
-    version = package.metadata.dataset_id
+    version = package.record.version
     run = run_walk_forward(
         package.rows(), package.plan(), candidates, out, dataset_version=version,
         n_bins=3, draws=5, block=4,

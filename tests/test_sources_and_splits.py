@@ -1,5 +1,4 @@
 import datetime as dt
-import hashlib
 
 import numpy as np
 import pandas as pd
@@ -34,18 +33,52 @@ def test_discovery_prefers_the_ticker_folder(spark, tmp_path):
         raw.discover_sources(spark, str(tmp_path / "none"), "B")
 
 
-def test_fingerprints(spark, tmp_path):
-    paths = []
-    for name in ("20260105", "20260106"):
-        path = tmp_path / f"{name}.parquet"
-        save(pandas_book(["09:30:00"], day=f"{name[:4]}-{name[4:6]}-{name[6:]}"), path)
-        paths.append(str(path))
-    got = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in raw.file_fingerprints(spark, paths).collect()}
-    for p in paths:
-        assert got[p.rsplit("/", 1)[1]] == hashlib.sha256(open(p, "rb").read()).hexdigest()
-    one = raw.source_fingerprint(raw.file_fingerprints(spark, paths)).first()
-    two = raw.source_fingerprint(raw.file_fingerprints(spark, paths[::-1])).first()
-    assert one == two and one["file_count"] == 2
+def test_fingerprints_follow_contents_only(spark):
+    columns = ["n", "x", "t"]
+
+    def prints(rows):
+        df = spark.createDataFrame(rows, "file string, n bigint, x double, t string")
+        files = raw.file_fingerprints(df, columns)
+        return {r["file"]: r["print"] for r in files.collect()}, raw.source_fingerprint(files).first()
+
+    rows = [("a", 1, 0.5, "u"), ("a", 2, None, ""), ("a", 2, None, ""), ("b", 1, 0.5, None)]
+    files, source = prints(rows)
+    assert source["file_count"] == 2 and len(set(files.values())) == 2
+    assert prints(rows[::-1]) == (files, source)
+    renamed = [(("z" if f == "a" else f), *rest) for f, *rest in rows]
+    assert prints(renamed)[1] == source
+    for changed in (rows[:2] + rows[3:], [*rows[:3], ("b", 1, 0.5, "")], [("a", 1, 0.25, "u"), *rows[1:]]):
+        assert prints(changed)[1]["source_hash"] != source["source_hash"]
+
+
+def test_session_clocks_are_checked(spark):
+    good = {"AM": ("09:30:00", "11:30:00"), "PM": ("11:30:00", "24:00:00")}
+    assert raw.session_problems(good) == []
+    for bad in ({}, {"A": ("9:30:00", "10:00:00")}, {"A": ("11:00:00", "10:00:00")}, {"A": ("10:00:00", "25:00:00")},
+                {"A": ("09:00:00", "10:00:01"), "B": ("10:00:00", "11:00:00")}):
+        assert raw.session_problems(bad)
+        with pytest.raises(ValueError):
+            raw.session_of(F.col("t"), bad)
+
+
+def plan_rows(spark, per_ticker):
+    rows = [(t, f"2026-01-{d:02d}") for t, n in per_ticker.items() for d in range(1, n + 1)]
+    return splits.trade_dates(spark.createDataFrame(rows, "ticker string, trade_date string"))
+
+
+def test_nothing_is_dropped_silently(spark):
+    days = {"train_days": 3, "validation_days": 1, "test_days": 1, "step_days": 1}
+    uneven = plan_rows(spark, {"A": 10, "B": 6, "C": 3})
+    assert [tuple(r) for r in splits.short_instruments(uneven, 5).collect()] == [("C", 3, 5)]
+    plan = splits.walk_forward_folds(uneven, **days)
+    lost = {tuple(r) for r in splits.missing_folds(plan, 2, 3).collect()}
+    assert lost == {("B", 3), ("B", 4)}
+    assert {tuple(r) for r in splits.missing_folds(plan, 1).collect()} == {("B", f) for f in (3, 4, 5, 6)}
+    with pytest.raises(ValueError, match="not available"):
+        splits.select_folds(plan, 2, 3)
+    assert splits.select_folds(plan, 1, 2).select("ticker").distinct().count() == 2
+    two = splits.chronological_split(plan_rows(spark, {"A": 2}))
+    assert ("A", "validation") in {tuple(r) for r in splits.empty_splits(two).collect()}
 
 
 def test_mapping_and_datetime_index(spark, tmp_path):

@@ -28,7 +28,7 @@ from depthframe.llm.common import table
 
 UNITS = 8
 SAMPLE, WINDOWS, LENGTH = 150, 3, 64
-EPOCHS, BATCH, RATE = 6, 64, 0.02
+STEPS, BATCH, RATE = 240, 64, 0.02
 SEGMENT, CONTEXT, LANES = 192, 20, 4096
 UNKNOWN = "und"
 F32 = np.float32
@@ -118,22 +118,21 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[n
     return loss, [d_table, d_recurrent, d_out, d_bias]
 
 
-def train(windows: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = EPOCHS) -> Network:
+def train(windows: np.ndarray, y: np.ndarray, labels: list[str], steps: int = STEPS) -> Network:
     """Adam over shuffled batches. ``windows`` is (rows x LENGTH) bytes."""
     net, rng = Network.fresh(labels), np.random.default_rng(4)
     parts = net.parts()
     m, v = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for low in range(0, len(order), BATCH):
-            rows = order[low : low + BATCH]
-            step += 1
-            _, grads = gradients(net, windows[rows], y[rows])
-            for p, g, a, b in zip(parts, grads, m, v):
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+    order = np.zeros(0, int)
+    for step in range(1, steps + 1):
+        if not len(order):
+            order = rng.permutation(len(windows))
+        rows, order = order[:BATCH], order[BATCH:]
+        _, grads = gradients(net, windows[rows], y[rows])
+        for p, g, a, b in zip(parts, grads, m, v):
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
     return net
 
 

@@ -34,7 +34,7 @@ SENTENCES = {
                       "substantial portions of the Software."],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3.",
                     "Licensed under the GNU General Public License, version 3."],
-    "gpl-free": ["This program is free software:", "This program is free software;"],
+    "gpl-free": ["This program is free software:"],
     "gpl3-later": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as "
                    "published by the Free Software Foundation, either version 3 of the License, or (at your "
                    "option) any later version."],

@@ -165,7 +165,7 @@ class Scorer:
         where = start[None, :] - CONTEXT + np.arange(span)[:, None]
         inside = (where >= first) & (where < last)
         byte = raw[np.clip(where, 0, len(raw) - 1)]
-        byte[~inside] = 0x20
+        whole = inside.all(1)
         own = slice(CONTEXT, CONTEXT + SEGMENT)
         logits = np.empty((SEGMENT, len(self.net.labels), n), F32)
         g, c, size, row = (np.empty((n, UNITS), F32) for _ in range(4))
@@ -185,6 +185,8 @@ class Scorer:
                 h -= c
                 h *= g
                 h += c
+                if not whole[t]:  # texts begin and end with an empty state
+                    h *= inside[t][:, None]
                 if own.start <= t < own.stop:
                     if d == 0:
                         np.matmul(out, h.T, out=logits[t - CONTEXT])

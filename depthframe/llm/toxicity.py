@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthframe.llm import words as w
-from depthframe.llm.common import table
+from depthframe.llm.common import stored, table
 
 SAMPLE = 2000
 STEMS = (4, 5, 6)
@@ -79,27 +79,25 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - latent[:, None], -60, 60)))
 
 
-def telling(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the features that lean to toxic texts beyond chance, chosen greedily.
+def may_tell(bad, clean):
+    """Whether a feature in so many toxic and other texts of the sample is worth a look."""
+    return (bad >= TELLING_TEXTS) & (bad >= TELLING_SHARE * (bad + clean))
+
+
+def telling(rows: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> list[int]:
+    """Features that lean to toxic texts beyond chance, chosen greedily; (row, feature) pairs are distinct.
 
     Each choice is the feature that leans most among the toxic texts which fewer than ``COVER``
     chosen features occur in. Words that toxic texts only share because they are copies of each
     other explain nothing once the words they are toxic by are chosen, and so stay out.
     """
     bad_row = toxic.astype(bool)
-    keys, at = np.unique(ids, return_inverse=True)
-    bad = np.bincount(at[bad_row[rows]], minlength=len(keys))
-    clean = np.bincount(at[~bad_row[rows]], minlength=len(keys))
-    use = ((bad >= TELLING_TEXTS) & (bad >= TELLING_SHARE * (bad + clean)))[at]
-    keys, at = np.unique(ids[use], return_inverse=True)
-    rows = rows[use]
-    clean = np.bincount(at[~bad_row[rows]], minlength=len(keys))
-    order = np.argsort(at, kind="stable")
-    ends = np.cumsum(np.bincount(at, minlength=len(keys)))
+    size = int(at.max(initial=-1)) + 1
+    clean = np.bincount(at[~bad_row[rows]], minlength=size)
     covered, chosen = np.zeros(len(toxic), int), []
     open_rows = bad_row.copy()
-    while len(keys):
-        bad = np.bincount(at[open_rows[rows]], minlength=len(keys))
+    while size:
+        bad = np.bincount(at[open_rows[rows]], minlength=size)
         rate = open_rows.sum() / max(1, open_rows.sum() + (~bad_row).sum())
         seen = bad + clean
         z = (bad - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
@@ -109,10 +107,9 @@ def telling(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         if z[best] <= 0:
             break
         chosen.append(best)
-        own = rows[order[ends[best] - np.count_nonzero(at == best) : ends[best]]]
-        covered[own] += 1
+        covered[rows[at == best]] += 1
         open_rows &= covered < COVER
-    return np.sort(keys[chosen])
+    return chosen
 
 
 def derived_grades(count: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -145,19 +142,29 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 300, dec
     return theta[:d], np.cumsum(np.r_[theta[d], np.exp(theta[d + 1 :])])
 
 
+def fit_features(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
+    """Model from the (row, index into ``keys``) pairs of a sample. Without a telling feature every grade is 0."""
+    chosen = telling(rows, at, toxic)
+    if not chosen:
+        return OrdinalModel(keys[:0], np.zeros(0), np.full(GRADES - 1, 60.0))
+    column = np.full(len(keys), -1)
+    chosen = sorted(chosen, key=lambda i: keys[i])
+    column[chosen] = np.arange(len(chosen))
+    use = column[at] >= 0
+    x = np.zeros((len(toxic), len(chosen)))
+    x[rows[use], column[at[use]]] = 1
+    y = derived_grades(x.sum(1), toxic.astype(bool))
+    return OrdinalModel(keys[chosen], *fit_ordinal(x, y, GRADES))
+
+
 def train(column: pa.Array, toxic: np.ndarray) -> OrdinalModel:
-    """Fit on labelled texts. Without a telling feature the model grades everything 0."""
+    """Fit on labelled texts that are at hand."""
     rows, ids = features(column)
-    keys = telling(rows, ids, toxic)
-    if not len(keys):
-        return OrdinalModel(keys, np.zeros(0), np.full(GRADES - 1, 60.0))
-    at = np.searchsorted(keys, ids)
-    hit = keys[np.minimum(at, len(keys) - 1)] == ids
-    x = np.zeros((len(column), len(keys)))
-    x[rows[hit], at[hit]] = 1
-    y = derived_grades(x.sum(1), toxic.astype(bool))
-    weights, thresholds = fit_ordinal(x, y, GRADES)
-    return OrdinalModel(keys, weights, thresholds)
+    keys, at = np.unique(ids, return_inverse=True)
+    bad = np.bincount(at[toxic[rows] > 0], minlength=len(keys))
+    use = may_tell(bad, np.bincount(at, minlength=len(keys)) - bad)[at]
+    keys, at = np.unique(ids[use], return_inverse=True)
+    return fit_features(keys, rows[use], at, toxic)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
@@ -172,15 +179,44 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE)
     ]
     chosen = F.broadcast(first[0].unionByName(first[1]))
     rows = docs.select(F.col("`doc_id`").alias("d_id"), F.col("`text`").alias("d_text"))
-    return rows.join(chosen, F.col("d_id") == F.col("l_id")).select("d_text", "l_toxic")
+    return rows.join(chosen, F.col("d_id") == F.col("l_id")).select(
+        "d_text", F.when(F.col("l_toxic") > 0, 1).otherwise(0).cast("int").alias("l_toxic")
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
-    sample = labelled_sample(docs, labels).toArrow().combine_chunks()
-    if not sample.num_rows:
-        return train(pa.array([], pa.string()), np.zeros(0))
-    text = sample["d_text"].chunk(0)
-    return train(text, sample["l_toxic"].to_numpy().astype(float))
+    """Fit on a bounded sample. Features are counted by Spark; the driver gets those that may tell."""
+    sample = stored(labelled_sample(docs, labels))
+
+    def all_features(batches):
+        for part in w.slices(batches, "d_text"):
+            rows, ids = features(part["d_text"])
+            mark = part["l_toxic"].to_numpy()[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(mark, pa.int32())], ["f", "toxic"])
+
+    counts = (
+        sample.mapInArrow(all_features, "f bigint, toxic int")
+        .groupBy("f")
+        .agg(F.sum("toxic").alias("bad"), F.sum(F.lit(1) - F.col("toxic")).alias("clean"))
+    )
+    found = counts.filter(may_tell(F.col("bad"), F.col("clean"))).select("f").toArrow()
+    keys = np.sort(found["f"].to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
+
+    def own_features(batches):
+        for part in w.slices(batches, "d_text"):
+            rows, ids = features(part["d_text"])
+            at = np.minimum(np.searchsorted(keys, ids), max(0, len(keys) - 1))
+            hit = keys[at] == ids if len(keys) else np.zeros(len(ids), bool)
+            cut = np.searchsorted(rows[hit], np.arange(part.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(at[hit].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part["l_toxic"].cast(pa.int32()), lists], ["toxic", "at"])
+
+    marked = sample.mapInArrow(own_features, "toxic int, at array<int>").toArrow().combine_chunks()
+    if not marked.num_rows:
+        return fit_features(keys, np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    lists = marked["at"].combine_chunks()
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    return fit_features(keys, rows, lists.flatten().to_numpy(), marked["toxic"].to_numpy().astype(float))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,8 +33,8 @@ from depthframe.llm.fm_index import FMIndex, matched_windows
 
 WINDOW, GRAM = 50, 12
 HOT = 20_000
-SHARD_GRAMS, SHARD_WORDS = 1_000_000, 1_000_000
-FLUSH_WORDS = 2_000_000
+SHARD_GRAMS, SHARD_WORDS = 1_000_000, 700_000
+FLUSH_WORDS = 1_000_000
 LAST = np.iinfo(np.int64).max
 U64 = w.U64
 

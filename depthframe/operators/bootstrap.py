@@ -8,6 +8,8 @@ two prefix sums: a resample costs one lookup per block and not per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 
 from depthframe.functions.metrics import P, T, check_metrics, finite_pair
 from depthframe.operators.ranks import ensure_checkpoint_dir, rank_correlation, running_total
-from depthframe.plans.evaluate import CANDIDATE, SAMPLE, evaluate
+from depthframe.plans.evaluate import CANDIDATE, SAMPLE, custom_metric, evaluate
 from depthframe.schema import METRICS
 
+Metric = Callable[[Column, Column], Column]
+
 # The hash. All products stay below 2**63.
 PRIME = 2147483647
 SEED_STEP, DRAW_STEP, BLOCK_STEP = 1000003, 7919, 104729
@@ -30,6 +34,9 @@ SUMS = [
     "n", "abs_error", "sq_error", "p", "t", "pp", "tt", "pt", "nonzero", "hit",
     "pred_up", "real_up", "both_up", "pred_down", "real_down", "both_down",
 ]
+# Smallest and largest value of each side, so that a constant one is known exactly.
+LOWEST, HIGHEST = ["p_min", "t_min"], ["p_max", "t_max"]
+CARRIED = [*SUMS, *LOWEST, *HIGHEST]
 
 
 def session_number(ticker: Column, trade_date: Column, session_id: Column) -> Column:
@@ -67,6 +74,28 @@ def sums_by_draw(terms: np.ndarray, draw: np.ndarray, lo: np.ndarray, hi: np.nda
     return np.stack([np.bincount(draw, block[:, j], draws) for j in range(terms.shape[1])], axis=1)
 
 
+def least_by_draw(x: np.ndarray, draw: np.ndarray, lo: np.ndarray, hi: np.ndarray, draws: int) -> np.ndarray:
+    """Smallest ``x`` in any block ``[lo, hi)`` of each resample; infinite without a block."""
+    level = np.frexp((hi - lo).astype("float64"))[1] - 1
+    found, table, span = np.empty(len(lo)), x, 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = level == k
+        found[at] = np.minimum(table[lo[at]], table[hi[at] - span])
+        table, span = np.minimum(table[:-span], table[span:]) if len(table) > span else table, 2 * span
+    out = np.full(draws, np.inf)
+    np.minimum.at(out, draw, found)
+    return out
+
+
+def carried_by_draw(p, t, p0: float, t0: float, draw, lo, hi, draws: int) -> np.ndarray:
+    """All ``CARRIED`` columns of each resample."""
+    ok = np.isfinite(p) & np.isfinite(t)
+    sides = [np.where(ok, x, np.inf) for x in (p, t)] + [np.where(ok, -x, np.inf) for x in (p, t)]
+    least = [least_by_draw(x, draw, lo, hi, draws) for x in sides]
+    sums = sums_by_draw(row_terms(p, t, p0, t0), draw, lo, hi, draws)
+    return np.column_stack([sums, least[0], least[1], -least[2], -least[3]])
+
+
 def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     def get(name):
         return table[name].cast(pa.float64()).fill_null(float("nan")).to_numpy()
@@ -88,7 +117,7 @@ def _emit(names: list[str], table: pa.Table, sums: np.ndarray) -> pa.Table:
     used = np.flatnonzero(sums[:, 0] > 0)
     data = {g: pa.repeat(table[g][0], len(used)) for g in names}
     data["draw"] = pa.array(used.astype("int64"))
-    data |= {s: pa.array(sums[used, j]) for j, s in enumerate(SUMS)}
+    data |= {s: pa.array(sums[used, j]) for j, s in enumerate(CARRIED)}
     return pa.table(data)
 
 
@@ -108,14 +137,14 @@ def resample_sums(
     schema = ", ".join(
         [f"{g} {rows.schema[g].dataType.simpleString()}" for g in group]
         + ["draw bigint"]
-        + [f"{s} double" for s in SUMS]
+        + [f"{s} double" for s in CARRIED]
     )
 
     def whole(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in sample_order])
-        terms = row_terms(*_vectors(table), table["_p0"][0].as_py(), table["_t0"][0].as_py())
-        draw, lo, hi = _all_blocks(table, len(terms), draws, block)
-        return _emit(group, table, sums_by_draw(terms, draw, lo, hi, draws))
+        draw, lo, hi = _all_blocks(table, len(table), draws, block)
+        centre = (table[c][0].as_py() for c in ("_p0", "_t0"))
+        return _emit(group, table, carried_by_draw(*_vectors(table), *centre, draw, lo, hi, draws))
 
     needed = [*session, *[c for c in sample_order if c not in session], P, T]
     needed += ["_seed", "_session", "_p0", "_t0"]
@@ -131,7 +160,8 @@ def resample_sums(
         partial = small.groupBy(*session).applyInArrow(whole, schema).unionByName(
             _large_sessions(large, session, group, sample_order, draws, block, schema)
         )
-    return partial.groupBy(*group, "draw").agg(*[F.sum(s).alias(s) for s in SUMS])
+    how = {**dict.fromkeys(SUMS, F.sum), **dict.fromkeys(LOWEST, F.min), **dict.fromkeys(HIGHEST, F.max)}
+    return partial.groupBy(*group, "draw").agg(*[how[c](c).alias(c) for c in CARRIED])
 
 
 def _numbered(predictions: DataFrame, seed: int, group: list[str]) -> DataFrame:
@@ -201,12 +231,13 @@ def _large_sessions(rows, session, group, sample_order, draws, block, schema) ->
 
     def chunk_sums(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pa.table({n: [] for n in [*group, "draw", *SUMS]}).cast(empty)
+            return pa.table({n: [] for n in [*group, "draw", *CARRIED]}).cast(empty)
         left = left.sort_by("_pos")
         first = left["_pos"][0].as_py()
-        terms = row_terms(*_vectors(left), left["_p0"][0].as_py(), left["_t0"][0].as_py())
+        centre = (left[c][0].as_py() for c in ("_p0", "_t0"))
         lo, hi = (right[c].to_numpy() - first for c in ("_lo", "_hi"))
-        return _emit(group, left, sums_by_draw(terms, right["_draw"].to_numpy(), lo, hi, draws))
+        draw = right["_draw"].to_numpy()
+        return _emit(group, left, carried_by_draw(*_vectors(left), *centre, draw, lo, hi, draws))
 
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     empty = pa.schema([(f.split()[0], kinds.get(f.split()[1], pa.string())) for f in schema.split(", ")])
@@ -227,11 +258,11 @@ def _estimates() -> dict[str, Column]:
     vp = c("pp") - c("p") * c("p") / n
     vt = c("tt") - c("t") * c("t") / n
     cov = c("pt") - c("p") * c("t") / n
-    varies = (vp > c("pp") * 1e-12) & (vt > c("tt") * 1e-12)
+    varies = (c("p_min") < c("p_max")) & (c("t_min") < c("t_max"))
     return {
         "mae": c("abs_error") / n,
         "rmse": F.sqrt(c("sq_error") / n),
-        "ts_ic": F.when(varies, cov / (F.sqrt(vp) * F.sqrt(vt))),
+        "ts_ic": F.when(varies & (vp > 0) & (vt > 0), cov / (F.sqrt(vp) * F.sqrt(vt))),
         "direction_accuracy": share("hit", "nonzero"),
         "up_precision": share("both_up", "pred_up"),
         "up_recall": share("both_up", "real_up"),
@@ -240,13 +271,12 @@ def _estimates() -> dict[str, Column]:
     }
 
 
-def resampled_rank_ic(
+def resampled_rows(
     predictions: DataFrame, *, draws: int, block: int, seed: int, group: list[str], sample_order: list[str]
 ) -> DataFrame:
-    """Rank correlation of every resample.
+    """Valid rows of every resample as ``(group, draw, prediction, target, _w)``, ``_w`` times each.
 
-    Ranks depend on the whole resample, so this one is row-level: draws x rows, as any exact
-    method. Each draw is a group of its own, and rows drawn several times carry a weight.
+    For metrics that are no function of sums: draws x rows, as any exact method.
     """
     session = [*group, "trade_date", "session_id"]
     fold = F.col("fold_index") if "fold_index" in predictions.columns else F.lit(0)
@@ -294,10 +324,24 @@ def resampled_rank_ic(
             .applyInArrow(drawn_rows, schema)
             .unionByName(joined.select(*group, "draw", P, T, "_w"))
         )
+    return chosen.select(*group, "draw", P, T, "_w")
+
+
+def resampled_rank_ic(predictions: DataFrame, *, group: list[str], **drawing) -> DataFrame:
+    """Rank correlation of every resample; each draw is a group of its own."""
+    chosen = resampled_rows(predictions, group=group, **drawing)
     # Ranking both sides reads the resamples several times; draw them once.
     ensure_checkpoint_dir(chosen.sparkSession)
-    chosen = chosen.select(*group, "draw", P, T, "_w").checkpoint()
-    return rank_correlation(chosen, [*group, "draw"], P, T, F.col("_w"))
+    return rank_correlation(chosen.checkpoint(), [*group, "draw"], P, T, F.col("_w"))
+
+
+def resampled_metrics(
+    predictions: DataFrame, metrics: dict[str, Metric], *, group: list[str], **drawing
+) -> DataFrame:
+    """User metrics, given as aggregates over (prediction, target) columns, of every resample."""
+    rows = resampled_rows(predictions, group=group, **drawing)
+    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_w")))
+    return copies.groupBy(*group, "draw").agg(*[f(F.col(P), F.col(T)).alias(n) for n, f in metrics.items()])
 
 
 def bootstrap_intervals(
@@ -311,15 +355,24 @@ def bootstrap_intervals(
     group: list[str] | None = None,
     sample_order: list[str] | None = None,
     max_session_rows: int = MAX_SESSION_ROWS,
+    custom: dict[str, Metric] | None = None,
 ) -> DataFrame:
-    """``(group, metric, estimate, lower, upper, confidence_level)`` in long form."""
+    """``(group, metric, estimate, lower, upper, confidence_level)`` in long form.
+
+    ``custom`` adds user metrics by name, as in ``plans.evaluate.custom_metric``; with it and an
+    empty ``names`` only those are reported.
+    """
     if not 0 < confidence < 1:
         raise ValueError("confidence must be between 0 and 1")
     if draws <= 0 or block <= 0:
         raise ValueError("draws and block must be > 0")
-    names = check_metrics(names or METRICS)
+    custom = custom or {}
+    names = [] if custom and names == [] else check_metrics(names or METRICS)
+    if set(custom) & set(METRICS):
+        raise ValueError(f"custom metrics need names of their own, not {sorted(set(custom) & set(METRICS))}")
     group = list(group or CANDIDATE)
     order = list(sample_order or SAMPLE)
+    drawing = {"draws": draws, "block": block, "seed": seed, "group": group, "sample_order": order}
     plain = [n for n in names if n != "rank_ic"]
     formulas = _estimates()
     estimates = None
@@ -331,16 +384,23 @@ def bootstrap_intervals(
         estimates = sums.select(*group, "draw", *[formulas[n].alias(n) for n in plain])
         estimates = estimates.unpivot([*group, "draw"], plain, "metric", "value")
     if "rank_ic" in names:
-        ranks = resampled_rank_ic(
-            predictions, draws=draws, block=block, seed=seed, group=group, sample_order=order
-        ).select(*group, "draw", F.lit("rank_ic").alias("metric"), F.col("rank_ic").alias("value"))
+        ranks = resampled_rank_ic(predictions, **drawing).select(
+            *group, "draw", F.lit("rank_ic").alias("metric"), F.col("rank_ic").alias("value")
+        )
         estimates = ranks if estimates is None else estimates.unionByName(ranks)
+    if custom:
+        own = resampled_metrics(predictions, custom, **drawing)
+        own = own.unpivot([*group, "draw"], list(custom), "metric", "value")
+        estimates = own if estimates is None else estimates.unionByName(own)
     alpha = (1 - confidence) / 2
     # One value per draw, so the exact percentile holds at most ``draws`` values.
     bounds = estimates.groupBy(*group, "metric").agg(
         F.percentile("value", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("b")
     )
-    point = evaluate(predictions, group, names).unpivot(group, names, "metric", "estimate")
+    point = evaluate(predictions, group, names).unpivot(group, names, "metric", "estimate") if names else None
+    for name, metric in custom.items():
+        own = custom_metric(predictions, metric, name, group).unpivot(group, [name], "metric", "estimate")
+        point = own if point is None else point.unionByName(own)
     return point.join(bounds, [*group, "metric"], "left").select(
         *group, "metric", "estimate",
         F.col("b")[0].alias("lower"), F.col("b")[1].alias("upper"),

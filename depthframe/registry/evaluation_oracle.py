@@ -131,4 +131,11 @@ SELECT {G}, bin_index, count(*) AS sample_count, {r("avg(p)")} AS mean_predictio
     f" sum(sample_count)::BIGINT AS sample_count, {_SUMMARY} FROM result GROUP BY ticker, model_name",
     "bootstrap_ci": _bootstrap(_PLAIN),
     "bootstrap_rank_ic": _bootstrap(["rank_ic"]),
+    "bootstrap_custom_metric": f"""WITH {PREDS}, {_resampled()},
+est AS (SELECT {G}, draw, max(abs(p - t)) AS value FROM drawn GROUP BY {G}, draw),
+bounds AS (SELECT {G}, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM est GROUP BY {G}),
+point AS (SELECT {G}, max(abs(p - t)) AS estimate FROM ok GROUP BY {G})
+SELECT p.ticker, p.model_name, p.fold_index, 'largest_error' AS metric, {r("estimate")} AS estimate, {r("lower")} AS lower,
+       {r("upper")} AS upper, 0.95::DOUBLE AS confidence_level
+FROM point p JOIN bounds b ON p.ticker = b.ticker AND p.model_name = b.model_name AND p.fold_index = b.fold_index""",
 }

@@ -69,9 +69,14 @@ def bootstrap_rank_ic(spark, sf):
     return _bootstrap(spark, sf, ["rank_ic"])
 
 
-def _bootstrap(spark, sf, names):
+def bootstrap_custom_metric(spark, sf):
+    """Interval of a user metric that is no function of sums: the largest error."""
+    return _bootstrap(spark, sf, [], {"largest_error": lambda p, t: F.max(F.abs(p - t))})
+
+
+def _bootstrap(spark, sf, names, custom=None):
     out = bootstrap_intervals(
-        inputs.predictions(spark, sf), names=names, draws=DRAWS, block=BLOCK, seed=SEED, sample_order=ORDER
+        inputs.predictions(spark, sf), names=names, custom=custom, draws=DRAWS, block=BLOCK, seed=SEED, sample_order=ORDER
     )
     return out.select(
         *ev.CANDIDATE, "metric", *rounded(["estimate", "lower", "upper", "confidence_level"])
@@ -90,4 +95,5 @@ QUERIES = {
     "fold_summary": fold_summary,
     "bootstrap_ci": bootstrap_ci,
     "bootstrap_rank_ic": bootstrap_rank_ic,
+    "bootstrap_custom_metric": bootstrap_custom_metric,
 }

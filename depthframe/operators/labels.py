@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthframe.functions.book import is_finite
@@ -18,6 +18,27 @@ def _valid_mid() -> Column:
     )
 
 
+def _from_other_slices(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """Complete ``_before`` and ``_after`` from the nearest slices that hold an answer."""
+    answered = F.when(~F.col("_q"), F.col("_at"))
+    per_slice = parts.groupBy(*KEY, "_slice").agg(
+        F.min_by("_answer", answered).alias("_first"), F.max_by("_answer", answered).alias("_last")
+    )
+    order = Window.partitionBy(*KEY).orderBy("_slice")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    carried = per_slice.select(
+        *KEY, "_slice",
+        F.last("_last", ignorenulls=True).over(earlier).alias("_earlier"),
+        F.first("_first", ignorenulls=True).over(later).alias("_later"),
+    )
+    return (
+        found.join(carried, [*KEY, "_slice"])
+        .withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")})
+        .drop("_earlier", "_later")
+    )
+
+
 def add_labels(
     timeline: DataFrame,
     *,
@@ -32,8 +53,8 @@ def add_labels(
     question the last answer at or before it and the first after it; the nearer wins, the
     later on a tie. Splitting a row into its parts keeps the session partitioning, so no join
     and no extra exchange is needed, and the wide row travels packed with its question only.
-    In sliced mode an answer is also copied to the slices its tolerance reaches, which
-    covers every match that can count.
+    In sliced mode a slice gets the last answer before it and the first after it from one
+    summary row per slice, so nothing is copied however wide the tolerance is.
     """
     require(timeline, [*KEY, "timestamp", "mid_price", "book_valid"], "label input")
     if horizon_seconds <= 0 or tolerance_seconds < 0:
@@ -48,11 +69,9 @@ def add_labels(
 
     # (axis time, slice, is_question)
     question = F.array(F.struct(asked_at.alias("at"), slicing.of(asked_at).alias("s"), F.lit(True).alias("q")))
-    reach = F.sequence(slicing.of(ts - tol), slicing.of(ts + tol))
-    answers = F.when(
-        _valid_mid(),
-        F.transform(reach, lambda s: F.struct(ts.alias("at"), s.alias("s"), F.lit(False).alias("q"))),
-    ).otherwise(F.array().cast("array<struct<at:timestamp_ntz,s:bigint,q:boolean>>"))
+    kind = "array<struct<at:timestamp_ntz,s:bigint,q:boolean>>"
+    answer = F.array(F.struct(ts.alias("at"), slicing.of(ts).alias("s"), F.lit(False).alias("q")))
+    answers = F.when(_valid_mid(), answer).otherwise(F.array().cast(kind))
     parts = base.withColumn("_p", F.explode(F.concat(question, answers)))
     is_question = F.col("_p.q")
     parts = parts.select(
@@ -77,8 +96,10 @@ def add_labels(
             }
         )
         .filter("_q")
-        .select(*KEY, "_at", "_before", "_after", "_row.*")
+        .select(*KEY, "_slice", "_at", "_before", "_after", "_row.*")
     )
+    if slicing.seconds is not None:
+        found = _from_other_slices(found, parts)
     before, after, at = F.col("_before"), F.col("_after"), F.col("_at")
     nearest = F.when(before.isNull(), after).when(after.isNull(), before).otherwise(
         F.when(after["ts"] - at <= at - before["ts"], after).otherwise(before)

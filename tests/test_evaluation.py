@@ -29,26 +29,48 @@ def one(df):
     return df.first().asDict()
 
 
-def test_error_and_correlation_vectors(spark):
-    got = one(ev.evaluate(frame(spark, [1.0, 2.0, 3.0], [1.0, 3.0, 2.0])))
-    assert got["mae"] == pytest.approx(2 / 3)
-    assert got["rmse"] == pytest.approx((2 / 3) ** 0.5)
-    assert got["ts_ic"] == pytest.approx(0.5)
-    assert got["rank_ic"] == pytest.approx(0.5)
-
-
-def test_missing_pairs_and_constants(spark):
-    got = one(ev.evaluate(frame(spark, [1.0, float("nan")], [3.0, 2.0])))
-    assert (got["mae"], got["sample_count"]) == (2.0, 2)
-    got = one(ev.evaluate(frame(spark, [1.0, 1.0], [3.0, 2.0])))
-    assert got["ts_ic"] is None and got["rank_ic"] is None
+def plain_metrics(p, t):
+    """The metrics from their definitions, over finite pairs."""
+    ok = np.isfinite(p) & np.isfinite(t)
+    p, t = p[ok], t[ok]
+
+    def ratio(hit, of):
+        return np.mean(hit[of]) if of.any() else None
+
+    def correlation(a, b):
+        return np.corrcoef(a, b)[0, 1] if len(set(a)) > 1 and len(set(b)) > 1 else None
 
+    def rank(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
 
-def test_direction_vectors(spark):
-    got = one(ev.evaluate(frame(spark, [1.0, -1.0, 1.0, -1.0, 1.0], [1.0, -1.0, -1.0, 1.0, 0.0])))
-    assert got["direction_accuracy"] == 0.5
-    assert (got["up_precision"], got["up_recall"]) == (pytest.approx(1 / 3), 0.5)
-    assert (got["down_precision"], got["down_recall"]) == (0.5, 0.5)
+    return {
+        "mae": np.mean(np.abs(p - t)),
+        "rmse": np.sqrt(np.mean((p - t) ** 2)),
+        "ts_ic": correlation(p, t),
+        "rank_ic": correlation(rank(p), rank(t)),
+        "direction_accuracy": ratio(np.sign(p) == np.sign(t), t != 0),
+        "up_precision": ratio(t > 0, p > 0),
+        "up_recall": ratio(p > 0, t > 0),
+        "down_precision": ratio(t < 0, p < 0),
+        "down_recall": ratio(p < 0, t < 0),
+    }
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_metrics_equal_their_definitions(spark, seed):
+    rng = np.random.default_rng(seed)
+    p, t = np.round(rng.normal(size=(2, 37)), 1)
+    p[[4, 9]], t[[9, 20]] = np.nan, [np.inf, np.nan]
+    t[[1, 2]] = 0.0
+    got = one(ev.evaluate(frame(spark, p.tolist(), t.tolist())))
+    assert got["sample_count"] == 37
+    for name, want in plain_metrics(p, t).items():
+        assert got[name] == pytest.approx(want), name
+
+
+def test_constant_side_has_no_correlation(spark):
+    got = one(ev.evaluate(frame(spark, [0.7, 0.7, 0.7], [0.1, 0.3, -0.2])))
+    assert got["ts_ic"] is None and got["rank_ic"] is None
     with pytest.raises(ValueError):
         m.precision("sideways")
 
@@ -59,21 +81,26 @@ def test_metric_names_are_checked(spark):
             ev.evaluate(frame(spark, [1.0], [1.0]), names=names)
 
 
-def test_icir_and_positive_share(spark):
-    rows = [("A", "m", 1, d, v) for d, v in (("1", 0.2), ("2", 0.4), ("3", None))]
+def test_daily_summary_equals_its_definition(spark):
+    values = [0.31, -0.12, None, 0.05, 0.27]
+    rows = [("A", "m", 1, f"2025-01-0{i + 1}", v) for i, v in enumerate(values)]
     daily = spark.createDataFrame(rows, "ticker string, model_name string, fold_index bigint, trade_date string, ts_ic double")
     got = one(ev.daily_summary(daily))
-    assert got["icir"] == pytest.approx(3.0)
-    assert got["positive_ic_day_ratio"] == 1.0
+    known = np.array([v for v in values if v is not None])
+    assert got["icir"] == pytest.approx(known.mean() / known.std())
+    assert got["positive_ic_day_ratio"] == pytest.approx(0.75)
 
 
 @pytest.mark.parametrize("limits", [{}, FORCED])
-def test_bins_vector(spark, limits):
-    got = ev.prediction_bins(frame(spark, [2.0, 1.0, 1.0, 4.0], [20.0, 10.0, 11.0, 40.0]), 2, **limits)
-    rows = got.orderBy("bin_index").collect()
-    assert [r["sample_count"] for r in rows] == [2, 2]
-    assert [r["mean_realized_return"] for r in rows] == [10.5, 30.0]
-    assert [(r["lower_quantile"], r["upper_quantile"]) for r in rows] == [(0.0, 0.5), (0.5, 1.0)]
+def test_bins_equal_sorted_parts(spark, limits):
+    rng = np.random.default_rng(6)
+    p, t = np.round(rng.normal(size=(2, 23)), 1)
+    rows = ev.prediction_bins(frame(spark, p.tolist(), t.tolist()), 4, **limits).orderBy("bin_index").collect()
+    parts = np.array_split(np.argsort(p, kind="stable"), 4)
+    assert [r["sample_count"] for r in rows] == [len(x) for x in parts]
+    assert [r["mean_prediction"] for r in rows] == pytest.approx([p[x].mean() for x in parts])
+    assert [r["mean_realized_return"] for r in rows] == pytest.approx([t[x].mean() for x in parts])
+    assert [(r["lower_quantile"], r["upper_quantile"]) for r in rows] == [(i / 4, (i + 1) / 4) for i in range(4)]
 
 
 def test_too_few_samples_for_bins(spark):
@@ -171,13 +198,41 @@ def test_bootstrap_against_rows(spark, limit, monkeypatch):
         assert got[name][1:] == pytest.approx(tuple(want)), name
 
 
-def test_bootstrap_estimate_and_arguments(spark):
-    p = [float(i) for i in range(8)]
-    days = ["2025-01-01"] * 4 + ["2025-01-02"] * 4
-    df = frame(spark, p, [x + 1 for x in p], days, ["am", "am", "pm", "pm"] * 2)
-    first = bootstrap_intervals(df, names=["mae"], draws=20, block=2, seed=7).collect()
-    assert first[0]["estimate"] == pytest.approx(1.0)
-    assert first == bootstrap_intervals(df.repartition(3), names=["mae"], draws=20, block=2, seed=7).collect()
-    for bad in ({"confidence": 1.0}, {"draws": 0}, {"block": 0}):
+def test_least_of_blocks():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=50)
+    lo = rng.integers(0, 50, 200)
+    hi = np.minimum(lo + rng.integers(1, 20, 200), 50)
+    draw = rng.integers(0, 9, 200)
+    got = bs.least_by_draw(x, draw, lo, hi, 10)
+    want = [min((x[a:b].min() for a, b, d in zip(lo, hi, draw) if d == k), default=np.inf) for k in range(10)]
+    assert got.tolist() == want
+
+
+def test_nearly_constant_draws_count(spark):
+    p = (1e6 + np.arange(12) * 1e-3).tolist()  # far from zero, but no draw is constant
+    t = [float((7 * i) % 5) for i in range(12)]
+    got = bootstrap_intervals(frame(spark, p, t), names=["ts_ic"], draws=30, block=6, seed=3).first()
+    assert got["lower"] is not None and got["lower"] < got["upper"]
+    flat = bootstrap_intervals(frame(spark, [1e6] * 12, t), names=["ts_ic"], draws=30, block=6, seed=3).first()
+    assert flat["lower"] is None and flat["estimate"] is None
+
+
+def test_bootstrap_repeats_and_checks_arguments(spark):
+    rng = np.random.default_rng(9)
+    p, t = rng.normal(size=(2, 14))
+    days = ["2025-01-01"] * 6 + ["2025-01-02"] * 8
+    df = frame(spark, p.tolist(), t.tolist(), days, ["am"] * 3 + ["pm"] * 3 + ["am"] * 8)
+    spread = {"spread": lambda a, b: F.max(a) - F.min(b)}
+    first = bootstrap_intervals(df, names=["mae"], draws=20, block=2, seed=7, custom=spread).collect()
+    again = bootstrap_intervals(df.repartition(3), names=["mae"], draws=20, block=2, seed=7, custom=spread).collect()
+    by, other = ({r["metric"]: r for r in rows} for rows in (first, again))
+    assert set(by) == {"mae", "spread"}
+    for name, row in by.items():
+        assert [other[name][c] for c in ("estimate", "lower", "upper")] == pytest.approx([row["estimate"], row["lower"], row["upper"]])
+    assert by["mae"]["estimate"] == pytest.approx(np.abs(p - t).mean())
+    assert by["spread"]["estimate"] == pytest.approx(p.max() - t.min())
+    assert by["spread"]["upper"] <= p.max() - t.min() + 1e-12
+    for bad in ({"confidence": 1.0}, {"draws": 0}, {"block": 0}, {"custom": {"mae": spread["spread"]}}):
         with pytest.raises(ValueError):
             bootstrap_intervals(df, **bad)

@@ -23,15 +23,15 @@ def mids(spark, rows):
 
 
 @pytest.mark.parametrize("slicing", [WHOLE, Slicing(10), Slicing(1)])
-def test_label_vectors(spark, slicing):
-    frame = mids(spark, [(0, 100.0, True), (62, 110.0, True), (120, 121.0, True)])
+def test_label_returns_and_tolerance(spark, slicing):
+    frame = mids(spark, [(0, 40.0, True), (57, 41.0, True), (118, 38.5, True)])
     got = add_labels(frame, slicing=slicing)
-    assert by_time(got, "future_mid") == [110.0, 121.0, None]
+    assert by_time(got, "future_mid") == [41.0, 38.5, None]
     assert by_time(got, "target_valid") == [True, True, False]
-    assert by_time(got, "Target_60s_log")[0] == pytest.approx(math.log(1.1))
-    assert by_time(got, "Target_60s_simple")[0] == pytest.approx(0.1)
+    assert by_time(got, "Target_60s_log")[:2] == pytest.approx([math.log(41 / 40), math.log(38.5 / 41)])
+    assert by_time(got, "Target_60s_simple")[:2] == pytest.approx([1 / 40, -2.5 / 41])
     strict = add_labels(frame, tolerance_seconds=1, slicing=slicing)
-    assert by_time(strict, "future_mid") == [None, None, None]
+    assert by_time(strict, "future_mid") == [None, 38.5, None]
 
 
 def test_label_tie_takes_the_later_and_rerun_is_safe(spark):
@@ -41,15 +41,15 @@ def test_label_tie_takes_the_later_and_rerun_is_safe(spark):
     assert add_labels(once).columns == once.columns
 
 
-@pytest.mark.parametrize("slicing", [WHOLE, Slicing(7)])
-def test_labels_against_brute_force(spark, slicing):
+@pytest.mark.parametrize(("slicing", "tolerance"), [(WHOLE, 4), (Slicing(7), 4), (Slicing(1), 90)])
+def test_labels_against_brute_force(spark, slicing, tolerance):
     rng = random.Random(5)
     times = sorted(rng.sample(range(0, 900), 150))
     rows = [(t, None if rng.random() < 0.1 else 100 + rng.random(), rng.random() > 0.2) for t in times]
-    got = by_time(add_labels(mids(spark, rows), horizon_seconds=30, tolerance_seconds=4, slicing=slicing), "future_mid", "target_valid")
+    got = by_time(add_labels(mids(spark, rows), horizon_seconds=30, tolerance_seconds=tolerance, slicing=slicing), "future_mid", "target_valid")
     good = [(t, m) for t, m, ok in rows if ok and m is not None]
     for (t, m, ok), (mid, valid) in zip(rows, got, strict=True):
-        near = [(abs(c - t - 30), -c, v) for c, v in good if abs(c - t - 30) <= 4]
+        near = [(abs(c - t - 30), -c, v) for c, v in good if abs(c - t - 30) <= tolerance]
         want = min(near)[2] if near else None
         assert mid == want
         assert valid == (ok and m is not None and want is not None)

@@ -124,6 +124,14 @@ s AS (SELECT {K}, count(*) AS n FROM stored GROUP BY {K}) {_rules(_BROKEN_ROWS,
 {_rules(_BROKEN_WINDOWS, "")}""",
     "zero_baseline": _predictions("zero", "0.0::DOUBLE"),
     "imbalance_ols": _predictions("imbalance", "f.slope * q.x + f.intercept"),
+    "grouped_candidate": f"""WITH {FOLDED},
+one AS (SELECT ticker, fold_index, regr_slope(y, z_ASKs1::FLOAT::DOUBLE) AS slope,
+               regr_intercept(y, z_ASKs1::FLOAT::DOUBLE) AS intercept FROM xy WHERE split = 'train' GROUP BY ticker, fold_index)
+SELECT 'one-feature' AS model_name, q.fold_index, q.ticker, q.trade_date, q.session_id,
+  CAST(q.ts AS VARCHAR) AS anchor_timestamp, {r("y", 7)} AS target,
+  {r("o.slope * q.z_ASKs1::FLOAT::DOUBLE + o.intercept", 7)} AS prediction,
+  {r("ASKp1::FLOAT::DOUBLE - BIDp1::FLOAT::DOUBLE", 5)} AS spread
+FROM xy q JOIN one o ON q.ticker = o.ticker AND q.fold_index = o.fold_index WHERE q.split = 'test'""",
     "imbalance_coefficients": f"WITH {FOLDED} SELECT ticker, fold_index, train_count, {r('slope', 8)} AS slope,"
     f" {r('intercept', 8)} AS intercept FROM fit",
     "ridge_coefficients": _RIDGE,

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from depthframe.operators import quality, samples, validation
 from depthframe.operators.baselines import (
+    GroupedCandidate,
     ImbalanceBaseline,
+    OneFeature,
     RidgeBaseline,
     ZeroBaseline,
     score_windows,
@@ -68,6 +70,12 @@ def ridge_baseline(spark, sf):
     return _shown(_predict(spark, sf, _ridge()))
 
 
+def grouped_candidate(spark, sf):
+    """A plugged-in model, fitted for all instruments and folds in one plan."""
+    model = OneFeature(inputs.SAMPLE_FEATURES.index("ASKs1"))
+    return _shown(_predict(spark, sf, GroupedCandidate(model)))
+
+
 def ridge_coefficients(spark, sf):
     """Ridge on two features of the anchor row alone, small enough to solve in SQL."""
     rows = inputs.dataset_rows(spark, sf, inputs.RIDGE_FEATURES)
@@ -236,6 +244,7 @@ QUERIES = {
     "imbalance_ols": imbalance_ols,
     "imbalance_coefficients": imbalance_coefficients,
     "ridge_baseline": ridge_baseline,
+    "grouped_candidate": grouped_candidate,
     "ridge_coefficients": ridge_coefficients,
     "batch_scoring": batch_scoring,
     "walk_forward_summary": walk_forward_summary,

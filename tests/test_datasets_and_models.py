@@ -237,16 +237,25 @@ def test_scoring_checks_its_model(spark):
             bl.score_windows(rows, bad, 2).collect()
 
 
-def test_spark_ml_candidate(spark, built):
-    from pyspark.ml.regression import LinearRegression
-
+def test_grouped_candidate_equals_a_plain_fit(spark, built):
     package = built[2]
-    plan = package.plan().filter("ticker = 'A' AND fold_index = 1")
-    estimator = LinearRegression(featuresCol="vector", labelCol="label", regParam=0.1)
-    candidate = bl.EstimatorCandidate("linear", estimator, 2)
-    got = candidate_predictions(package.rows(), plan, candidate)
-    test = split_rows(package.rows(), plan, "test").filter("is_anchor")
-    assert got.count() == test.count() > 0
+    plan = package.plan()
+    got = candidate_predictions(package.rows(), plan, bl.GroupedCandidate(bl.OneFeature(3)))
+    got = {(r["ticker"], r["fold_index"], r["anchor_timestamp"]): r["prediction"] for r in got.collect()}
+    want = {}
+    train, test = (
+        split_rows(package.rows(), plan, s).filter("is_anchor").select("ticker", "fold_index", "timestamp", "features", "target").toPandas()
+        for s in ("train", "test")
+    )
+    for key, rows in train.groupby(["ticker", "fold_index"]):
+        x = np.array([f[3] for f in rows["features"]], dtype=float)
+        slope, intercept = np.polyfit(x, rows["target"].astype(float), 1)
+        for r in test[(test["ticker"] == key[0]) & (test["fold_index"] == key[1])].itertuples():
+            want[(*key, r.timestamp.to_pydatetime())] = slope * float(r.features[3]) + intercept
+    assert want and got.keys() == want.keys()
+    assert [got[k] for k in want] == pytest.approx(list(want.values()), rel=1e-6, abs=1e-12)
+    with pytest.raises(RuntimeError):
+        bl.GroupedCandidate(bl.OneFeature(0)).predict(package.rows())
 
 
 def test_walk_forward_run(spark, built, tmp_path):

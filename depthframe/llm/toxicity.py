@@ -11,7 +11,8 @@ feature is telling if it occurs in toxic texts of the sample more often than cha
 :func:`telling`).
 
 Training uses a bounded sample: the ``SAMPLE`` labelled documents of either class that come first by
-a hash of their id, at most. Scoring reads every text whole; it is one pass without a shuffle.
+a hash of their id, at most. A sampled row counts for all labelled rows it stands for, so that
+probabilities and ``REJECT`` mean the same however many labels there are. Scoring reads every text whole; it is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -117,9 +118,15 @@ def derived_grades(count: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + (count > middle), 0).astype(int)
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 300, decay: float = 1e-3):
-    """Weights and increasing thresholds by full-batch Adam on the cumulative-link likelihood."""
+def fit_ordinal(
+    x: np.ndarray, y: np.ndarray, grades: int, steps: int = 300, decay: float = 1e-3, counts: np.ndarray | None = None
+):
+    """Weights and increasing thresholds by full-batch Adam on the cumulative-link likelihood.
+
+    ``counts`` says how often each row counts, once by default.
+    """
     n, d = x.shape
+    counts = np.ones(n) if counts is None else counts
     theta = np.zeros(d + grades - 1)
     theta[d:] = np.r_[0.0, np.full(grades - 2, np.log(1.0))]
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -130,7 +137,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 300, dec
         edge = np.c_[np.ones(n), above, np.zeros(n)]
         p = np.maximum(edge[np.arange(n), y] - edge[np.arange(n), y + 1], 1e-12)
         slope = np.c_[np.zeros(n), above * (1 - above), np.zeros(n)]
-        low, high = slope[np.arange(n), y] / p, slope[np.arange(n), y + 1] / p
+        low, high = counts * slope[np.arange(n), y] / p, counts * slope[np.arange(n), y + 1] / p
         g_w = -(x.T @ (low - high)) / n + decay * theta[:d]
         g_t = np.zeros(grades - 1)
         np.add.at(g_t, np.clip(y - 1, 0, grades - 2), np.where(y > 0, low, 0) / n)
@@ -142,7 +149,9 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 300, dec
     return theta[:d], np.cumsum(np.r_[theta[d], np.exp(theta[d + 1 :])])
 
 
-def fit_features(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
+def fit_features(
+    keys: np.ndarray, rows: np.ndarray, at: np.ndarray, toxic: np.ndarray, counts: np.ndarray | None = None
+) -> OrdinalModel:
     """Model from the (row, index into ``keys``) pairs of a sample. Without a telling feature every grade is 0."""
     chosen = telling(rows, at, toxic)
     if not chosen:
@@ -154,7 +163,7 @@ def fit_features(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, toxic: np.n
     x = np.zeros((len(toxic), len(chosen)))
     x[rows[use], column[at[use]]] = 1
     y = derived_grades(x.sum(1), toxic.astype(bool))
-    return OrdinalModel(keys[chosen], *fit_ordinal(x, y, GRADES))
+    return OrdinalModel(keys[chosen], *fit_ordinal(x, y, GRADES, counts=counts))
 
 
 def train(column: pa.Array, toxic: np.ndarray) -> OrdinalModel:
@@ -167,13 +176,25 @@ def train(column: pa.Array, toxic: np.ndarray) -> OrdinalModel:
     return fit_features(keys, rows[use], at, toxic)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``per_class`` documents of either class; null labels are left out."""
-    marks = (
+def label_marks(labels: DataFrame) -> DataFrame:
+    """One row per labelled document; null labels are left out."""
+    return (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").alias("l_id"))
         .agg(F.max("toxic").alias("l_toxic"))
     )
+
+
+def class_counts(labels: DataFrame, per_class: int = SAMPLE) -> np.ndarray:
+    """How often a sampled row of either class counts: its labels by its sampled ones, 1 for the less thinned class."""
+    total = dict(label_marks(labels).groupBy("l_toxic").count().collect())
+    rows = np.array([total.get(c, 0) / per_class for c in (0, 1)])
+    return np.maximum(rows, 1) / np.maximum(rows, 1).min()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
+    """(text, toxic) of at most ``per_class`` documents of either class."""
+    marks = label_marks(labels)
     first = [
         marks.filter(F.col("l_toxic") == c).orderBy(F.xxhash64("l_id"), "l_id").limit(per_class) for c in (0, 1)
     ]
@@ -214,9 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     marked = sample.mapInArrow(own_features, "toxic int, at array<int>").toArrow().combine_chunks()
     if not marked.num_rows:
         return fit_features(keys, np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    lists = marked["at"].combine_chunks()
+    lists, toxic = marked["at"].combine_chunks(), marked["toxic"].to_numpy()
     rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    return fit_features(keys, rows, lists.flatten().to_numpy(), marked["toxic"].to_numpy().astype(float))
+    return fit_features(keys, rows, lists.flatten().to_numpy(), toxic.astype(float), class_counts(labels)[toxic])
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,3 +66,19 @@ def test_rows_and_defined_results(spark):
 def test_one_class_only(toxic):
     model = tox.train(pa.array(["a b", "b", "c", "", None]), toxic)
     assert (model.above(model.latent(pa.array(["a b"]))) < 0.5).all()
+
+
+@pytest.mark.parametrize("n", [400, 4400])
+def test_probabilities_do_not_depend_on_the_number_of_labels(spark, n):
+    rng = random.Random(n)
+    plain, bad = [f"word{i}" for i in range(400)], ["grubnik", "slorpish", "vexar"]
+    rows = []
+    for i in range(10 * n):
+        words = [rng.choice(plain) for _ in range(8)]
+        false = n // 2 <= i < n  # half of the toxic labels are false, 5% of the clean texts
+        rows.append((i, " ".join(words if i >= n or false else [*words, rng.choice(bad), rng.choice(bad)]), int(i < n)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = tox.fit(docs.drop("toxic"), docs.drop("text"))
+    clean, foul = model.above(model.latent(pa.array(["word1 word2", "word1 grubnik vexar"])))[:, 0]
+    assert 0.03 < clean < 0.08 and foul >= tox.REJECT
+    assert not tox.grade(docs.filter(f"doc_id >= {n // 2}"), model).filter("toxic").count()

@@ -11,7 +11,8 @@ are scored exactly; no passage above the threshold can be missed.
 Retrieved pairs are verified by the share of five-word shingles of the item's question and answer
 (its last sentence) that the passage holds.
 
-Documents stay in their tasks: no shuffle. Items are taken ``GROUP`` at a time, each group in a pass
+BM25 statistics are those of the whole benchmark, counted by Spark, so a score does not depend on the
+group an item is in. Documents stay in their tasks: no shuffle. Items are taken ``GROUP`` at a time, each group in a pass
 of its own, which bounds the broadcast whatever the size of the benchmark.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthframe.llm import words as w
-from depthframe.llm.common import table
+from depthframe.llm.common import stored, table
 
 HALF, BLOCK, GROUP, SHINGLE = 64, 8, 512, 5
 K1, B = 1.2, 0.75
@@ -66,18 +68,39 @@ def item_parts(item: int, text: str | None) -> list[Part]:
     return out
 
 
+@dataclass
+class Totals:
+    """Of the whole benchmark: parts, their words, and the parts that hold a term."""
+
+    parts: int
+    words: int
+    spread: dict[int, int]
+
+
 class Index:
     """BM25 weights of the parts by term, and their maxima by block of parts."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.parts = [p for item, text in items for p in item_parts(item, text)]
+        parts = [p for item, text in items for p in item_parts(item, text)]
+        spread = Counter(t for p in parts for t in set(p.words.tolist()))
+        self._fill(parts, Totals(len(parts), sum(len(p.words) for p in parts), spread))
+
+    @classmethod
+    def of(cls, parts: list[Part], totals: Totals) -> Index:
+        """Index over some parts of a benchmark; ``totals`` covers their terms at least."""
+        out = cls.__new__(cls)
+        out._fill(parts, totals)
+        return out
+
+    def _fill(self, parts: list[Part], totals: Totals) -> None:
+        self.parts = parts
         counts = [Counter(p.words.tolist()) for p in self.parts]
-        spread = Counter(t for c in counts for t in c)
-        self.terms = np.array(sorted(spread), w.U64)
+        spread = totals.spread
+        self.terms = np.array(sorted({t for c in counts for t in c}), w.U64)
         at = {t: i for i, t in enumerate(self.terms.tolist())}
-        n = len(self.parts)
-        mean = sum(len(p.words) for p in self.parts) / max(1, n)
-        blocks = -(-n // BLOCK)
+        n = totals.parts
+        mean = totals.words / max(1, n)
+        blocks = -(-len(self.parts) // BLOCK)
         self.weights = np.zeros((len(self.terms) + 1, blocks * BLOCK), np.float32)
         for i, (part, count) in enumerate(zip(self.parts, counts)):
             long = K1 * (1 - B + B * len(part.words) / mean)
@@ -164,20 +187,45 @@ def share(wanted: np.ndarray, held: np.ndarray) -> float:
     return float(found.mean())
 
 
-def item_groups(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Index]:
+def part_table(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """A row for each part of the items, stored: ``item``, a number ``part``, and hashes as signed integers."""
+    names = ["item", "words", "question", "answer"]
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{text_col}`").alias("text"))
+
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist()):
+                parts = item_parts(item, text)
+                lists = [[getattr(p, k).view(np.int64) for p in parts] for k in names[1:]]
+                hashes = [pa.array(x, pa.list_(pa.int64())) for x in lists]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.int64()), *hashes], names)
+
+    schema = "item bigint, words array<bigint>, question array<bigint>, answer array<bigint>"
+    parts = rows.filter(F.col("item").isNotNull()).mapInArrow(cut, schema)
+    return stored(parts.withColumn("part", F.monotonically_increasing_id()))
+
+
+def item_groups(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """Indexes over ``GROUP`` items each, in order of their ids. Items are read group by group."""
-    rows = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return [Index(group) for group in _grouped(rows.toLocalIterator())]
+    parts = part_table(benchmark, item_col, text_col)
+    n, words = parts.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    terms = parts.select("part", F.explode(F.array_distinct("words")).alias("term"))
+    spread = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    known = terms.join(spread, "term").groupBy("part").agg(F.collect_list(F.struct("term", "n")).alias("spread"))
+    rows = parts.join(known, "part").orderBy("item", "part")
+    for group in _grouped(rows.toLocalIterator()):
+        held = [Part(r["item"], *(np.array(r[k], np.int64).view(w.U64) for k in ("words", "question", "answer"))) for r in group]
+        yield Index.of(held, Totals(n, words, {t % 2**64: k for r in group for t, k in r["spread"]}))
 
 
 def _grouped(rows):
-    group = []
+    group, items = [], set()
     for r in rows:
-        if r["id"] is not None:
-            group.append((r["id"], r["text"]))
-        if len(group) == GROUP:
+        if len(items) == GROUP and r["item"] not in items:
             yield group
-            group = []
+            group, items = [], set()
+        group.append(r)
+        items.add(r["item"])
     if group:
         yield group
 

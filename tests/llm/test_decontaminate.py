@@ -99,3 +99,24 @@ def test_groups_of_items_give_the_same_pairs(spark, monkeypatch):
     monkeypatch.setattr(dc, "GROUP", 7)
     got = {tuple(r) for r in dc.find_leaks(docs, benchmark).select("doc_id", "item_id").collect()}
     assert got == {(i, i) for i in range(60)}
+
+
+def test_scores_do_not_depend_on_groups_or_file_order(spark, monkeypatch):
+    rng = random.Random(7)
+    bench = [x for x in items(rng)[:61] if x[0] != 7]
+    rows = []
+    for i, text in bench:
+        words = text.split(" ")
+        words[len(words) // 4] = "edited"
+        rows.append((i, make(rng, 30) + " " + " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = dc.Index(bench)
+    want = {(rows[t][0], item): score for t, item, _, score, *_ in whole.leaks(pa.array([t for _, t in rows]))}
+    assert len(want) >= 55
+    rng.shuffle(bench)
+    benchmark = spark.createDataFrame(bench, "item_id bigint, text string").repartition(5)
+    monkeypatch.setattr(dc, "GROUP", 7)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.find_leaks(docs, benchmark).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-5 for k, v in want.items())
+    ids = [p.item for index in dc.item_groups(benchmark) for p in index.parts]
+    assert ids == sorted(ids)

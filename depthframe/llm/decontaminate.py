@@ -3,37 +3,43 @@
 The test items are the indexed side, the training passages are the queries. A document is cut
 into overlapping passages of two half passages each (``HALF`` words), so that every run of ``HALF``
 words lies in one of them; items longer than that are indexed in about equal parts. BM25 weights
-are divided by the item's score against itself, so that one threshold serves all items.
+are divided by the part's score against itself, so that one threshold serves all items.
 
 For every passage the distinct index terms are looked up and their largest weights in each block
-of ``BLOCK`` items are summed. Only (passage, block) pairs whose bound reaches the threshold
+of ``BLOCK`` parts are summed. Only (passage, block) pairs whose bound reaches the threshold
 are scored exactly; no passage above the threshold can be missed.
 Retrieved pairs are verified by the share of five-word shingles of the item's question and answer
 (its last sentence) that the passage holds.
 
 BM25 statistics are those of the whole benchmark, counted by Spark, so a score does not depend on the
-group an item is in. Documents stay in their tasks: no shuffle. Items are taken ``GROUP`` at a time, each group in a pass
-of its own, which bounds the broadcast whatever the size of the benchmark.
+group an item is in. Documents stay in their tasks: no shuffle, one pass. Items are cut into parts by
+Spark and indexed ``GROUP`` parts at a time, as sparse postings. The driver builds and sends one
+group after another, a task holds one at a time; an item may lie in several groups.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthframe.llm import words as w
 from depthframe.llm.common import stored, table
 
-HALF, BLOCK, GROUP, SHINGLE = 64, 8, 512, 5
+HALF, BLOCK, SHINGLE = 64, 8, 5
+#: Parts in a group: at most ``HALF`` times as many postings.
+GROUP = 4096
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
+#: Block maxima and sums at hand at a time.
+STEP = 1 << 22
 #: Room for rounding in the sums of single-precision bounds.
 SLACK = 1e-4
 OVERLAP = 0.5
@@ -78,7 +84,10 @@ class Totals:
 
 
 class Index:
-    """BM25 weights of the parts by term, and their maxima by block of parts."""
+    """Postings: BM25 weights of the parts by term, and their maxima by block of parts.
+
+    Those of term ``i`` are ``first[i]:first[i + 1]``, its maxima ``block_first[i]:block_first[i + 1]``.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]]):
         parts = [p for item, text in items for p in item_parts(item, text)]
@@ -94,29 +103,32 @@ class Index:
 
     def _fill(self, parts: list[Part], totals: Totals) -> None:
         self.parts = parts
-        counts = [Counter(p.words.tolist()) for p in self.parts]
-        spread = totals.spread
-        self.terms = np.array(sorted({t for c in counts for t in c}), w.U64)
-        at = {t: i for i, t in enumerate(self.terms.tolist())}
-        n = totals.parts
-        mean = totals.words / max(1, n)
-        blocks = -(-len(self.parts) // BLOCK)
-        self.weights = np.zeros((len(self.terms) + 1, blocks * BLOCK), np.float32)
-        for i, (part, count) in enumerate(zip(self.parts, counts)):
+        mean = totals.words / max(1, totals.parts)
+        terms, weights = [np.zeros(0, w.U64)], [np.zeros(0)]
+        for part in parts:
+            term, count = np.unique(part.words, return_counts=True)
+            spread = np.array([totals.spread[t] for t in term.tolist()])
             long = K1 * (1 - B + B * len(part.words) / mean)
-            weight = {
-                t: np.log(1 + (n - spread[t] + 0.5) / (spread[t] + 0.5)) * c * (K1 + 1) / (c + long)
-                for t, c in count.items()
-            }
-            own = sum(weight.values())
-            for t, x in weight.items():
-                self.weights[at[t], i] = x / own
-        self.maxima = self.weights.reshape(len(self.weights), blocks, BLOCK).max(2)
+            weight = np.log(1 + (totals.parts - spread + 0.5) / (spread + 0.5)) * count * (K1 + 1) / (count + long)
+            terms.append(term)
+            weights.append(weight / weight.sum())
+        at = np.repeat(np.arange(len(parts)), [len(t) for t in terms[1:]])
+        term, weight = np.concatenate(terms), np.concatenate(weights).astype(np.float32)
+        order = np.lexsort((at, term))
+        self.part, self.weight = at[order].astype(np.int32), weight[order]
+        self.terms, first, size = np.unique(term[order], return_index=True, return_counts=True)
+        self.first = np.r_[first, len(order)]
+        self.blocks = -(-len(parts) // BLOCK)
+        key = np.repeat(np.arange(len(self.terms)), size) * self.blocks + self.part // BLOCK
+        key, start = np.unique(key, return_index=True)
+        self.block = (key % max(1, self.blocks)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else self.weight
+        self.block_first = np.searchsorted(key, np.arange(len(self.terms) + 1) * self.blocks)
         self.present = np.zeros(1 << 16, bool)
         self.present[(self.terms >> w.U64(48)).astype(int)] = True
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Row of each word in the weights; the last row, of zeros, for words outside the index."""
+        """Number of each word's term; one past the last for words outside the index."""
         out = np.full(len(hashes), len(self.terms))
         maybe = np.flatnonzero(self.present[(hashes >> w.U64(48)).astype(np.int64)])
         h = hashes[maybe]
@@ -146,34 +158,52 @@ class Index:
         passage, term = pair // size, pair % size
         full, edges = np.unique(passage, return_index=True)
         edges = np.r_[edges, len(passage)]
-        step = max(1, (1 << 22) // max(1, self.maxima.shape[1]))
+        cost = np.r_[0, np.cumsum(self.block_first[term + 1] - self.block_first[term])][edges]
+        wide = max(1, STEP // self.blocks)
         out, a = [], 0
         while a < len(full):
-            b = min(max(a + 1, int(np.searchsorted(edges, edges[a] + step, "right")) - 1), len(full))
-            rows = self.maxima[term[edges[a] : edges[b]]]
-            bound = np.add.reduceat(rows, edges[a:b] - edges[a], axis=0)
-            for i, k in np.argwhere(bound >= THRESHOLD - SLACK):
+            b = max(a + 1, min(int(np.searchsorted(cost, cost[a] + STEP, "right")) - 1, a + wide))
+            terms = term[edges[a] : edges[b]]
+            low_block, high_block = self.block_first[terms], self.block_first[terms + 1]
+            at = ranges(low_block, high_block)
+            near = np.repeat(np.repeat(np.arange(b - a), np.diff(edges[a : b + 1])), high_block - low_block)
+            bound = np.bincount(near * self.blocks + self.block[at], self.most[at], (b - a) * self.blocks)
+            open_blocks = bound.reshape(b - a, self.blocks) >= THRESHOLD - SLACK
+            for i in np.flatnonzero(open_blocks.any(1)):
                 p, terms = full[a + i], term[edges[a + i] : edges[a + i + 1]]
-                score = self.weights[terms, k * BLOCK : (k + 1) * BLOCK].sum(0)
+                at = ranges(self.first[terms], self.first[terms + 1])
+                at = at[open_blocks[i][self.part[at] // BLOCK]]
+                score = np.bincount(self.part[at], self.weight[at])
                 for j in np.flatnonzero(score >= THRESHOLD):
                     end = min(int(low[p]) + 2 * HALF, int(got.offsets[text[p] + 1]))
-                    out.append((int(text[p]), int(low[p]), end, int(k * BLOCK + j), float(score[j])))
+                    out.append((int(text[p]), int(low[p]), end, int(j), float(score[j])))
             a = b
         return out
 
     def leaks(self, column: pa.Array) -> list[tuple[int, int, int, float, float, float]]:
-        """(text, item, passage, score, question share, answer share), the best passage of each pair."""
-        got = w.split_words(column, w.NOT_WORD, w.LOWER)
-        best: dict[tuple[int, int], tuple] = {}
-        for text, low, high, at, score in self.retrieve(got):
-            part, held = self.parts[at], got.hashes[low:high]
+        return leaks([self], column)
+
+
+def leaks(indexes: Iterable[Index], column: pa.Array) -> list[tuple[int, int, int, float, float, float]]:
+    """(text, item, passage, score, question share, answer share), the best passage of each pair."""
+    got = w.split_words(column, w.NOT_WORD, w.LOWER)
+    best: dict[tuple[int, int], tuple] = {}
+    for index in indexes:
+        for text, low, high, at, score in index.retrieve(got):
+            part, held = index.parts[at], got.hashes[low:high]
             question, answer = share(part.question, held), share(part.answer, held)
             if question >= OVERLAP and answer >= OVERLAP:
                 nth = int(low - got.offsets[text]) // HALF
                 row = (score, question, answer, -nth)
                 if row > best.get((text, part.item), (0,)):
                     best[text, part.item] = row
-        return [(t, i, -r[3], *r[:3]) for (t, i), r in sorted(best.items())]
+    return [(t, i, -r[3], *r[:3]) for (t, i), r in sorted(best.items())]
+
+
+def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges ``low[i]:high[i]``, one after another."""
+    size = high - low
+    return np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
 
 
 def share(wanted: np.ndarray, held: np.ndarray) -> float:
@@ -206,7 +236,7 @@ def part_table(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def item_groups(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes over ``GROUP`` items each, in order of their ids. Items are read group by group."""
+    """Indexes over ``GROUP`` parts each, in order of the items' ids, each made when it is asked for."""
     parts = part_table(benchmark, item_col, text_col)
     n, words = parts.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
     terms = parts.select("part", F.explode(F.array_distinct("words")).alias("term"))
@@ -219,17 +249,28 @@ def item_groups(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
 
 
 def _grouped(rows):
-    group, items = [], set()
+    group = []
     for r in rows:
-        if len(items) == GROUP and r["item"] not in items:
-            yield group
-            group, items = [], set()
         group.append(r)
-        items.add(r["item"])
+        if len(group) == GROUP:
+            yield group
+            group = []
     if group:
         yield group
 
 
+def sent_groups(benchmark: DataFrame) -> list[Broadcast]:
+    """All groups as broadcasts, which Spark keeps on disk where memory is short; the driver makes one at a time."""
+    return [benchmark.sparkSession.sparkContext.broadcast(index) for index in item_groups(benchmark)]
+
+
+def received(sent: list[Broadcast]) -> Iterator[Index]:
+    """The groups in a task, where a single one is kept and several are read anew each time."""
+    for one in sent:
+        path = getattr(one, "_path", None)  # not with encryption
+        yield one.value if len(sent) == 1 or path is None else one.load_from_path(path)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified pairs: id, ``item_id``, ``passage`` (number of its first half), ``score`` and both shares.
 
@@ -237,41 +278,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     empty texts or items match nothing, nor do items with a null id; an item of fewer than five
     words is one shingle per side. Repeated rows give repeated pairs.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item_id bigint, passage bigint, score double, question double, answer double"
     names = ["id", "item_id", "passage", "score", "question", "answer"]
-    out = spark.createDataFrame([], schema)
-    for index in item_groups(benchmark):
-        sent = spark.sparkContext.broadcast(index)
+    sent = sent_groups(benchmark)
 
-        def run(batches, sent=sent):
-            for part in w.slices(batches, "text"):
-                found = list(zip(*sent.value.leaks(part["text"])))
-                if found:
-                    ids = part["id"].take(pa.array(found[0], pa.int64()))
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                    rest = [pa.array(x, k) for x, k in zip(found[1:], kinds)]
-                    yield pa.RecordBatch.from_arrays([ids, *rest], names)
+    def run(batches):
+        for part in w.slices(batches, "text"):
+            found = list(zip(*leaks(received(sent), part["text"])))
+            if found:
+                ids = part["id"].take(pa.array(found[0], pa.int64()))
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                rest = [pa.array(x, k) for x, k in zip(found[1:], kinds)]
+                yield pa.RecordBatch.from_arrays([ids, *rest], names)
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
-    return out.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a verified passage, unchanged and in their partitions."""
-    for index in item_groups(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = sent_groups(benchmark)
 
-        def run(batches, sent=sent):
-            for part in w.slices(batches, text_col):
-                keep = np.ones(part.num_rows, bool)
-                keep[[x[0] for x in sent.value.leaks(part[text_col])]] = False
-                yield part.filter(pa.array(keep))
+    def run(batches):
+        for part in w.slices(batches, text_col):
+            keep = np.ones(part.num_rows, bool)
+            keep[[x[0] for x in leaks(received(sent), part[text_col])]] = False
+            yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -120,3 +120,17 @@ def test_scores_do_not_depend_on_groups_or_file_order(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-5 for k, v in want.items())
     ids = [p.item for index in dc.item_groups(benchmark) for p in index.parts]
     assert ids == sorted(ids)
+
+
+def test_long_items_stay_small_and_may_lie_in_several_groups(spark, monkeypatch):
+    long = [(i, " ".join(f"l{i}x{k}" for k in range(4000)) + ".") for i in range(8)]
+    index = dc.Index(long)
+    postings = sum(len(p.words) for p in index.parts)
+    assert sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray)) < 100 * postings
+    monkeypatch.setattr(dc, "GROUP", 100)
+    benchmark = spark.createDataFrame(long, "item_id bigint, text string")
+    assert max(len(g.parts) for g in dc.item_groups(benchmark)) == 100
+    docs = spark.createDataFrame([(i, long[i][1]) for i in (1, 5)] + [(9, "l1x1 l5x2")], "doc_id bigint, text string")
+    got = dc.find_leaks(docs, benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (5, 5)]
+    assert [r["doc_id"] for r in dc.drop_leaks(docs, benchmark).collect()] == [9]

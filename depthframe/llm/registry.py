@@ -6,13 +6,16 @@ from depthframe.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
+    filter_audit,
     language_id,
     license_scan,
     packing,
+    secret_links,
     set_join,
     substring_dedup,
     token_counts,
     toxicity,
+    vector_codes,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_preference_format": chat_format.op8_preference_format,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_secret_links": secret_links.op13_secret_links,
 }
 
 SQL = {
@@ -34,4 +40,6 @@ SQL = {
     "op8_preference_format": chat_format.SQL,
     "op9_license_scan": license_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }

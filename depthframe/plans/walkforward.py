@@ -30,7 +30,7 @@ def candidate_predictions(
     model_version: str = "v1",
 ) -> DataFrame:
     """Fit on every train split, predict every test split: all folds in one plan."""
-    candidate.fit(split_rows(rows, plan, "train"))
+    candidate.fit(rows, dates_for(plan, "train"))
     scored = candidate.predict(split_rows(rows, plan, "test"))
     columns = {
         "model_name": F.lit(candidate.name),

@@ -39,6 +39,7 @@ TARGET = label_column(HORIZON)
 # Features normalised in the sample queries: the ten size columns and four derived ones.
 SAMPLE_FEATURES = [f"{side}s{i}" for i in range(1, LEVELS + 1) for side in ("ASK", "BID")]
 RIDGE_FEATURES = ["ASKs1", "BIDs1"]
+RIDGE_HISTORY, RIDGE_ALPHA, WIDE_ALPHA = 3, 5.0, 1.0
 DERIVED = ["spread", "microprice", "l1_imbalance", "volume_slope"]
 
 

@@ -33,16 +33,58 @@ SELECT '{model}' AS model_name, q.fold_index, q.ticker, q.trade_date, q.session_
 FROM xy q JOIN fit f ON q.ticker = f.ticker AND q.fold_index = f.fold_index WHERE q.split = 'test'"""
 
 
-_RIDGE = f"""WITH {FOLDED},
-tr AS (SELECT ticker, fold_index, y, z_ASKs1::FLOAT::DOUBLE AS a, z_BIDs1::FLOAT::DOUBLE AS b FROM xy WHERE split = 'train'),
-s AS (
-  SELECT ticker, fold_index, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my,
-         count(*) * var_pop(a) + 5.0::DOUBLE AS aa, count(*) * var_pop(b) + 5.0::DOUBLE AS bb,
-         count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS by_
-  FROM tr GROUP BY ticker, fold_index),
-w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS w0, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS w1 FROM s)
-SELECT ticker, fold_index, n AS train_count, {r("w0", 8)} AS weight_0, {r("w1", 8)} AS weight_1,
-  {r("my - w0 * ma - w1 * mb", 8)} AS intercept FROM w"""
+def _ridge(features: list[str], history: int, alpha: float) -> str:
+    """Ridge weights per fold, by elimination on the centred normal equations.
+
+    The matrix is a table of cells (i, j, v) with the right-hand side as its last column; every
+    step clears one column in all other rows.
+    """
+    size = len(features) * history
+    row = ", ".join(f"s.z_{f}::FLOAT::DOUBLE" for f in features)
+    steps = "".join(
+        f"""
+m{k + 1} AS MATERIALIZED (
+  SELECT r.ticker, r.fold_index, r.i, r.j, CASE WHEN r.i = {k} THEN r.v / p.v ELSE r.v - c.v * e.v / p.v END AS v
+  FROM m{k} r
+  JOIN m{k} p ON p.ticker = r.ticker AND p.fold_index = r.fold_index AND p.i = {k} AND p.j = {k}
+  JOIN m{k} e ON e.ticker = r.ticker AND e.fold_index = r.fold_index AND e.i = {k} AND e.j = r.j
+  JOIN m{k} c ON c.ticker = r.ticker AND c.fold_index = r.fold_index AND c.i = r.i AND c.j = {k}
+  WHERE r.j > {k}),"""
+        for k in range(size)
+    )
+    return f"""WITH {FOLDED},
+win AS MATERIALIZED (
+  SELECT q.ticker, q.fold_index, q.split, q.trade_date, q.session_id, q.ts, q.y, q.ASKp1, q.BIDp1, q.global_index,
+         flatten(list([{row}] ORDER BY s.row_no)) AS w
+  FROM xy q JOIN stored s ON s.ticker = q.ticker AND s.trade_date = q.trade_date AND s.session_id = q.session_id
+    AND s.row_no BETWEEN q.row_no - {history - 1} AND q.row_no
+  GROUP BY ALL),
+long AS MATERIALIZED (
+  SELECT ticker, fold_index, global_index, y, unnest(range({size})) AS j, unnest(w) AS x FROM win WHERE split = 'train'),
+means AS (SELECT ticker, fold_index, j, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM long GROUP BY ALL),
+mid AS MATERIALIZED (
+  SELECT l.ticker, l.fold_index, l.global_index, l.j, l.x - m.mx AS x, l.y - m.my AS y
+  FROM long l JOIN means m ON l.ticker = m.ticker AND l.fold_index = m.fold_index AND l.j = m.j),
+m0 AS MATERIALIZED (
+  SELECT a.ticker, a.fold_index, a.j AS i, b.j AS j, sum(a.x * b.x) + CASE WHEN a.j = b.j THEN {alpha}::DOUBLE ELSE 0 END AS v
+  FROM mid a JOIN mid b ON a.ticker = b.ticker AND a.fold_index = b.fold_index AND a.global_index = b.global_index
+  GROUP BY a.ticker, a.fold_index, a.j, b.j
+  UNION ALL SELECT ticker, fold_index, j, {size}, sum(x * y) FROM mid GROUP BY ALL),{steps}
+weights AS (
+  SELECT m.ticker, m.fold_index, n, list(v ORDER BY i) AS weights, my - sum(v * mx) AS intercept
+  FROM m{size} m JOIN means a ON m.ticker = a.ticker AND m.fold_index = a.fold_index AND m.i = a.j
+  GROUP BY m.ticker, m.fold_index, n, my)"""
+
+
+_SMALL = len(inputs.RIDGE_FEATURES) * inputs.RIDGE_HISTORY
+_RIDGE = f"""{_ridge(inputs.RIDGE_FEATURES, inputs.RIDGE_HISTORY, inputs.RIDGE_ALPHA)}
+SELECT ticker, fold_index, n AS train_count, {", ".join(f"{r(f'weights[{i + 1}]', 8)} AS weight_{i}" for i in range(_SMALL))},
+  {r("intercept", 8)} AS intercept FROM weights"""
+_RIDGE_BASELINE = f"""{_ridge(inputs.SAMPLE_FEATURES, inputs.HISTORY, inputs.WIDE_ALPHA)}
+SELECT 'ridge' AS model_name, q.fold_index, q.ticker, q.trade_date, q.session_id, CAST(q.ts AS VARCHAR) AS anchor_timestamp,
+  {r("y", 7)} AS target, {r("list_dot_product(q.w, f.weights) + f.intercept", 7)} AS prediction,
+  {r("ASKp1::FLOAT::DOUBLE - BIDp1::FLOAT::DOUBLE", 5)} AS spread
+FROM win q JOIN weights f ON q.ticker = f.ticker AND q.fold_index = f.fold_index WHERE q.split = 'test'"""
 
 _LAST = " + ".join(f"z_{f}::FLOAT::DOUBLE" for f in inputs.SAMPLE_FEATURES)
 
@@ -135,6 +177,7 @@ FROM xy q JOIN one o ON q.ticker = o.ticker AND q.fold_index = o.fold_index WHER
     "imbalance_coefficients": f"WITH {FOLDED} SELECT ticker, fold_index, train_count, {r('slope', 8)} AS slope,"
     f" {r('intercept', 8)} AS intercept FROM fit",
     "ridge_coefficients": _RIDGE,
+    "ridge_baseline": _RIDGE_BASELINE,
     "segment_violations": f"WITH {SNAP} SELECT 'keys and timestamp present' AS rule, 0 * count(*) AS violations FROM snap"
     f" UNION ALL SELECT 'timestamps unique within a session', count(*) FROM"
     f" (SELECT {K}, ts FROM snap GROUP BY {K}, ts HAVING count(*) > 1)",

@@ -33,7 +33,7 @@ def _imbalance():
 
 
 def _ridge():
-    return RidgeBaseline(len(inputs.SAMPLE_FEATURES), inputs.HISTORY, alpha=1.0)
+    return RidgeBaseline(len(inputs.SAMPLE_FEATURES), inputs.HISTORY, alpha=inputs.WIDE_ALPHA)
 
 
 def _predict(spark, sf, candidate) -> DataFrame:
@@ -59,8 +59,8 @@ def imbalance_ols(spark, sf):
 
 
 def imbalance_coefficients(spark, sf):
-    rows = walkforward.split_rows(inputs.dataset_rows(spark, sf), _plan(spark, sf), "train")
-    fitted = _imbalance().fit(rows).coefficients
+    train = splits.dates_for(_plan(spark, sf), "train")
+    fitted = _imbalance().fit(inputs.dataset_rows(spark, sf), train).coefficients
     return fitted.select(
         "ticker", "fold_index", "train_count", r("slope", 8).alias("slope"), r("intercept", 8).alias("intercept")
     )
@@ -77,11 +77,12 @@ def grouped_candidate(spark, sf):
 
 
 def ridge_coefficients(spark, sf):
-    """Ridge on two features of the anchor row alone, small enough to solve in SQL."""
+    """Ridge on windows of two features, over runs of samples with breaks."""
     rows = inputs.dataset_rows(spark, sf, inputs.RIDGE_FEATURES)
-    train = walkforward.split_rows(rows, _plan(spark, sf), "train")
-    fitted = RidgeBaseline(len(inputs.RIDGE_FEATURES), 1, alpha=5.0).fit(train).coefficients
-    weights = [r(F.col("weights")[i], 8).alias(f"weight_{i}") for i in range(2)]
+    width, history = len(inputs.RIDGE_FEATURES), inputs.RIDGE_HISTORY
+    train = splits.dates_for(_plan(spark, sf), "train")
+    fitted = RidgeBaseline(width, history, alpha=inputs.RIDGE_ALPHA).fit(rows, train).coefficients
+    weights = [r(F.col("weights")[i], 8).alias(f"weight_{i}") for i in range(width * history)]
     return fitted.select("ticker", "fold_index", "train_count", *weights, r("intercept", 8).alias("intercept"))
 
 

@@ -205,7 +205,7 @@ def test_imbalance_fit_is_exact(spark):
 @pytest.mark.parametrize(("alpha", "chunk"), [(0.0, 65536), (2.5, 65536), (2.5, 16)])
 def test_ridge_against_closed_form(spark, monkeypatch, alpha, chunk):
     monkeypatch.setattr(bl, "CHUNK_ROWS", chunk)
-    monkeypatch.setattr(bl, "MAX_PIECES", 2)
+    monkeypatch.setattr(bl, "LAGS_TOGETHER", 2)
     rng = np.random.default_rng(4)
     n, history, width = 90, 3, 2
     x = rng.normal(size=(n, width)).astype("float32").astype("float64")

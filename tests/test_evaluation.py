@@ -12,7 +12,7 @@ from depthframe.plans import evaluate as ev
 from depthframe.schema import METRICS
 
 SCHEMA = "ticker string, model_name string, fold_index bigint, trade_date string, session_id string, anchor_timestamp timestamp_ntz, prediction double, target double"
-FORCED = {"max_rows": 0, "rows_per_part": 7}
+FORCED = {"rows_per_part": 7}
 
 
 def frame(spark, preds, targets, days=None, sessions=None):

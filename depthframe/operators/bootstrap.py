@@ -3,7 +3,8 @@
 Blocks never cross a session. Block starts are an integer hash of (seed, resample,
 session, block), so they do not depend on partitioning and SQL can repeat them. Every
 metric but the rank correlation is a function of sums, and a block's sum is the difference of
-two prefix sums: a resample costs one lookup per block and not per row.
+two prefix sums: a resample costs one lookup per block and not per row. The rank correlation and
+opaque Python metrics are computed for batches of draws with a group in one task (``operators.draws``).
 """
 
 from __future__ import annotations
@@ -16,7 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthframe.functions.metrics import P, T, check_metrics, finite_pair
-from depthframe.operators.ranks import ensure_checkpoint_dir, rank_correlation, running_total
+from depthframe.operators import draws as group_draws
+from depthframe.operators.draws import (
+    PythonMetric,
+    drawn_values,
+    group_sizes,
+    metric_by_weights,
+    python_metric,
+    rank_by_weights,
+)
+from depthframe.operators.ranks import rank_correlation, running_total
 from depthframe.plans.evaluate import CANDIDATE, SAMPLE, custom_metric, evaluate
 from depthframe.schema import METRICS
 
@@ -327,12 +337,30 @@ def resampled_rows(
     return chosen.select(*group, "draw", P, T, "_w")
 
 
-def resampled_rank_ic(predictions: DataFrame, *, group: list[str], **drawing) -> DataFrame:
-    """Rank correlation of every resample; each draw is a group of its own."""
-    chosen = resampled_rows(predictions, group=group, **drawing)
-    # Ranking both sides reads the resamples several times; draw them once.
-    ensure_checkpoint_dir(chosen.sparkSession)
-    return rank_correlation(chosen.checkpoint(), [*group, "draw"], P, T, F.col("_w"))
+def session_blocks(seed: int, draw: int, session: int, size: int, block: int):
+    """Blocks [lo, hi) that a draw takes from a session of ``size`` rows; the last one is cut to fit."""
+    length = min(block, size)
+    b = np.arange(-(-size // length), dtype="int64")
+    lo = block_start(seed, draw, int(session), b, size - length + 1)
+    return lo, lo + np.minimum(length, size - b * length)
+
+
+def resampled_values(
+    predictions: DataFrame, statistics: dict, *, draws: int, block: int, seed: int, group: list[str],
+    sample_order: list[str],
+) -> DataFrame:
+    """``(group, draw, metric, value)`` of statistics that need the drawn rows themselves."""
+    fold = F.col("fold_index") if "fold_index" in predictions.columns else F.lit(0)
+    number = session_number(F.col("ticker"), F.col("trade_date"), F.col("session_id"))
+    rows = predictions.withColumns({"_seed": (fold + seed).cast("bigint"), "_session": number})
+
+    def blocks(seed: int, draw: int, session: int, size: int):
+        return session_blocks(seed, draw, session, size, block)
+
+    return drawn_values(
+        rows, statistics, draws=draws, group=group, session=[*group, "trade_date", "session_id"],
+        sample_order=sample_order, blocks=blocks,
+    )
 
 
 def resampled_metrics(
@@ -356,20 +384,23 @@ def bootstrap_intervals(
     sample_order: list[str] | None = None,
     max_session_rows: int = MAX_SESSION_ROWS,
     custom: dict[str, Metric] | None = None,
+    opaque: dict[str, PythonMetric] | None = None,
 ) -> DataFrame:
     """``(group, metric, estimate, lower, upper, confidence_level)`` in long form.
 
-    ``custom`` adds user metrics by name, as in ``plans.evaluate.custom_metric``; with it and an
-    empty ``names`` only those are reported.
+    ``custom`` adds user metrics by name, as in ``plans.evaluate.custom_metric``, and ``opaque``
+    Python functions of whole vectors, as in ``plans.evaluate.custom_python_metric``; with either
+    and an empty ``names`` only those are reported.
     """
     if not 0 < confidence < 1:
         raise ValueError("confidence must be between 0 and 1")
     if draws <= 0 or block <= 0:
         raise ValueError("draws and block must be > 0")
-    custom = custom or {}
-    names = [] if custom and names == [] else check_metrics(names or METRICS)
-    if set(custom) & set(METRICS):
-        raise ValueError(f"custom metrics need names of their own, not {sorted(set(custom) & set(METRICS))}")
+    custom, opaque = custom or {}, opaque or {}
+    names = [] if (custom or opaque) and names == [] else check_metrics(names or METRICS)
+    taken = (set(custom) | set(opaque)) & set(METRICS) | set(custom) & set(opaque)
+    if taken:
+        raise ValueError(f"custom metrics need names of their own, not {sorted(taken)}")
     group = list(group or CANDIDATE)
     order = list(sample_order or SAMPLE)
     drawing = {"draws": draws, "block": block, "seed": seed, "group": group, "sample_order": order}
@@ -383,11 +414,17 @@ def bootstrap_intervals(
         )
         estimates = sums.select(*group, "draw", *[formulas[n].alias(n) for n in plain])
         estimates = estimates.unpivot([*group, "draw"], plain, "metric", "value")
-    if "rank_ic" in names:
-        ranks = resampled_rank_ic(predictions, **drawing).select(
-            *group, "draw", F.lit("rank_ic").alias("metric"), F.col("rank_ic").alias("value")
-        )
+    whole = {n: metric_by_weights(f) for n, f in opaque.items()}
+    if "rank_ic" in names and group_sizes(predictions, group) > group_draws.MAX_GROUP_ROWS:
+        # No task holds such a group: rank the drawn rows with Spark, draws x rows of them.
+        ranks = rank_correlation(resampled_rows(predictions, **drawing), [*group, "draw"], P, T, F.col("_w"))
+        ranks = ranks.unpivot([*group, "draw"], ["rank_ic"], "metric", "value")
         estimates = ranks if estimates is None else estimates.unionByName(ranks)
+    elif "rank_ic" in names:
+        whole["rank_ic"] = rank_by_weights
+    if whole:
+        own = resampled_values(predictions, whole, **drawing)
+        estimates = own if estimates is None else estimates.unionByName(own)
     if custom:
         own = resampled_metrics(predictions, custom, **drawing)
         own = own.unpivot([*group, "draw"], list(custom), "metric", "value")
@@ -398,8 +435,9 @@ def bootstrap_intervals(
         F.percentile("value", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("b")
     )
     point = evaluate(predictions, group, names).unpivot(group, names, "metric", "estimate") if names else None
-    for name, metric in custom.items():
-        own = custom_metric(predictions, metric, name, group).unpivot(group, [name], "metric", "estimate")
+    extra = [custom_metric(predictions, f, n, group).unpivot(group, [n], "metric", "estimate") for n, f in custom.items()]
+    extra += [python_metric(predictions, f, n, group).unpivot(group, [n], "metric", "estimate") for n, f in opaque.items()]
+    for own in extra:
         point = own if point is None else point.unionByName(own)
     return point.join(bounds, [*group, "metric"], "left").select(
         *group, "metric", "estimate",

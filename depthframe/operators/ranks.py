@@ -1,8 +1,8 @@
 """Global order statistics inside a group: positions, tied ranks, equal-count bins.
 
-A group here (one model and fold) can hold most of the data. One pass counts the groups and finds cut
-points for those with more than ``rows_per_part`` rows; only these, at most two numbers per
-``rows_per_part`` rows, come to the driver. Rows are then ordered inside (group, part) and shifted
+A group here (one model and fold) can hold most of the data. One narrow pass counts the groups; those
+with more than ``rows_per_part`` rows get cut points, of which at most two numbers per
+``rows_per_part`` rows come to the driver. Rows are then ordered inside (group, part) and shifted
 by the totals of the parts before them. A part is a function of the values alone, so it does not
 matter how often it is computed. A value that fills a whole part by itself is a part of its own:
 all its rows share one rank, and where rows must be told apart they are split by the next order
@@ -69,9 +69,16 @@ class Cuts:
 
 
 def cut_points(df: DataFrame, group: list[str], values: dict[str, Column], rows_per_part: int) -> Cuts:
-    """One pass over ``df``: cut points of each value for every group of more than ``rows_per_part`` rows."""
+    """Cut points of each value for every group of more than ``rows_per_part`` rows.
+
+    Counting the groups reads their columns only. Where a group is large, a second pass sketches
+    the quantiles of all groups.
+    """
     if not values:
         return Cuts(None, group)
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= rows_per_part:
+        return Cuts(None, group)
     grid = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
     counted = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(v, grid, 10_000).alias(n) for n, v in values.items()]
@@ -80,8 +87,7 @@ def cut_points(df: DataFrame, group: list[str], values: dict[str, Column], rows_
     steps = F.sequence(F.lit(1), parts - 1)
     chosen = [_picked(name, steps, parts).alias(name) for name in values]
     found = counted.filter(F.col("_n") > rows_per_part).select(*group, *chosen)
-    rows = found.collect()
-    return Cuts(df.sparkSession.createDataFrame(rows, found.schema) if rows else None, group)
+    return Cuts(df.sparkSession.createDataFrame(found.collect(), found.schema), group)
 
 
 def _picked(name: str, steps: Column, parts: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthframe.functions import metrics as m
+from depthframe.operators.draws import PythonMetric, python_metric
 from depthframe.operators.ranks import equal_count_bins, rank_correlation
 from depthframe.schema import METRICS
 
@@ -49,6 +50,17 @@ def custom_metric(
     return rows.groupBy(*(group or CANDIDATE)).agg(metric(F.col(m.P), F.col(m.T)).alias(name))
 
 
+def custom_python_metric(
+    predictions: DataFrame, metric: PythonMetric, name: str, group: list[str] | None = None
+) -> DataFrame:
+    """A user metric as an opaque Python function over a group's (prediction, target) vectors.
+
+    A group is one task, so ``group`` should bound it: an instrument's fold, or its day. The vectors
+    hold the finite pairs by prediction, then target. NaN and None are null.
+    """
+    return python_metric(predictions, metric, name, list(group or CANDIDATE))
+
+
 def daily_metrics(
     predictions: DataFrame, names: list[str] | None = None, group: list[str] | None = None
 ) -> DataFrame:

@@ -108,6 +108,24 @@ FROM point p LEFT JOIN bounds b ON p.ticker = b.ticker AND p.model_name = b.mode
   AND p.fold_index = b.fold_index AND p.metric = b.metric"""
 
 
+def _tail(source: str, group: str) -> str:
+    """Mean of the largest tenth of the errors, at least of one."""
+    return f"""SELECT {group}, avg(e) AS value FROM (
+  SELECT {group}, abs(p - t) AS e, row_number() OVER (PARTITION BY {group} ORDER BY abs(p - t) DESC) AS k,
+         count(*) OVER (PARTITION BY {group}) AS n FROM {source})
+WHERE k <= greatest(1, n // 10) GROUP BY {group}"""
+
+
+def _own_interval(name: str, drawn: str, point: str) -> str:
+    """Interval of a metric from SQL that gives ``value`` per draw and per group."""
+    return f"""WITH {PREDS}, {_resampled()}, est AS ({drawn}),
+bounds AS (SELECT {G}, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM est GROUP BY {G}),
+point AS ({point})
+SELECT p.ticker, p.model_name, p.fold_index, '{name}' AS metric, {r("p.value")} AS estimate, {r("lower")} AS lower,
+       {r("upper")} AS upper, 0.95::DOUBLE AS confidence_level
+FROM point p JOIN bounds b ON p.ticker = b.ticker AND p.model_name = b.model_name AND p.fold_index = b.fold_index"""
+
+
 _PLAIN = [n for n in METRICS if n != "rank_ic"]
 
 SQL = {
@@ -127,6 +145,9 @@ SELECT {G}, bin_index, count(*) AS sample_count, {r("avg(p)")} AS mean_predictio
     f" {r('avg(CASE WHEN abs(p - t) <= 0.05::DOUBLE THEN 0.5 * (p - t) * (p - t) ELSE 0.05::DOUBLE * (abs(p - t) - 0.025::DOUBLE) END)')}"
     f" AS huber FROM ok GROUP BY {G}",
     "custom_metric": f"WITH {PREDS} SELECT {G}, {r('avg(p - t)')} AS bias FROM ok GROUP BY {G}",
+    "custom_python_metric": f"WITH {PREDS} SELECT {G}, {r('value')} AS tail_error FROM ({_tail('ok', G)})",
+    "daily_python_metric": f"WITH {PREDS} SELECT {DAY}, {r('value')} AS tail_error FROM ({_tail('ok', DAY)})",
+    "bootstrap_python_metric": _own_interval("tail_error", _tail("drawn", f"{G}, draw"), _tail("ok", G)),
     "fold_summary": f"WITH {PREDS}, {_evaluated(G, METRICS)} SELECT ticker, model_name, count(*) AS fold_count,"
     f" sum(sample_count)::BIGINT AS sample_count, {_SUMMARY} FROM result GROUP BY ticker, model_name",
     "bootstrap_ci": _bootstrap(_PLAIN),

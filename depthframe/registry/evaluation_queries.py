@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,28 @@ def custom_metric(spark, sf):
     return _show(out)
 
 
+def tail_error(p: np.ndarray, t: np.ndarray) -> float:
+    """A metric that is no aggregate of columns: the mean of the largest tenth of the errors."""
+    errors = np.sort(np.abs(p - t))[::-1]
+    return errors[: max(1, len(errors) // 10)].mean()
+
+
+def custom_python_metric(spark, sf):
+    """An opaque Python metric per model and fold."""
+    return _show(ev.custom_python_metric(inputs.predictions(spark, sf), tail_error, "tail_error"))
+
+
+def daily_python_metric(spark, sf):
+    """The same metric per trade date."""
+    group = [*ev.CANDIDATE, "trade_date"]
+    return _show(ev.custom_python_metric(inputs.predictions(spark, sf), tail_error, "tail_error", group))
+
+
+def bootstrap_python_metric(spark, sf):
+    """Interval of the opaque metric."""
+    return _bootstrap(spark, sf, [], opaque={"tail_error": tail_error})
+
+
 def fold_summary(spark, sf):
     return _show(ev.fold_summary(ev.evaluate(inputs.predictions(spark, sf))))
 
@@ -74,10 +97,11 @@ def bootstrap_custom_metric(spark, sf):
     return _bootstrap(spark, sf, [], {"largest_error": lambda p, t: F.max(F.abs(p - t))})
 
 
-def _bootstrap(spark, sf, names, custom=None):
+def _bootstrap(spark, sf, names, custom=None, opaque=None):
     out = bootstrap_intervals(
-        inputs.predictions(spark, sf), names=names, custom=custom, draws=DRAWS, block=BLOCK, seed=SEED, sample_order=ORDER
-    )
+        inputs.predictions(spark, sf), names=names, custom=custom, opaque=opaque, draws=DRAWS, block=BLOCK, seed=SEED,
+        sample_order=ORDER,
+    )
     return out.select(
         *ev.CANDIDATE, "metric", *rounded(["estimate", "lower", "upper", "confidence_level"])
     )
@@ -92,6 +116,9 @@ QUERIES = {
     "prediction_bins": prediction_bins,
     "regression_losses": regression_losses,
     "custom_metric": custom_metric,
+    "custom_python_metric": custom_python_metric,
+    "daily_python_metric": daily_python_metric,
+    "bootstrap_python_metric": bootstrap_python_metric,
     "fold_summary": fold_summary,
     "bootstrap_ci": bootstrap_ci,
     "bootstrap_rank_ic": bootstrap_rank_ic,

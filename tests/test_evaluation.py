@@ -163,6 +163,7 @@ def naive_draws(p, t, groups, fold_seed, draws, block, numbers):
 def test_bootstrap_against_rows(spark, limit, monkeypatch):
     monkeypatch.setattr(bs, "CHUNK_ROWS", 5)
     monkeypatch.setattr(bs, "MAX_DRAWN_ROWS", limit * 25)
+    monkeypatch.setattr(bs.group_draws, "MAX_GROUP_ROWS", 16_000_000 if limit > 8 else 39)
     rng = np.random.default_rng(2)
     n = 40
     t = rng.normal(size=n)
@@ -198,6 +199,86 @@ def test_bootstrap_against_rows(spark, limit, monkeypatch):
         assert got[name][1:] == pytest.approx(tuple(want)), name
 
 
+@pytest.mark.parametrize("cells", [20_000_000, 100])
+def test_opaque_metrics_and_rank_draws_in_batches(spark, monkeypatch, cells):
+    def opaque(p, t):
+        return np.median(np.abs(p - t)) if len(p) > 3 else None
+
+    monkeypatch.setattr(bs.group_draws, "TASK_CELLS", cells)  # few draws a task
+    rng = np.random.default_rng(12)
+    n = 41
+    t = np.round(rng.normal(size=n), 1)
+    p = np.round(0.4 * t + rng.normal(size=n), 1)  # ties
+    p[7], t[30] = np.nan, np.inf
+    days = ["2025-01-01"] * 20 + ["2025-01-02"] * 21
+    sessions = ["am"] * 11 + ["pm"] * 9 + ["am"] * 21
+    df = frame(spark, p.tolist(), t.tolist(), days, sessions).repartition(4)
+    got = {
+        r["metric"]: r
+        for r in bootstrap_intervals(df, names=["rank_ic"], draws=9, block=5, seed=3, opaque={"median_error": opaque}).collect()
+    }
+    groups, numbers = {}, {}
+    for i, key in enumerate(zip(days, sessions)):
+        groups.setdefault(key, []).append(i)
+    for key in groups:
+        numbers[key] = spark.range(1).select(bs.session_number(F.lit("A"), F.lit(key[0]), F.lit(key[1]))).first()[0]
+
+    def rank(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    def spearman(a, b):
+        return np.corrcoef(rank(a), rank(b))[0, 1]
+
+    draws = naive_draws(p, t, groups, 3 + 1, 9, 5, numbers)
+    for name, fn in (("rank_ic", spearman), ("median_error", opaque)):
+        values = []
+        for a, b in [(p, t), *draws]:
+            ok = np.isfinite(a) & np.isfinite(b)
+            values.append(fn(a[ok], b[ok]))
+        assert got[name]["estimate"] == pytest.approx(values[0])
+        assert (got[name]["lower"], got[name]["upper"]) == pytest.approx(tuple(np.quantile(values[1:], [0.025, 0.975])))
+    daily = ev.custom_python_metric(df, opaque, "m", [*ev.CANDIDATE, "trade_date"]).collect()
+    assert len(daily) == 2 and all(r["m"] is not None for r in daily)
+    few = ev.custom_python_metric(df.limit(2), opaque, "m").collect()
+    assert [r["m"] for r in few] in ([None], [])
+    with pytest.raises(ValueError, match="names of their own"):
+        bootstrap_intervals(df, opaque={"mae": opaque})
+    monkeypatch.setattr(bs.group_draws, "MAX_GROUP_ROWS", 10)
+    with pytest.raises(ValueError, match="exceeds"):
+        ev.custom_python_metric(df, opaque, "m")
+
+
+def test_rank_correlation_of_large_groups_next_to_small_ones(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for g, n in (("big", 400), ("flat", 50), ("small", 6), ("one", 1)):
+        a, b = np.round(rng.normal(size=n), 1), rng.normal(size=n)
+        b[: n // 2] = 0.25  # half of all rows share one value
+        if g == "flat":
+            a[:] = 1.0
+        rows += [(g, float(x), float(y)) for x, y in zip(a, b)]
+        if g in ("big", "small"):
+            ra, rb = (np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v]) for v in (a, b))
+            want[g] = np.corrcoef(ra, rb)[0, 1]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(6)
+    for part in (1_000_000, 20):
+        got = {r["g"]: r["rank_ic"] for r in rank_correlation(df, ["g"], "a", "b", rows_per_part=part).collect()}
+        assert set(got) == {"big", "flat", "small", "one"}
+        assert got["flat"] is None and got["one"] is None
+        for g, value in want.items():
+            assert got[g] == pytest.approx(value)
+
+
+def test_bins_where_all_predictions_are_equal(spark):
+    n = 60
+    days = [f"2025-01-{1 + i // 12:02d}" for i in range(n)]
+    df = frame(spark, [0.0] * n, list(map(float, range(n))), days).repartition(5)
+    for limits in ({}, FORCED):
+        rows = ev.prediction_bins(df, 7, **limits).orderBy("bin_index").collect()
+        parts = np.array_split(np.arange(n), 7)
+        assert [r["mean_realized_return"] for r in rows] == pytest.approx([x.mean() for x in parts])
+
+
 def test_least_of_blocks():
     rng = np.random.default_rng(8)
     x = rng.normal(size=50)

@@ -130,7 +130,7 @@ def build_dataset(
         snaps = raw.assign_sessions(prepared, config.sessions)
         make_plan(splits.trade_dates(snaps), config).write.parquet(plan_path)
         plan = spark.read.parquet(plan_path)
-        contents = [c for c in prepared.columns if c != "file"]
+        contents = [c for c in prepared.columns if c not in ("file", "file_date", "stated_date")]
         scaler = scaler or TrailingScaler(config.features, config.normalize_window)
         record = pkg.Record(
             source=raw.source_fingerprint(raw.file_fingerprints(prepared, contents)).first()["source_hash"],
@@ -156,7 +156,7 @@ def build_dataset(
         timeline = spark.read.parquet(clean_path)
         daily_quality(timeline, prepared).write.parquet(f"{staged}/quality")
         pkg.write_rows(compile_rows(timeline, config, slicing, scaler), f"{staged}/rows")
-        rows = pkg.Package(spark, staged, record).rows()
+        rows = pkg.Package(spark, staged, record, staged).rows()
         pkg.write_folds(splits.fold_index(anchors(rows), plan), f"{staged}/folds")
         files.delete(clean_path)
         files.delete(raw_path)

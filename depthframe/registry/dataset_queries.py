@@ -15,6 +15,7 @@ from depthframe.plans import splits
 from depthframe.registry import inputs
 from depthframe.schema import DERIVED_FEATURES, KEY, RAW_COLUMNS, label_column
 from depthframe.sources import raw
+from depthframe.sources.raw import prepare_snapshots
 
 
 def r(x: Column | str, digits: int = 6) -> Column:
@@ -54,6 +55,50 @@ def source_violations(spark, sf):
     return raw.source_violations(inputs.prepared(spark, sf), inputs.SESSIONS)
 
 
+def parsed_timestamps(spark, sf):
+    """Every event's time in one of ten spellings, or as an integer of one of two units."""
+    spelled = """CASE event_id % 10 WHEN 0 THEN date_format(t, 'yyyy-MM-dd HH:mm:ss') WHEN 1 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        WHEN 2 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'+08:00'") WHEN 3 THEN date_format(t, "yyyyMMdd'T'HHmmss")
+        WHEN 4 THEN date_format(t, "yyyyMMdd'T'HH:mm") WHEN 5 THEN date_format(t, 'HH:mm:ss') WHEN 6 THEN date_format(t, 'HHmmss')
+        WHEN 7 THEN date_format(t, 'yyyyMMdd') WHEN 8 THEN concat('at ', date_format(t, 'HH:mm')) END"""
+    rows = inputs.events(spark, sf).withColumn("t", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    rows = rows.withColumn("timestamp", F.expr(spelled))
+    day = F.col("t").cast("date")
+    rows = rows.withColumn("from_text", raw.parse_timestamp(rows, day))
+    unit = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', t) * IF(event_id % 3 = 0, 1L, 1000000000L)")
+    rows = rows.withColumn("timestamp", unit)
+    rows = rows.withColumn("from_integer", raw.parse_timestamp(rows, day))
+    return rows.select("event_id", text("from_text"), text("from_integer"))
+
+
+def lenient_numbers(spark, sf):
+    """Values as text of several kinds: numbers, blanks, words, NaN and infinities."""
+    kinds = """CASE event_id % 7 WHEN 0 THEN string(cast(value AS decimal(18, 4))) WHEN 1 THEN concat(' ', event_id, ' ')
+        WHEN 2 THEN concat(event_id, 'e-1') WHEN 3 THEN 'NaN' WHEN 4 THEN IF(event_id % 2 = 0, 'Infinity', '-Infinity')
+        WHEN 5 THEN concat(event_id, ' lots') ELSE '' END"""
+    rows = inputs.events(spark, sf).withColumn("x", F.expr(kinds)).select("event_id", raw.lenient_double("x"))
+    infinite = F.abs("x") == float("inf")
+    return rows.select(
+        "event_id", F.col("x").isNull().alias("missing"), F.coalesce(infinite, F.lit(False)).alias("infinite"),
+        r(F.when(~infinite, F.col("x"))).alias("x"),
+    )
+
+
+def date_rules(spark, sf):
+    """Trade dates in column spellings that count and spellings that do not."""
+    spelled = """CASE event_id % 6 WHEN 0 THEN date_format(ts, 'yyyy-MM-dd') WHEN 1 THEN date_format(ts, ' yyyyMMdd ')
+        WHEN 2 THEN date_format(ts, 'yyyy/MM/dd') WHEN 3 THEN date_format(ts, 'yyyyMM') WHEN 4 THEN '2025-02-30' END"""
+    return inputs.events(spark, sf).select("event_id", raw.parse_date(F.expr(spelled)).cast("string").alias("trade_date"))
+
+
+def broken_sources(spark, sf):
+    """Every input rule on a feed of one file a day that breaks each of them somewhere."""
+    prepared = prepare_snapshots(
+        inputs.broken_files(spark, sf), ticker=F.col("ticker"), column_mapping={"raw_time": "timestamp"}
+    )
+    return raw.source_violations(prepared, inputs.BROKEN_SESSIONS)
+
+
 def source_fingerprint(spark, sf):
     """Contents of the feed, one file a day: integers, microseconds, scaled values and text."""
     rows = inputs.events(spark, sf).select(
@@ -272,6 +317,10 @@ QUERIES = {
     "duplicate_counts": duplicate_counts,
     "deduplicated_snapshots": deduplicated_snapshots,
     "source_violations": source_violations,
+    "parsed_timestamps": parsed_timestamps,
+    "lenient_numbers": lenient_numbers,
+    "date_rules": date_rules,
+    "broken_sources": broken_sources,
     "source_fingerprint": source_fingerprint,
     "mid_price_validity": mid_price_validity,
     "level_order_violations": level_order_violations,

@@ -27,6 +27,7 @@ from depthframe.schema import LEVELS, label_column
 from depthframe.sources.raw import assign_sessions, prepare_snapshots
 
 SESSIONS = {"AM": ("00:00:00", "12:00:00"), "PM": ("12:00:00", "24:00:00")}
+BROKEN_SESSIONS = {"AM": ("06:00:00", "12:00:00")}
 INTERVAL = 1800
 MAX_GAP = 3600
 HORIZON = 3600
@@ -40,6 +41,7 @@ TARGET = label_column(HORIZON)
 SAMPLE_FEATURES = [f"{side}s{i}" for i in range(1, LEVELS + 1) for side in ("ASK", "BID")]
 RIDGE_FEATURES = ["ASKs1", "BIDs1"]
 RIDGE_HISTORY, RIDGE_ALPHA, WIDE_ALPHA = 3, 5.0, 1.0
+LOGIT_ALPHA = 2.0
 DERIVED = ["spread", "microprice", "l1_imbalance", "volume_slope"]
 
 
@@ -81,6 +83,23 @@ def raw_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as one file a day, with faults by day of the month."""
+    feed = raw_book(spark, sf_dir).withColumn("d", F.dayofmonth("raw_time"))
+    feed = feed.filter("NOT (d = 5 AND hour(raw_time) >= 6)")
+    shown = "CASE d WHEN 3 THEN 2 WHEN 7 THEN 8 WHEN 8 THEN 7 ELSE d END"
+    stem = f"concat(date_format(raw_time, 'yyyyMM'), lpad(string({shown}), 2, '0'), IF(d = 10 AND row_index % 3 = 0, 'b', ''))"
+    changed = {
+        "file": F.expr(f"concat('raw/', ticker, '/', {stem}, '.parquet')"),
+        "trade_date": F.expr(
+            "CASE WHEN d = 14 THEN IF(row_index % 4 < 2, date_format(raw_time, 'yyyyMMdd'), date_format(date_add(raw_time, 1), 'yyyy-MM-dd')) END"
+        ),
+        "row_index": F.expr("IF(d = 12, -row_index, row_index)"),
+        "raw_time": F.expr("IF(row_index % 997 = 5, NULL, raw_time)"),
+    }
+    return feed.withColumns(changed).drop("d")
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_snapshots(
         raw_book(spark, sf_dir), ticker=F.col("ticker"), column_mapping={"raw_time": "timestamp"}

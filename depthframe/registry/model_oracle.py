@@ -86,6 +86,29 @@ SELECT 'ridge' AS model_name, q.fold_index, q.ticker, q.trade_date, q.session_id
   {r("ASKp1::FLOAT::DOUBLE - BIDp1::FLOAT::DOUBLE", 5)} AS spread
 FROM win q JOIN weights f ON q.ticker = f.ticker AND q.fold_index = f.fold_index WHERE q.split = 'test'"""
 
+def _logit(rounds: int) -> str:
+    """Newton's method on one feature and an intercept, a fixed number of rounds."""
+    steps = "".join(
+        f""",
+sum{k} AS MATERIALIZED (
+  SELECT ticker, fold_index, any_value(a) AS a, any_value(b) AS b, count(*) AS n,
+         sum((p - up) * x) + {inputs.LOGIT_ALPHA}::DOUBLE * any_value(a) AS ga, sum(p - up) AS gb,
+         sum(p * (1 - p) * x * x) + {inputs.LOGIT_ALPHA}::DOUBLE AS aa, sum(p * (1 - p) * x) AS ab, sum(p * (1 - p)) AS bb
+  FROM (SELECT t.*, w.a, w.b, 1 / (1 + exp(-(w.a * x + w.b))) AS p
+        FROM tr t JOIN w{k} w ON t.ticker = w.ticker AND t.fold_index = w.fold_index)
+  GROUP BY ticker, fold_index),
+w{k + 1} AS MATERIALIZED (
+  SELECT ticker, fold_index, n, ga, gb, a - (bb * ga - ab * gb) / (aa * bb - ab * ab) AS a,
+         b - (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM sum{k})"""
+        for k in range(rounds)
+    )
+    return f"""WITH {FOLDED},
+tr AS MATERIALIZED (
+  SELECT ticker, fold_index, z_ASKs1::FLOAT::DOUBLE AS x, (y > 0)::INT AS up FROM xy WHERE split = 'train'),
+w0 AS (SELECT DISTINCT ticker, fold_index, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM tr){steps}"""
+
+
+_ROUNDS = 12
 _LAST = " + ".join(f"z_{f}::FLOAT::DOUBLE" for f in inputs.SAMPLE_FEATURES)
 
 _ALL_RULES = [
@@ -174,6 +197,15 @@ SELECT 'one-feature' AS model_name, q.fold_index, q.ticker, q.trade_date, q.sess
   {r("o.slope * q.z_ASKs1::FLOAT::DOUBLE + o.intercept", 7)} AS prediction,
   {r("ASKp1::FLOAT::DOUBLE - BIDp1::FLOAT::DOUBLE", 5)} AS spread
 FROM xy q JOIN one o ON q.ticker = o.ticker AND q.fold_index = o.fold_index WHERE q.split = 'test'""",
+    "logit_candidate": f"""{_logit(_ROUNDS)}
+SELECT 'direction-logit' AS model_name, q.fold_index, q.ticker, q.trade_date, q.session_id,
+  CAST(q.ts AS VARCHAR) AS anchor_timestamp, {r("y", 7)} AS target,
+  {r("2 / (1 + exp(-(w.a * q.z_ASKs1::FLOAT::DOUBLE + w.b))) - 1", 7)} AS prediction,
+  {r("ASKp1::FLOAT::DOUBLE - BIDp1::FLOAT::DOUBLE", 5)} AS spread
+FROM xy q JOIN w{_ROUNDS} w ON q.ticker = w.ticker AND q.fold_index = w.fold_index WHERE q.split = 'test'""",
+    "logit_optimality": f"""{_logit(_ROUNDS)}
+SELECT ticker, fold_index, n AS train_count, {r("a", 7)} AS slope, {r("b", 7)} AS intercept,
+  round(abs(ga), 4) AS slope_gradient, round(abs(gb), 4) AS intercept_gradient FROM w{_ROUNDS}""",
     "imbalance_coefficients": f"WITH {FOLDED} SELECT ticker, fold_index, train_count, {r('slope', 8)} AS slope,"
     f" {r('intercept', 8)} AS intercept FROM fit",
     "ridge_coefficients": _RIDGE,

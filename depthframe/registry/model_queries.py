@@ -15,6 +15,7 @@ from depthframe.operators.baselines import (
     ZeroBaseline,
     score_windows,
 )
+from depthframe.operators.iterative import DirectionLogit, IterativeCandidate
 from depthframe.operators.sessions import choose_slicing
 from depthframe.plans import splits, walkforward
 from depthframe.plans import evaluate as ev
@@ -76,6 +77,34 @@ def grouped_candidate(spark, sf):
     return _shown(_predict(spark, sf, GroupedCandidate(model)))
 
 
+def _logit() -> IterativeCandidate:
+    return IterativeCandidate(DirectionLogit([inputs.SAMPLE_FEATURES.index("ASKs1")], alpha=inputs.LOGIT_ALPHA))
+
+
+def logit_candidate(spark, sf):
+    """A model fitted in rounds for all instruments and folds together."""
+    return _shown(_predict(spark, sf, _logit()))
+
+
+def logit_optimality(spark, sf):
+    """Its weights, and the gradient that they leave, added up apart from the fit: zero at a minimum."""
+    rows, plan = inputs.stored_rows(spark, sf), _plan(spark, sf)
+    fitted = _logit().fit(rows, splits.dates_for(plan, "train")).weights
+    w = fitted.select("ticker", "fold_index", F.col("weights")[0].alias("slope"), F.col("weights")[1].alias("intercept"))
+    samples_ = walkforward.split_rows(rows, plan, "train").filter("is_anchor").join(w, ["ticker", "fold_index"])
+    position = inputs.SAMPLE_FEATURES.index("ASKs1")
+    x = F.col("features")[position].cast("double")
+    rest = 1 / (1 + F.exp(-(F.col("slope") * x + F.col("intercept")))) - (F.col("target") > 0).cast("double")
+    grouped = samples_.groupBy("ticker", "fold_index", "slope", "intercept").agg(
+        F.count(F.lit(1)).alias("train_count"), F.sum(rest * x).alias("gx"), F.sum(rest).alias("g1")
+    )
+    return grouped.select(
+        "ticker", "fold_index", "train_count", r("slope", 7).alias("slope"), r("intercept", 7).alias("intercept"),
+        F.round(F.abs(F.col("gx") + inputs.LOGIT_ALPHA * F.col("slope")), 4).alias("slope_gradient"),
+        F.round(F.abs("g1"), 4).alias("intercept_gradient"),
+    )
+
+
 def ridge_coefficients(spark, sf):
     """Ridge on windows of two features, over runs of samples with breaks."""
     rows = inputs.dataset_rows(spark, sf, inputs.RIDGE_FEATURES)
@@ -246,6 +275,8 @@ QUERIES = {
     "imbalance_coefficients": imbalance_coefficients,
     "ridge_baseline": ridge_baseline,
     "grouped_candidate": grouped_candidate,
+    "logit_candidate": logit_candidate,
+    "logit_optimality": logit_optimality,
     "ridge_coefficients": ridge_coefficients,
     "batch_scoring": batch_scoring,
     "walk_forward_summary": walk_forward_summary,

@@ -255,7 +255,41 @@ DATASET_SQL = {
     "deduplicated_snapshots": f"WITH {LINE} SELECT {K}, {TS}, n_copies, {rounded(RAW_COLUMNS)} FROM obs",
     "source_violations": f"WITH {SNAP} SELECT 'several trade dates in one file' AS rule, ticker,"
     " 'events.parquet' AS subject, count(DISTINCT trade_date) AS violations FROM every GROUP BY ticker"
-    " HAVING count(DISTINCT trade_date) > 1",
+    " HAVING count(DISTINCT trade_date) > 1 UNION ALL"
+    " SELECT DISTINCT 'no trade date in column or file name', ticker, 'events.parquet', 1 FROM every",
+    "parsed_timestamps": """WITH e AS (SELECT *, date_trunc('second', ts) AS t FROM events)
+SELECT event_id, CAST(CASE WHEN event_id % 10 IN (8, 9) THEN NULL WHEN event_id % 10 = 7 THEN date_trunc('day', t)
+    WHEN event_id % 10 = 4 THEN date_trunc('minute', t) ELSE t END AS VARCHAR) AS from_text,
+  CAST(CASE WHEN event_id % 3 <> 0 THEN t END AS VARCHAR) AS from_integer FROM e""",
+    "lenient_numbers": f"""WITH e AS (SELECT event_id, event_id % 7 AS k, value FROM events)
+SELECT event_id, k IN (3, 5, 6) AS missing, k = 4 AS infinite,
+  {r("CASE k WHEN 0 THEN CAST(CAST(value AS DECIMAL(18, 4)) AS DOUBLE) WHEN 1 THEN event_id::DOUBLE WHEN 2 THEN event_id::DOUBLE / 10 END")} AS x FROM e""",
+    "date_rules": "SELECT event_id, CASE WHEN event_id % 6 < 2 THEN strftime(ts, '%Y-%m-%d') END AS trade_date FROM events",
+    "broken_sources": f"""WITH {SNAP},
+feed AS (
+  SELECT ticker, day(ts) AS d, CASE WHEN row_index % 997 <> 5 THEN ts END AS t, row_index,
+         strftime(ts, '%Y%m') || lpad((CASE day(ts) WHEN 3 THEN 2 WHEN 7 THEN 8 WHEN 8 THEN 7 ELSE day(ts) END)::VARCHAR, 2, '0')
+           || CASE WHEN day(ts) = 10 AND row_index % 3 = 0 THEN 'b' ELSE '' END AS stem,
+         CASE WHEN day(ts) = 14 THEN row_index % 4 < 2 END AS half
+  FROM every WHERE NOT (day(ts) = 5 AND hour(ts) >= 6)),
+per_file AS (
+  SELECT ticker, 'raw/' || ticker || '/' || stem || '.parquet' AS file, count(*) - count(t) AS unparsed,
+         count(DISTINCT t::DATE) AS dates, min(t::DATE) AS date, count(DISTINCT half) AS stated, length(any_value(stem)) = 8 AS named,
+         count(CASE WHEN hour(t) >= 6 AND hour(t) < 12 THEN 1 END) AS inside FROM feed GROUP BY ticker, stem),
+numbered AS (
+  SELECT *, lag(date) OVER (PARTITION BY ticker ORDER BY file) AS before, count(*) OVER (PARTITION BY ticker, date) AS files,
+         row_number() OVER (PARTITION BY ticker, date ORDER BY file) AS k FROM per_file),
+steps AS (
+  SELECT ticker, strftime(t, '%Y-%m-%d') AS date, t, lag(t) OVER (PARTITION BY ticker, t::DATE ORDER BY CASE WHEN d = 12 THEN -row_index ELSE row_index END) AS p
+  FROM feed WHERE hour(t) >= 6 AND hour(t) < 12)
+SELECT 'unparseable timestamp' AS rule, ticker, file AS subject, unparsed AS violations FROM numbered WHERE unparsed > 0
+UNION ALL SELECT 'several trade dates in one file', ticker, file, dates FROM numbered WHERE dates > 1
+UNION ALL SELECT 'several trade_date values in one file', ticker, file, stated FROM numbered WHERE stated > 1
+UNION ALL SELECT 'no trade date in column or file name', ticker, file, 1 FROM numbered WHERE NOT named
+UNION ALL SELECT 'no configured session in file', ticker, file, 1 FROM numbered WHERE inside = 0
+UNION ALL SELECT 'files not in date order', ticker, file, 1 FROM numbered WHERE before > date
+UNION ALL SELECT 'several files for one trade date', ticker, strftime(date, '%Y-%m-%d'), files FROM numbered WHERE files > 1 AND k = 1
+UNION ALL SELECT 'timestamps not in order', ticker, date || ' AM', count(*) FROM steps WHERE p > t GROUP BY ticker, date""",
     "mid_price_validity": f"WITH {SNAP} SELECT {K}, row_index, {r(MID)} AS mid_price, {VALID} AS book_valid,"
     f" {BID_OK} AS bid_side_valid, {ASK_OK} AS ask_side_valid, {CROSSED} AS crossed,"
     f" {NEG_PRICE} AS negative_price, {NEG_SIZE} AS negative_size FROM snap",

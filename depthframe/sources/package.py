@@ -1,17 +1,26 @@
-"""Published datasets, prediction tables and run results on any Hadoop file system."""
+"""Published datasets, prediction tables and run results on any Hadoop file system.
+
+Tables become visible through one small file. A dataset folder ``<root>/<version>`` holds the tables
+of every writer in a ``data-*`` folder of its own; the marker names the one that counts. The marker is
+created without overwriting, so of several writers exactly one wins and the others return what it
+published. Tables that change are kept as versions beside a pointer file, which is replaced in one
+step: a reader gets the old table or the new one.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import re
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depthframe.operators import validation
+from depthframe.operators import baselines, validation
 from depthframe.operators.sessions import choose_slicing
 from depthframe.schema import (
     FOLD_INDEX_SCHEMA,
@@ -21,8 +30,11 @@ from depthframe.schema import (
     ROWS_SCHEMA,
 )
 
-FORMAT = 2
+FORMAT = 3
 MARKER = "_SUCCESS"
+POINTER = "_CURRENT"
+#: Seconds to wait for another writer that has created a marker and not yet filled it.
+PATIENCE = 30
 RECORD = "record.json"
 
 
@@ -82,22 +94,25 @@ class Record:
 
 @dataclass(frozen=True)
 class Package:
+    """A dataset; its tables lie in ``data``, a folder below ``root`` or ``root`` itself."""
+
     spark: SparkSession
     root: str
     record: Record
+    data: str
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(ROWS_SCHEMA).parquet(f"{self.root}/rows")
+        return self.spark.read.schema(ROWS_SCHEMA).parquet(f"{self.data}/rows")
 
     def quality(self) -> DataFrame:
-        return self.spark.read.schema(QUALITY_SCHEMA).parquet(f"{self.root}/quality")
+        return self.spark.read.schema(QUALITY_SCHEMA).parquet(f"{self.data}/quality")
 
     def folds(self) -> DataFrame:
-        return self.spark.read.schema(FOLD_INDEX_SCHEMA).parquet(f"{self.root}/folds")
+        return self.spark.read.schema(FOLD_INDEX_SCHEMA).parquet(f"{self.data}/folds")
 
     def plan(self) -> DataFrame:
         """The stored fold plan, with dates that have no anchor too."""
-        return self.spark.read.schema(PLAN_SCHEMA).parquet(f"{self.root}/plan")
+        return self.spark.read.schema(PLAN_SCHEMA).parquet(f"{self.data}/plan")
 
     def fold(self, fold_index: int, split: str) -> DataFrame:
         """One partition of the fold index; empty is an error."""
@@ -122,8 +137,12 @@ class Files:
     """The few file-system calls publishing needs, through Hadoop so that any store works."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self._jvm = spark._jvm
-        self._fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._jvm, self._gateway = spark._jvm, spark.sparkContext._gateway
+        conf = spark._jsc.hadoopConfiguration()
+        self._fs = self.path(root).getFileSystem(conf)
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._fs.makeQualified(self.path(root)).toUri(), conf
+        )
 
     def path(self, p: str):
         return self._jvm.org.apache.hadoop.fs.Path(p)
@@ -138,6 +157,35 @@ class Files:
     def delete(self, p: str) -> None:
         self._fs.delete(self.path(p), True)
 
+    def make_folder(self, p: str) -> None:
+        self._fs.mkdirs(self.path(p))
+
+    def folders(self, p: str) -> list[tuple[str, int]]:
+        """(name, time of change) of the folders in ``p``."""
+        found = self._fs.listStatus(self.path(p))
+        return [(f.getPath().getName(), f.getModificationTime()) for f in found if f.isDirectory()]
+
+    def claim_text(self, p: str, text: str) -> bool:
+        """Create a file if there is none; of several writers one gets true."""
+        try:
+            out = self._fs.create(self.path(p), False)
+        except Py4JJavaError as failed:
+            if self.exists(p):
+                return False
+            raise OSError(f"cannot create {p}") from failed
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def replace_text(self, p: str, text: str) -> None:
+        """Replace a small file in one step: written beside it and renamed over it."""
+        folder, name = p.rsplit("/", 1)
+        fresh = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        self.write_text(fresh, text)
+        how = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._context.rename(self._fs.makeQualified(self.path(fresh)), self._fs.makeQualified(self.path(p)), how)
+
     def write_text(self, p: str, text: str) -> None:
         out = self._fs.create(self.path(p), True)
         out.write(bytearray(text.encode()))
@@ -167,30 +215,51 @@ def write_folds(folds: DataFrame, path: str) -> None:
 
 
 def publish(spark: SparkSession, staged: str, output_root: str, record: Record) -> Package:
-    """Check the staged tables, then make them visible with one rename."""
+    """Check the staged tables, then make them visible; a dataset published meanwhile is returned instead.
+
+    The tables move to a folder that only this writer uses. Creating the marker, which names that
+    folder, publishes them. The writer that finds a marker deletes its tables and audits and returns
+    those of the winner.
+    """
     if record.problems():
         raise ValueError("; ".join(record.problems()))
-    files = Files(spark, output_root)
+    files, final = Files(spark, output_root), f"{output_root}/{record.version}"
     files.write_text(f"{staged}/{RECORD}", record.to_json())
-    package = Package(spark, staged, record)
+    package = Package(spark, final, record, staged)
     for name, table in (("rows", package.rows()), ("quality", package.quality()), ("folds", package.folds())):
         validation.check_schema(table, validation.SCHEMAS[name], name)
     validation.raise_if_broken(package.checks(), "dataset")
-    files.write_text(f"{staged}/{MARKER}", "")
-    final = f"{output_root}/{record.version}"
-    files.rename(staged, final)
-    return Package(spark, final, record)
+    files.make_folder(final)
+    name = f"data-{uuid.uuid4().hex}"
+    files.rename(staged, f"{final}/{name}")
+    if files.claim_text(f"{final}/{MARKER}", name):
+        return Package(spark, final, record, f"{final}/{name}")
+    files.delete(f"{final}/{name}")
+    return audited_package(spark, final)
+
+
+def _published_folder(files: Files, root: str) -> str:
+    """The folder that the marker names."""
+    if not files.exists(f"{root}/{MARKER}"):
+        raise ValueError(f"not a published dataset: {root}")
+    for left in range(PATIENCE, -1, -1):
+        name = files.read_text(f"{root}/{MARKER}")
+        if name:
+            return f"{root}/{name}"
+        if files.exists(f"{root}/{RECORD}"):
+            return root  # tables beside the marker, as written before
+        time.sleep(1 if left else 0)
+    raise ValueError(f"the marker of {root} names no folder: its writer stopped; delete the marker")
 
 
 def find_package(spark: SparkSession, root: str) -> Package:
     """A published dataset by its marker and record; its tables are not read."""
     files, root = Files(spark, root), root.rstrip("/")
-    if not files.exists(f"{root}/{MARKER}"):
-        raise ValueError(f"not a published dataset: {root}")
-    record = Record.from_json(files.read_text(f"{root}/{RECORD}"))
+    data = _published_folder(files, root)
+    record = Record.from_json(files.read_text(f"{data}/{RECORD}"))
     if root.rsplit("/", 1)[-1] != record.version:
         raise ValueError(f"{root} does not hold version {record.version}")
-    return Package(spark, root, record)
+    return Package(spark, root, record, data)
 
 
 def audited_package(spark: SparkSession, root: str) -> Package:
@@ -199,23 +268,35 @@ def audited_package(spark: SparkSession, root: str) -> Package:
     partitioned = {"rows": ["trade_date"], "folds": ["fold_index", "split"], "quality": []}
     for name, folder_columns in partitioned.items():
         # The declared schema would hide a drift, so the files' own is read.
-        stored = spark.read.parquet(f"{package.root}/{name}").drop(*folder_columns)
+        stored = spark.read.parquet(f"{package.data}/{name}").drop(*folder_columns)
         validation.check_schema(stored, [f for f in validation.SCHEMAS[name] if f.name not in folder_columns], name)
     validation.raise_if_broken(package.checks(), "dataset")
     return package
 
 
 def replace_table(df: DataFrame, path: str, *partitions: str) -> None:
-    """Write beside the target, then swap: readers never see a half-written table."""
-    files = Files(df.sparkSession, path)
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    """Write a new version of a table, then point to it in one step.
+
+    The version before stays for readers that have opened it; older ones are deleted.
+    """
+    files, name = Files(df.sparkSession, path), f"data-{uuid.uuid4().hex}"
+    before = files.read_text(f"{path}/{POINTER}") if files.exists(f"{path}/{POINTER}") else None
     writer = df.write
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(fresh)
-    if files.exists(path):
-        files.rename(path, old)
-    files.rename(fresh, path)
-    if files.exists(old):
-        files.delete(old)
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{path}/{name}")
+    files.replace_text(f"{path}/{POINTER}", name)
+    # Versions newer than the one before may belong to writers that have not pointed to them yet.
+    times = dict(files.folders(path))
+    for other, changed in times.items():
+        if other not in (name, before) and changed < times.get(before, 0):
+            files.delete(f"{path}/{other}")
+
+
+def current_table(spark: SparkSession, path: str) -> str:
+    """The folder of the version that counts."""
+    files = Files(spark, path)
+    if not files.exists(f"{path}/{POINTER}"):
+        raise ValueError(f"no table at {path}")
+    return f"{path}/{files.read_text(f'{path}/{POINTER}')}"
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -226,7 +307,7 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTION_SCHEMA).parquet(path)
+    return spark.read.schema(PREDICTION_SCHEMA).parquet(current_table(spark, path))
 
 
 def _component(value: str, name: str) -> str:
@@ -236,12 +317,36 @@ def _component(value: str, name: str) -> str:
 
 
 def log_run(spark: SparkSession, root: str, experiment_id: str, header: str, contents: dict) -> None:
-    """Record one section of a run; writing a section again replaces only that section."""
+    """Record one section of a run; writing a section again replaces only that section, in one step."""
     section = f"{root}/experiment_id={_component(experiment_id, 'experiment_id')}/header={_component(header, 'header')}"
-    rows = [(k, json.dumps(v, sort_keys=True)) for k, v in contents.items()]
-    replace_table(spark.createDataFrame(rows, "key string, value string").coalesce(1), section)
+    lines = [json.dumps({"key": k, "value": json.dumps(v, sort_keys=True)}) for k, v in contents.items()]
+    files = Files(spark, root)
+    files.make_folder(section)
+    files.replace_text(f"{section}/section.json", "\n".join(lines))
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     schema = "key string, value string, experiment_id string, header string"
-    return spark.read.schema(schema).parquet(root)
+    return spark.read.schema(schema).json(root)
+
+
+def save_model(candidate, path: str) -> None:
+    """Store a fitted baseline: its settings and, per instrument and fold, its parameters."""
+    table = candidate.coefficients
+    if table is None:
+        raise RuntimeError("fit before saving")
+    replace_table(table, f"{path}/parameters")
+    Files(table.sparkSession, path).replace_text(
+        f"{path}/model.json", json.dumps({"name": candidate.name, "settings": candidate.settings()}, sort_keys=True)
+    )
+
+
+def load_model(spark: SparkSession, path: str):
+    """A baseline as :func:`save_model` stored it, ready to predict."""
+    known = {c.name: c for c in (baselines.ZeroBaseline, baselines.ImbalanceBaseline, baselines.RidgeBaseline)}
+    stored = json.loads(Files(spark, path).read_text(f"{path}/model.json"))
+    if stored["name"] not in known:
+        raise ValueError(f"unknown model {stored['name']!r}")
+    candidate = known[stored["name"]](**stored["settings"])
+    candidate.coefficients = spark.read.parquet(current_table(spark, f"{path}/parameters"))
+    return candidate

@@ -12,6 +12,8 @@ from depthframe.functions.book import time_of_day
 from depthframe.schema import DEFAULT_SESSIONS, KEY, RAW_COLUMNS
 
 INDEX_COLUMN = "__index_level_0__"  # name pandas gives an unnamed index
+#: Seconds since 1970 of the years 1990 and 2100, between which integer times must lie.
+NANOSECOND_YEARS = (631_152_000, 4_102_444_800)
 ORDER_BLOCK_ROWS = 1_000_000
 
 
@@ -101,7 +103,7 @@ def lenient_double(name: str) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """``yyyy-MM-dd`` or ``yyyyMMdd``; anything else is null."""
+    """``yyyy-MM-dd`` or ``yyyyMMdd``, as text or number; anything else is null."""
     text = F.trim(text.cast("string"))
     dashed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
     compact = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
@@ -111,25 +113,32 @@ def parse_date(text: Column) -> Column:
 def parse_timestamp(df: DataFrame, fallback_date: Column) -> Column:
     """Timestamp, time of day on ``fallback_date``, or ISO text with any zone suffix dropped.
 
-    Integers are nanoseconds since 1970 (pandas files read with ``nanosAsLong``).
+    Text may be dashed or compact (``20260105T093000``), clocks too (``093000``). Integers are
+    nanoseconds since 1970 (pandas files read with ``nanosAsLong``) between 1990 and 2100; seconds,
+    milliseconds or other counts would fall into 1970 and are null instead.
     """
     kind = df.schema["timestamp"].dataType
     ts = F.col("timestamp")
-    if isinstance(kind, T.LongType):
+    if isinstance(kind, T.IntegralType):
+        low, high = (n * 1_000_000_000 for n in NANOSECOND_YEARS)
         return F.expr(
-            "timestamp_ntz'1970-01-01 00:00:00' + (timestamp DIV 1000) * INTERVAL '0.000001' SECOND"
+            f"IF(timestamp >= {low}L AND timestamp < {high}L, timestamp_ntz'1970-01-01 00:00:00'"
+            " + (bigint(timestamp) DIV 1000) * INTERVAL '0.000001' SECOND, NULL)"
         )
     if not isinstance(kind, T.StringType):
         return ts.cast("timestamp_ntz")
     text = F.trim(ts)
-    clock = text.rlike(r"^\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?$")
-    minutes = F.when(F.length(text) == 2, F.concat(text, F.lit(":00"))).otherwise(text)
-    on_day = F.concat(fallback_date.cast("string"), F.lit(" "), minutes)
+    clock = F.regexp_replace(text, r"^(\d{2})(\d{2})(\d{2}(\.\d+)?)?$", "$1:$2:$3")
+    clock = F.regexp_replace(F.regexp_replace(clock, ":$", ""), r"^(\d{2})$", "$1:00")
+    is_clock = clock.rlike(r"^\d{2}:\d{2}(:\d{2}(\.\d+)?)?$")
+    on_day = F.concat(fallback_date.cast("string"), F.lit(" "), clock)
     bare = F.regexp_replace(text, r"(Z|(?<=[0-9])[+-]\d{2}:?\d{2}(:\d{2})?)$", "")
     bare = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).otherwise(bare)
-    bare = F.regexp_replace(bare, r"^(\d{4})(\d{2})(\d{2})(?=$|T)", "$1-$2-$3")
+    bare = F.regexp_replace(bare, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    bare = F.regexp_replace(bare, r"(?<=^.{10}[T ])(\d{2})(\d{2})(\d{2}(\.\d+)?)?$", "$1:$2:$3")
+    bare = F.regexp_replace(bare, r":$", "")
     full = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}"), bare.try_cast("timestamp_ntz"))
-    return F.when(clock, on_day.try_cast("timestamp_ntz")).otherwise(full)
+    return F.when(is_clock, on_day.try_cast("timestamp_ntz")).otherwise(full)
 
 
 def session_problems(sessions: dict[str, tuple[str, str]]) -> list[str]:
@@ -171,16 +180,27 @@ def prepare_snapshots(
     """Typed rows of every file, sessions not yet assigned.
 
     ``raw`` must carry ``file`` and ``row_index`` (file order). The trade date is the date
-    of the timestamp; a ``trade_date`` column or the file name only dates bare clocks.
+    of the timestamp. Bare clocks are dated by the file's ``trade_date`` column or else by its name;
+    ``stated_date`` and ``file_date`` keep both, and :func:`source_violations` reports files whose
+    column holds several dates and files with neither.
     """
     df = restore_time_index(apply_column_mapping(raw, column_mapping), index_column)
     missing = sorted({*RAW_COLUMNS, "timestamp"} - set(df.columns))
     if missing:
         raise ValueError(f"missing required columns after mapping: {missing}")
     stem = F.regexp_extract("file", r"([^/]+)\.parquet$", 1)
-    hint = parse_date(stem)
+    stated = F.lit(None).cast("date")
     if "trade_date" in df.columns:
-        hint = F.coalesce(parse_date(F.col("trade_date")), hint)
+        kind = df.schema["trade_date"].dataType
+        dated = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        stated = F.col("trade_date").cast("date") if dated else parse_date(F.col("trade_date"))
+    df = df.withColumns({"_stated": stated, "_file_date": parse_date(stem)})
+    hint = F.coalesce("_stated", "_file_date")
+    if "trade_date" in df.columns and isinstance(df.schema["timestamp"].dataType, T.StringType):
+        # A row without a date of its own takes the one its file states elsewhere.
+        per_file = df.groupBy(F.col("file").alias("_of")).agg(F.min("_stated").alias("_whole"))
+        df = df.join(per_file, F.col("file") == F.col("_of"))
+        hint = F.coalesce("_stated", "_whole", "_file_date")
     if ticker is None:
         ticker = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
         if "ticker" in df.columns:
@@ -193,6 +213,8 @@ def prepare_snapshots(
         "timestamp",
         "file",
         "row_index",
+        F.col("_stated").alias("stated_date"),
+        F.col("_file_date").alias("file_date"),
         *[lenient_double(c) for c in RAW_COLUMNS],
     )
 
@@ -257,6 +279,8 @@ def source_violations(
         .agg(
             F.count(F.when(F.col("timestamp").isNull(), 1)).alias("unparsed"),
             F.count_distinct("trade_date").alias("dates"),
+            F.count_distinct("stated_date").alias("stated"),
+            F.count("file_date").alias("named"),
             F.min("trade_date").alias("trade_date"),
             F.count(F.when(inside, 1)).alias("inside"),
         )
@@ -279,6 +303,8 @@ def source_violations(
     rules = F.array(
         rule("unparseable timestamp", "file", "unparsed > 0", "unparsed"),
         rule("several trade dates in one file", "file", "dates > 1", "dates"),
+        rule("several trade_date values in one file", "file", "stated > 1", "stated"),
+        rule("no trade date in column or file name", "file", "stated = 0 AND named = 0"),
         rule("no configured session in file", "file", "inside = 0"),
         rule("files not in date order", "file", "coalesce(prev_date > trade_date, false)"),
         rule("several files for one trade date", "trade_date", "files > 1 AND first_of_date", "files"),

@@ -299,3 +299,71 @@ def test_run_log_merges_sections(spark, tmp_path):
     for bad in ("", "..", "a/b"):
         with pytest.raises(ValueError):
             pkg.log_run(spark, root, bad, "data", {})
+
+
+def test_two_builders_publish_one_dataset(spark, tmp_path, monkeypatch):
+    """A second build of the same inputs finishes while the first is about to publish."""
+    for day in range(1, 6):
+        raw_day(tmp_path / "raw", day, 40)
+    out, plain, inner = tmp_path / "out", pkg.publish, []
+
+    def late(spark, staged, output_root, record):
+        monkeypatch.setattr(pkg, "publish", plain)
+        inner.append(build_dataset(spark, str(tmp_path / "raw"), ["A"], str(out), CONFIG))
+        return plain(spark, staged, output_root, record)
+
+    monkeypatch.setattr(pkg, "publish", late)
+    first = build_dataset(spark, str(tmp_path / "raw"), ["A"], str(out), CONFIG)
+    assert first.root == inner[0].root and first.data == inner[0].data
+    assert [p.name for p in out.iterdir()] == [first.record.version]
+    folders = [p.name for p in (out / first.record.version).iterdir() if p.is_dir()]
+    assert folders == [first.data.rsplit("/", 1)[-1]]
+    assert pkg.audited_package(spark, first.root).rows().count() == 5 * 40
+
+
+def test_an_unfinished_marker_is_waited_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pkg, "PATIENCE", 1)
+    (tmp_path / pkg.MARKER).write_text("")
+    with pytest.raises(ValueError, match="names no folder"):
+        pkg.find_package(spark, str(tmp_path))
+
+
+def test_readers_see_the_old_or_the_new_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError, match="no table"):
+        pkg.current_table(spark, path)
+    read = lambda: sorted(r[0] for r in spark.read.parquet(pkg.current_table(spark, path)).collect())
+    pkg.replace_table(spark.range(3), path)
+    opened = spark.read.parquet(pkg.current_table(spark, path))
+    plain, seen = pkg.Files.replace_text, []
+
+    def between(files, p, text):
+        seen.append(read())  # the new version is written, the pointer still names the old one
+        plain(files, p, text)
+        seen.append(read())
+
+    monkeypatch.setattr(pkg.Files, "replace_text", between)
+    pkg.replace_table(spark.range(5), path)
+    assert seen == [[0, 1, 2], [0, 1, 2, 3, 4]]
+    assert opened.count() == 3  # the version before is still there
+    pkg.replace_table(spark.range(6), path)
+    assert read() == list(range(6))
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) <= 2
+
+
+def test_saved_models_predict_the_same(spark, built, tmp_path):
+    package = built[2]
+    rows, plan, names = package.rows(), package.plan(), package.record.features
+    for model in (bl.ZeroBaseline(), bl.ImbalanceBaseline(names), bl.RidgeBaseline(len(names), 2, 3.0)):
+        path = str(tmp_path / model.name)
+        with pytest.raises(RuntimeError):
+            pkg.save_model(model, path)
+        want = candidate_predictions(rows, plan, model).orderBy("ticker", "fold_index", "anchor_timestamp").collect()
+        pkg.save_model(model, path)
+        loaded = pkg.load_model(spark, path)
+        got = loaded.predict(split_rows(rows, plan, "test")).orderBy("ticker", "fold_index", "timestamp").collect()
+        assert [r["prediction"] for r in got] == pytest.approx([r["prediction"] for r in want])
+    path = str(tmp_path / "zero")
+    pkg.Files(spark, path).replace_text(f"{path}/model.json", '{"name": "other", "settings": {}}')
+    with pytest.raises(ValueError, match="unknown"):
+        pkg.load_model(spark, str(tmp_path / "zero"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from depthframe.operators import baselines as bl
 from depthframe.operators import foldsums, toeplitz
+from depthframe.operators.iterative import DirectionLogit, IterativeCandidate
 
 DAYS = [f"2026-01-{d:02d}" for d in range(5, 13)]
 PLAN = [("A", f, d) for f, (lo, hi) in {1: (0, 4), 2: (2, 6), 3: (4, 8)}.items() for d in DAYS[lo:hi]] + [("B", 1, DAYS[0]), ("B", 1, DAYS[7])]
@@ -131,3 +132,46 @@ def test_empty_training_data_is_an_error(spark):
         for rows in (df, df.filter("not is_anchor")):
             with pytest.raises(Exception, match="no training samples"):
                 model.fit(rows, plan_frame(spark)).predict(test).collect()
+
+
+def plain_logit(x, rise, alpha):
+    """Newton's method until nothing moves."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, penalty = np.zeros(x.shape[1]), np.diag([alpha] * (x.shape[1] - 1) + [0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - rise) + penalty @ w)
+    return w
+
+
+def test_logit_of_all_folds_equals_a_plain_loop(spark):
+    rows, df = feed(spark, 2, 2, seed=6)
+    model = IterativeCandidate(DirectionLogit([1, 0], alpha=0.5))
+    fitted = {(r["ticker"], r["fold_index"]): r for r in model.fit(df, plan_frame(spark)).weights.collect()}
+    assert set(fitted) == {(t, f) for t, f, _ in PLAN}
+    per_day = samples_of(rows, 2)
+    for key, r in fitted.items():
+        chosen = [s for t, f, d in PLAN if (t, f) == key for s in per_day[(t, d)]]
+        newest = np.array([w[2:] for w, _ in chosen])
+        want = plain_logit(newest[:, [1, 0]], np.array([t > 0 for _, t in chosen]), 0.5)
+        assert r["weights"] == pytest.approx(want.tolist(), abs=1e-6)
+        assert 2 <= r["rounds"] <= 20
+    test = df.withColumn("fold_index", F.lit(1).cast("bigint"))
+    got = model.predict(test).filter("ticker = 'B'").collect()
+    w = np.array(fitted[("B", 1)]["weights"])
+    by_time = {(r[1], r[2], r[3]): r[7] for r in rows if r[0] == "B"}
+    assert got
+    for r in got[:20]:
+        x = by_time[(r["trade_date"], r["session_id"], r["timestamp"])]
+        assert r["prediction"] == pytest.approx(np.tanh((w @ [x[1], x[0], 1.0]) / 2))
+
+
+def test_logit_without_a_plan_and_without_a_solution(spark):
+    _, df = feed(spark, 2, 2)
+    one = df.filter("ticker = 'A'").withColumn("fold_index", F.lit(4).cast("bigint"))
+    fitted = IterativeCandidate(DirectionLogit([0])).fit(one).weights.collect()
+    assert [(r["ticker"], r["fold_index"]) for r in fitted] == [("A", 4)]
+    with pytest.raises(ValueError, match="no solution after 1 rounds"):
+        IterativeCandidate(DirectionLogit([0]), max_rounds=1).fit(one)
+    with pytest.raises(ValueError, match="alpha"):
+        DirectionLogit([0], alpha=0.0)

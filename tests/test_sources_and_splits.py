@@ -128,6 +128,48 @@ def test_timestamp_text(spark):
     ]
 
 
+def test_compact_times_and_integers(spark):
+    texts = ["20260105T093000", "20260105T0930", "20260105 093000.25", "093001", "0930", "2026-01-05T093000Z", "20260105", "99", "1767605400"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, timestamp string")
+    day = F.lit("2026-01-05").cast("date")
+    got = [r[0] for r in df.withColumn("t", raw.parse_timestamp(df, day)).orderBy("i").select("t").collect()]
+    half = at("09:30:00")
+    assert got == [half, half, at("09:30:00.250"), at("09:30:01"), half, half, at("00:00:00"), None, None]
+    seconds = 1767605400  # 2026-01-05 09:30
+    numbers = [seconds * 10**9, seconds, seconds * 1000, seconds * 10**6, -1, None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i int, timestamp bigint")
+    got = [r[0] for r in df.withColumn("t", raw.parse_timestamp(df, day)).orderBy("i").select("t").collect()]
+    assert got == [half, None, None, None, None, None]
+
+
+def test_trade_date_rules(spark, tmp_path):
+    root = tmp_path / "A"
+    clocks = pandas_book(["09:30:00", "09:30:03", "09:30:06"])
+    clocks["timestamp"] = ["09:30:00", "09:30:03", "09:30:06"]
+    save(clocks.assign(trade_date=[None, "2026-01-07", None]), root / "20260105.parquet")  # the column dates the clocks
+    save(clocks.assign(trade_date=["x", None, ""]), root / "20260106.parquet")  # no usable value: the name does
+    save(clocks.assign(trade_date=["2026-01-08", "20260109", "2026-01-08"]), root / "20260108.parquet")
+    full = clocks.assign(timestamp=[f"2026-01-10 {t}" for t in clocks["timestamp"]], trade_date=[None] * 3)
+    save(full.astype({"trade_date": "string"}), root / "latest.parquet")
+    prepared = raw.read_snapshots(spark, str(root))
+    days = {(r["file"].rsplit("/")[-1], r["trade_date"]) for r in prepared.collect()}
+    assert days == {
+        ("20260105.parquet", "2026-01-07"), ("20260106.parquet", "2026-01-06"), ("20260108.parquet", "2026-01-08"),
+        ("20260108.parquet", "2026-01-09"), ("latest.parquet", "2026-01-10"),
+    }
+    got = {(r["rule"], r["subject"].rsplit("/")[-1]) for r in raw.source_violations(prepared).collect()}
+    assert ("several trade_date values in one file", "20260108.parquet") in got
+    assert ("no trade date in column or file name", "latest.parquet") in got
+    assert not [s for rule, s in got if rule.startswith(("several trade_date", "no trade")) and s not in ("20260108.parquet", "latest.parquet")]
+
+
+def test_every_input_rule_fires_in_the_query(spark):
+    from depthframe.registry import dataset_queries
+
+    rules = {r["rule"] for r in dataset_queries.broken_sources(spark, "/root/testdata/sf0.01").collect()}
+    assert len(rules) == 8
+
+
 def test_sessions_are_half_open(spark):
     times = ["09:29:59.999999", "09:30:00", "11:29:59.999999", "11:30:00", "13:00:00", "14:56:59", "14:57:00"]
     df = spark.createDataFrame([(at(t),) for t in times], "t timestamp_ntz")

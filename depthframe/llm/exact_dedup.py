@@ -3,7 +3,8 @@
 Pass 1 sets ``PROBES`` bits for every row's fingerprint and keeps the bits that more than one
 row set. Pass 2 tests each row: if one of its bits was set once only, its text is unique and the
 row passes straight through. Only the rest, a superset of the true repeats, is shuffled and
-grouped by fingerprint, which settles it exactly.
+grouped by fingerprint, which settles it exactly. The answer of a group with very many copies is
+broadcast to its rows.
 
 The filter is cut into blocks of 512 bits so that one lookup answers a row, and has 16 to 32 bits
 a row up to ``bloom.MAX_BLOCKS`` (16 MB of bits), which bounds the broadcast. Beyond about eight million
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthframe.llm import bloom
-from depthframe.llm.common import normal_text, stored, table, whole
+from depthframe.llm.common import normal_text, stored, table, whole, with_groups
 
 def fingerprint(text: Column) -> Column:
     """SHA-256 of the normalised text, 32 bytes."""
@@ -44,11 +45,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"), "sha",
     )
-    some = marked.filter("maybe")
-    groups = some.groupBy("sha").agg(
-        F.min(rank).alias("first"), F.count(F.lit(1)).alias("group_size")
+    some = stored(marked.filter("maybe").select("id", "sha", "rid"))
+    groups = stored(
+        some.groupBy("sha").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("group_size"))
     )
-    settled = some.join(groups, "sha").select(
+    settled = with_groups(some, groups, "sha", "group_size", prints.count()).select(
         "id", F.col("first.id").alias("keep_id"), "group_size",
         (F.col("first.rid") == F.col("rid")).alias("kept"), "sha",
     )

@@ -7,8 +7,9 @@ severity is the sum of these probabilities.
 
 Labels say only toxic or not, so graded severity is derived for training: 0 is not toxic; among
 toxic texts, those whose number of telling features is above the median are 2, the others 1. A
-feature is telling if it occurs in toxic texts of the sample more often than chance allows (see
-:func:`telling`).
+feature is telling if it occurs in toxic texts of the sample more often than chance allows: so often
+that, of all features of the sample together, at most one would be expected to (see
+:func:`telling`). No number of texts is fixed, so small and large tables are judged alike.
 
 Training uses a bounded sample: the ``SAMPLE`` labelled documents of either class that come first by
 a hash of their id, at most. A sampled row counts for all labelled rows it stands for, so that
@@ -30,8 +31,8 @@ from depthframe.llm.common import stored, table
 SAMPLE = 2000
 STEMS = (4, 5, 6)
 GRADES = 3
-#: A feature is telling from this many standard deviations and toxic texts on.
-TELLING_Z, TELLING_TEXTS = 5.0, 6
+#: A feature is telling from this many standard deviations on.
+TELLING_Z = 5.0
 #: Share of the sampled texts with the feature that must be toxic.
 TELLING_SHARE = 0.9
 #: Features are sought for toxic texts that hold fewer chosen features than this.
@@ -82,12 +83,27 @@ class OrdinalModel:
 
 def may_tell(bad, clean):
     """Whether a feature in so many toxic and other texts of the sample is worth a look."""
-    return (bad >= TELLING_TEXTS) & (bad >= TELLING_SHARE * (bad + clean))
+    return (bad >= 2) & (bad >= TELLING_SHARE * (bad + clean))
 
 
-def telling(rows: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> list[int]:
+def least_texts(toxic: int, clean: int, tested: int) -> float:
+    """So many texts are all toxic by chance for less than one of ``tested`` features; infinite if none suffice.
+
+    The exact (hypergeometric) test of drawing only toxic texts.
+    """
+    chance = 1.0
+    for k in range(toxic):
+        chance *= (toxic - k) / (toxic + clean - k)
+        if chance * max(1, tested) <= 1:
+            return k + 1
+    return float("inf")
+
+
+def telling(rows: np.ndarray, at: np.ndarray, toxic: np.ndarray, tested: int | None = None) -> list[int]:
     """Features that lean to toxic texts beyond chance, chosen greedily; (row, feature) pairs are distinct.
 
+    ``tested`` is the number of features of the sample, those left out before included.
+
     Each choice is the feature that leans most among the toxic texts which fewer than ``COVER``
     chosen features occur in. Words that toxic texts only share because they are copies of each
     other explain nothing once the words they are toxic by are chosen, and so stay out.
@@ -97,12 +113,13 @@ def telling(rows: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> list[int]:
     clean = np.bincount(at[~bad_row[rows]], minlength=size)
     covered, chosen = np.zeros(len(toxic), int), []
     open_rows = bad_row.copy()
+    tested = max(size, tested or 0)
     while size:
         bad = np.bincount(at[open_rows[rows]], minlength=size)
         rate = open_rows.sum() / max(1, open_rows.sum() + (~bad_row).sum())
         seen = bad + clean
         z = (bad - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
-        z[(bad < TELLING_TEXTS) | (z < TELLING_Z)] = 0
+        z[(bad < least_texts(int(open_rows.sum()), int((~bad_row).sum()), tested)) | (z < TELLING_Z)] = 0
         z[chosen] = 0
         best = int(np.argmax(z))
         if z[best] <= 0:
@@ -150,10 +167,11 @@ def fit_ordinal(
 
 
 def fit_features(
-    keys: np.ndarray, rows: np.ndarray, at: np.ndarray, toxic: np.ndarray, counts: np.ndarray | None = None
-) -> OrdinalModel:
+    keys: np.ndarray, rows: np.ndarray, at: np.ndarray, toxic: np.ndarray, counts: np.ndarray | None = None,
+    tested: int | None = None,
+) -> OrdinalModel:
     """Model from the (row, index into ``keys``) pairs of a sample. Without a telling feature every grade is 0."""
-    chosen = telling(rows, at, toxic)
+    chosen = telling(rows, at, toxic, tested)
     if not chosen:
         return OrdinalModel(keys[:0], np.zeros(0), np.full(GRADES - 1, 60.0))
     column = np.full(len(keys), -1)
@@ -171,9 +189,9 @@ def train(column: pa.Array, toxic: np.ndarray) -> OrdinalModel:
     rows, ids = features(column)
     keys, at = np.unique(ids, return_inverse=True)
     bad = np.bincount(at[toxic[rows] > 0], minlength=len(keys))
-    use = may_tell(bad, np.bincount(at, minlength=len(keys)) - bad)[at]
+    use, tested = may_tell(bad, np.bincount(at, minlength=len(keys)) - bad)[at], len(keys)
     keys, at = np.unique(ids[use], return_inverse=True)
-    return fit_features(keys, rows[use], at, toxic)
+    return fit_features(keys, rows[use], at, toxic, tested=tested)
 
 
 def label_marks(labels: DataFrame) -> DataFrame:
@@ -215,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
             mark = part["l_toxic"].to_numpy()[rows]
             yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(mark, pa.int32())], ["f", "toxic"])
 
-    counts = (
+    counts = stored(
         sample.mapInArrow(all_features, "f bigint, toxic int")
         .groupBy("f")
         .agg(F.sum("toxic").alias("bad"), F.sum(F.lit(1) - F.col("toxic")).alias("clean"))
@@ -237,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
         return fit_features(keys, np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     lists, toxic = marked["at"].combine_chunks(), marked["toxic"].to_numpy()
     rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    return fit_features(keys, rows, lists.flatten().to_numpy(), toxic.astype(float), class_counts(labels)[toxic])
+    return fit_features(keys, rows, lists.flatten().to_numpy(), toxic.astype(float), class_counts(labels)[toxic], counts.count())
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

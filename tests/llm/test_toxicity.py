@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -82,3 +83,49 @@ def test_probabilities_do_not_depend_on_the_number_of_labels(spark, n):
     clean, foul = model.above(model.latent(pa.array(["word1 word2", "word1 grubnik vexar"])))[:, 0]
     assert 0.03 < clean < 0.08 and foul >= tox.REJECT
     assert not tox.grade(docs.filter(f"doc_id >= {n // 2}"), model).filter("toxic").count()
+
+
+def plain_features(text):
+    """Words and their leading 4, 5 and 6 bytes, one text at a time."""
+    out = set()
+    for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+        word = bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+        out |= {(0, word), *((n, word[:n]) for n in tox.STEMS)}
+    return out
+
+
+def test_grades_of_a_small_table_equal_a_plain_version(spark):
+    """The table has 11 toxic labels: few texts, so the test for telling features must fit their number."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = tox.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {key: i for i, key in enumerate(model.keys.tolist())}
+    weight = {}
+    for n, word in set().union(*map(plain_features, texts.values())):
+        got = tox.w.split_words(pa.array([word.decode("latin-1")]) if word.isascii() else pa.array([""]), tox.w.NOT_WORD, tox.w.LOWER, tox.STEMS)
+        if len(got.hashes):
+            key = int(got.hashes[0] if n == 0 else got.stems[n][0] + tox.w.U64(n))
+            if key in known:
+                weight[n, word] = model.weights[known[key]]
+    graded = {r["doc_id"]: r for r in tox.grade(docs, model).collect()}
+    for doc, text in texts.items():
+        latent = sum(weight.get(f, 0.0) for f in plain_features(text))
+        above = [1 / (1 + np.exp(t - latent)) for t in model.thresholds]
+        edge = [1.0, *above, 0.0]
+        assert graded[doc]["severity"] == pytest.approx(sum(above))
+        assert graded[doc]["grade"] == int(np.argmax([edge[k] - edge[k + 1] for k in range(3)]))
+        assert graded[doc]["toxic"] == (above[0] >= tox.REJECT)
+    bad = {r["doc_id"] for r in labels.filter("toxic = 1").collect()}
+    caught = {doc for doc, r in graded.items() if r["toxic"]}
+    assert len(caught & bad) >= 5 and len(caught) < 0.2 * len(texts)
+
+
+def test_least_texts_is_the_exact_test():
+    from math import comb
+
+    for toxic, clean, tested in [(11, 76, 40_000), (51, 348, 90_000), (2000, 2000, 10**6), (3, 500, 10)]:
+        least = tox.least_texts(toxic, clean, tested)
+        chance = lambda k: comb(toxic, k) / comb(toxic + clean, k) * tested
+        assert chance(least) <= 1 < chance(least - 1)
+    assert tox.least_texts(2, 1, 10**6) == float("inf")

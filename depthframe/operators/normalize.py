@@ -35,6 +35,8 @@ class TrailingScaler:
     """Z-score over the ``window`` rows before each row, for every feature in ``features``."""
 
     kind = "trailing z-score"
+    #: Raised whenever the numbers change, so that stored datasets tell how theirs were made.
+    version = 1
 
     def __init__(self, features: list[str], window: int = 180) -> None:
         repeated = {f for f in features if features.count(f) > 1}
@@ -49,17 +51,23 @@ class TrailingScaler:
         return causal_zscore(rows, self.features, self.window)
 
     def settings(self) -> dict:
-        return {"kind": self.kind, "features": self.features, "window": self.window}
+        return {"kind": self.kind, "version": self.version, "features": self.features, "window": self.window}
 
 
 def scaler_from_settings(settings: dict) -> TrailingScaler:
     """The scaler that ``settings()`` described; missing or foreign keys are errors."""
-    odd = set(settings) ^ {"kind", "features", "window"}
+    odd = set(settings) ^ {"kind", "version", "features", "window"}
     if odd:
         raise ValueError(f"scaler settings missing or unknown: {sorted(odd)}")
-    if settings["kind"] != TrailingScaler.kind:
-        raise ValueError(f"no scaler of kind {settings['kind']!r}")
-    return TrailingScaler(settings["features"], settings["window"])
+    known = TrailingScaler.kind, TrailingScaler.version
+    if (settings["kind"], settings["version"]) != known:
+        raise ValueError(f"no scaler of kind {settings['kind']!r} in version {settings['version']!r}")
+    features, window = settings["features"], settings["window"]
+    if not isinstance(features, list) or not all(isinstance(f, str) for f in features):
+        raise ValueError(f"features are not a list of names: {features!r}")
+    if type(window) is not int:
+        raise ValueError(f"the window is no whole number: {window!r}")
+    return TrailingScaler(features, window)
 
 
 def _running_moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

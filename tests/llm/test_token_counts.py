@@ -37,7 +37,7 @@ def test_long_and_empty_texts(counter):
 def test_ties_go_to_the_piece_that_starts_first():
     own = tc.UnitCounts({"a": -1.0, "b": -1.0, "ab": -2.0, "c": -1.0, "bc": -2.0, tc.MARK: 0.0}, False)
     assert own.segment("ab") == 1
-    assert own.segment("abc") in (2, 3)
+    assert own.segment("abc") == 2  # a + bc: of the pieces that end the text, bc starts before c
     assert own.segment("zz") == 1 and own.segment("zaz") == 3
 
 

@@ -38,9 +38,10 @@ def _ridge():
 
 
 def _predict(spark, sf, candidate) -> DataFrame:
-    return walkforward.candidate_predictions(
-        inputs.stored_rows(spark, sf), _plan(spark, sf), candidate, dataset_version="events"
-    )
+    rows = inputs.stored_rows(spark, sf)
+    # A published dataset stores its plan; here it would be derived from the feed at every use.
+    plan = _plan(spark, sf).checkpoint()
+    return walkforward.candidate_predictions(rows, plan, candidate, dataset_version="events")
 
 
 def _shown(predictions: DataFrame) -> DataFrame:

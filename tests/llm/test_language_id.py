@@ -79,3 +79,67 @@ def test_held_out_rule(spark):
     df = spark.range(300).withColumnRenamed("id", "doc_id")
     got = {r[0] for r in df.filter(li.held_out(df["doc_id"])).collect()}
     assert got == {i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def test_windows_cover_whole_texts():
+    for n in (1, 63, 64, 65, 128, 1000):
+        raw = bytes(33 + i % 90 for i in range(n))
+        got = li.windows_of(raw.decode())
+        assert {len(x) for x in got} == {li.LENGTH}
+        seen = set()
+        for i, x in enumerate(got):
+            start = min(i * li.LENGTH, max(n - li.LENGTH, 0))
+            assert x.tobytes().rstrip(b" ") == raw[start : start + li.LENGTH]
+            seen.update(range(start, min(start + li.LENGTH, n)))
+        assert seen == set(range(n))
+
+
+def plain_probabilities(net, raw):
+    """One uncut pass in either direction, byte by byte, in double precision."""
+    sides = []
+    for d in (0, 1):
+        h, states = np.zeros(li.UNITS), []
+        for byte in raw if d == 0 else raw[::-1]:
+            z = net.table[d][byte].astype(float) + h @ net.recurrent[d]
+            z = z / (1 + abs(z))
+            gate = (1 + z[: li.UNITS]) / 2
+            h = gate * h + (1 - gate) * z[li.UNITS :]
+            states.append(h)
+        sides.append(states if d == 0 else states[::-1])
+    total, letters = np.zeros(len(net.labels)), 0
+    for byte, left, right in zip(raw, *sides):
+        if byte >= 128 or chr(byte).isalpha():
+            p = np.exp(np.r_[left, right] @ net.out + net.bias)
+            total, letters = total + p / p.sum(), letters + 1
+    return total / max(letters, 1)
+
+
+def test_scores_equal_an_uncut_pass(spark):
+    net, rng = trained(), random.Random(5)
+    texts = [text(lang, n, rng) + tail for lang in SYLLABLES for n in (1, 40, 400) for tail in ("", " 12.", " kor ciu tzk")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in li.identify(df, net).collect()}
+    for i, t in enumerate(texts):
+        want = plain_probabilities(net, t.encode())
+        assert abs(got[i][1] - want.max()) < 1e-3
+        assert got[i][0] == net.labels[int(want.argmax())]
+
+
+def test_sample_of_training_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, None if i % 2 else " 12 ", "aa") for i in range(3000)]
+    rows += [(i, text("aa", 12, rng), "aa") for i in range(5000, 5020)]
+    rows += [(i, text("bb", 12, rng), "bb") for i in range(6000, 6400)]
+    rows += [(7000, text("cc", 5000, rng), "cc"), (7001, text("cc", 9000, rng), "cc")]
+    rows += [rows[-3]] * 300  # one row often
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {}
+    for r in li.training_windows(docs, 150, 1 << 14).collect():
+        got.setdefault(r["lang"], []).append(bytes(r["window"]))
+    size = lambda t: len(li.windows_of(t))
+    assert len(got["aa"]) == sum(size(t) for i, t, _ in rows if 5000 <= i < 5020)
+    assert sum(map(len, got["bb"])) <= (1 << 14) + 150 * li.LENGTH and len(got["bb"]) > 50
+    # All texts of this language are above the limit: the shortest is taken, and taken whole.
+    assert len(got["cc"]) == size(next(t for i, t, _ in rows if i == 7000))
+    assert li.fit(docs.filter("lang = 'aa'")).labels == ["aa"]
+    assert li.training_windows(docs.filter("doc_id < 3000")).count() == 0

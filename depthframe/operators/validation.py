@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from depthframe.functions.book import is_finite
 from depthframe.operators.samples import mark_anchors
 from depthframe.operators.sessions import WHOLE, Slicing
-from depthframe.plans.splits import fold_violations
+from depthframe.plans.splits import splits_in_order
 from depthframe.schema import (
     DAY,
     FOLD_INDEX_SCHEMA,
@@ -34,13 +34,23 @@ def _counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.agg(*broken).unpivot([], list(rules), "rule", "violations")
 
 
-def _total(df: DataFrame, rule: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+def _level(df: DataFrame, keys: list[str], rules: dict[str, Column], below: list[str] = (), *more: Column) -> DataFrame:
+    """Rows of ``df`` that break each rule, per ``keys``, and the sums of the counts ``below``.
 
+    Rules on groups of rows are rules on the level that grouped them, so a table is read once.
+    """
+    broken = [F.count(F.when(~F.coalesce(ok, F.lit(False)), 1)).alias(name) for name, ok in rules.items()]
+    sums = [F.coalesce(F.sum(F.col(f"`{name}`")), F.lit(0)).alias(name) for name in below]
+    return df.groupBy(*keys).agg(*broken, *sums, *more)
 
-def _nonempty(df: DataFrame, rule: str) -> DataFrame:
-    empty = F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint")
-    return df.agg(empty.alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+
+def _rules(totals: DataFrame, names: list[str]) -> DataFrame:
+    return totals.unpivot([], [F.col(f"`{n}`") for n in names], "rule", "violations")
+
+
+def _empty(counted: str) -> Column:
+    """1 if the level below counted no row at all."""
+    return F.when(F.coalesce(F.sum(counted), F.lit(0)) == 0, 1).otherwise(0).cast("bigint")
 
 
 def report(tables: list[DataFrame]) -> DataFrame:
@@ -63,100 +73,86 @@ def check_schema(df: DataFrame, schema, what: str) -> None:
 
 def segment_checks(df: DataFrame) -> DataFrame:
     """User input for one session: keys and time must be present and unique."""
-    repeated = df.groupBy(*KEY, "timestamp").count().filter("count > 1")
-    return report(
-        [
-            _counts(df, {"keys and timestamp present": F.concat_ws("", *KEY).isNotNull() & F.col("timestamp").isNotNull()}),
-            _total(repeated, "timestamps unique within a session"),
-        ]
-    )
+    present = {"keys and timestamp present": F.concat_ws("", *KEY).isNotNull() & F.col("timestamp").isNotNull()}
+    times = _level(df, [*KEY, "timestamp"], present, [], F.count(F.lit(1)).alias("n"))
+    unique = {"timestamps unique within a session": F.col("n") == 1}
+    return _rules(_level(times, [], unique, list(present)), [*present, *unique])
 
 
 def row_checks(rows: DataFrame, feature_count: int) -> DataFrame:
-    """Array width, and global positions covering 0..n-1 exactly once per instrument."""
-    sessions = rows.groupBy(*KEY).agg(
+    """Array width, and global positions covering 0..n-1 exactly once per instrument.
+
+    One scan: rows are counted per session, sessions per instrument, instruments in all.
+    """
+    c = F.col
+    row_rules = {
+        "feature width": F.size("features") == feature_count,
+        "global index is session start plus position": c("global_index") == c("session_start_index") + c("row_no"),
+    }
+    session_rules = {
+        "session positions cover every row once": (c("lo") == 0) & (c("hi") == c("n") - 1) & (c("d") == c("n")),
+        "one start per session": c("start") == c("start_hi"),
+    }
+    instrument_rules = {
+        "sessions cover every global row once": (c("first") == 0) & (c("end") == c("rows")) & (c("starts") == c("sessions"))
+    }
+    sessions = _level(
+        rows, KEY, row_rules, [],
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("row_no").alias("d"),
         F.min("row_no").alias("lo"),
         F.max("row_no").alias("hi"),
         F.min("session_start_index").alias("start"),
         F.max("session_start_index").alias("start_hi"),
-    )
-    contiguous = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("d") == F.col("n"))
-    instruments = sessions.groupBy("ticker").agg(
-        F.min("start").alias("lo"),
-        F.max(F.col("start") + F.col("n")).alias("end"),
-        F.sum("n").alias("n"),
+    )
+    instruments = _level(
+        sessions, ["ticker"], session_rules, list(row_rules),
+        F.min("start").alias("first"),
+        F.max(c("start") + c("n")).alias("end"),
+        F.sum("n").alias("rows"),
         F.count_distinct("start").alias("starts"),
         F.count(F.lit(1)).alias("sessions"),
-    )
-    return report(
-        [
-            _counts(
-                rows,
-                {
-                    "feature width": F.size("features") == feature_count,
-                    "global index is session start plus position": F.col("global_index")
-                    == F.col("session_start_index") + F.col("row_no"),
-                },
-            ),
-            _counts(
-                sessions,
-                {
-                    "session positions cover every row once": contiguous,
-                    "one start per session": F.col("start") == F.col("start_hi"),
-                },
-            ),
-            _counts(
-                instruments,
-                {
-                    "sessions cover every global row once": (F.col("lo") == 0)
-                    & (F.col("end") == F.col("n"))
-                    & (F.col("starts") == F.col("sessions"))
-                },
-            ),
-        ]
-    )
+    )
+    below = [*row_rules, *session_rules]
+    return _rules(_level(instruments, [], instrument_rules, below), [*below, *instrument_rules])
 
 
 def quality_checks(quality: DataFrame, rows: DataFrame) -> DataFrame:
-    """Complete, unique, in range, and describing the same days and rows as the dataset."""
+    """Complete, unique, in range, and describing the same days and rows as the dataset.
+
+    One scan of either table: days of both meet in one full join, whose rows are counted per day.
+    """
     c = F.col
     counts = [
         "duplicate_count", "crossed_book_count", "one_side_missing_count", "invalid_level_order_count",
     ]
+    rules = {
+        "quality without nulls": reduce(lambda a, b: a & b, [c(f.name).isNotNull() for f in QUALITY_SCHEMA]),
+        "row count positive": c("row_count") > 0,
+        "ratios within 0 and 1": c("missing_ratio").between(0, 1) & c("stale_snapshot_ratio").between(0, 1),
+        "gaps ordered and not negative": (c("max_gap") >= 0) & (c("p95_gap") >= 0) & (c("p95_gap") <= c("max_gap")),
+        "counts not negative": F.least(*counts) >= 0,
+    }
+    # A day without a quality row breaks the match only.
+    rules = {name: c("_stored").isNull() | F.coalesce(ok, F.lit(False)) for name, ok in rules.items()}
+    rules["quality rows match the dataset"] = c("row_count") == c("rows_found")
     per_day = rows.groupBy(*DAY).agg(F.count(F.lit(1)).alias("rows_found"))
-    both = quality.select(*DAY, "row_count").join(per_day, DAY, "full")
-    return report(
-        [
-            _nonempty(quality, "quality not empty"),
-            _counts(
-                quality,
-                {
-                    "quality without nulls": reduce(
-                        lambda a, b: a & b, [c(f.name).isNotNull() for f in QUALITY_SCHEMA]
-                    ),
-                    "row count positive": c("row_count") > 0,
-                    "ratios within 0 and 1": c("missing_ratio").between(0, 1)
-                    & c("stale_snapshot_ratio").between(0, 1),
-                    "gaps ordered and not negative": (c("max_gap") >= 0)
-                    & (c("p95_gap") >= 0)
-                    & (c("p95_gap") <= c("max_gap")),
-                    "counts not negative": F.least(*counts) >= 0,
-                },
-            ),
-            _total(quality.groupBy(*DAY).count().filter("count > 1"), "one quality row per day"),
-            _counts(both, {"quality rows match the dataset": c("row_count") == c("rows_found")}),
-        ]
-    )
+    both = quality.withColumn("_stored", F.lit(1)).join(per_day, DAY, "full")
+    days = _level(both, DAY, rules, [], F.count("_stored").alias("n"))
+    one = {"one quality row per day": c("n") <= 1}
+    totals = _level(days, [], one, list(rules), _empty("n").alias("quality not empty"))
+    return _rules(totals, ["quality not empty", *rules, *one])
 
 
 def fold_checks(
     folds: DataFrame, rows: DataFrame, history: int, slicing: Slicing = WHOLE
 ) -> DataFrame:
-    """Fold index against the stored rows it points to."""
+    """Fold index against the stored rows it points to.
+
+    One scan of either table: entries meet their rows in one join and are counted per anchor, split,
+    fold and in all. Positions of the rows are taken as checked by :func:`row_checks`.
+    """
     c = F.col
-    sizes = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"))
     # Anchors are derived again from the stored validity flags.
     again = rows.withColumn("_target", F.when(c("target_valid"), c("target")))
     anchors = mark_anchors(again, history=history, target_column="_target", slicing=slicing)
@@ -168,63 +164,57 @@ def fold_checks(
         c("timestamp").alias("row_time"),
         c("is_anchor").alias("row_is_anchor"),
     )
-    found = folds.join(anchors, ["ticker", "global_anchor_index"], "left").join(sizes, "ticker", "left")
-    keys = ["ticker", "fold_index", "split", "global_anchor_index"]
-    splits = folds.groupBy("ticker", "fold_index").agg(F.collect_set("split").alias("s"))
-    want = F.array(*[F.lit(s) for s in sorted(SPLITS)])
-    plan = folds.select("ticker", "fold_index", "split", "trade_date").distinct()
-    return report(
-        [
-            _nonempty(folds, "fold index not empty"),
-            _counts(
-                found,
-                {
-                    "fold index without nulls": reduce(
-                        lambda a, b: a & b, [c(f.name).isNotNull() for f in FOLD_INDEX_SCHEMA]
-                    ),
-                    "fold positions not negative": F.least(
-                        "global_anchor_index", "session_start_index", "anchor_index"
-                    ) >= 0,
-                    "anchor inside the dataset": c("global_anchor_index") < c("n_rows"),
-                    "global minus start is local": c("global_anchor_index")
-                    - c("session_start_index")
-                    == c("anchor_index"),
-                    "anchor leaves room for its window": c("anchor_index") >= history - 1,
-                    "anchor window and target valid": c("row_is_anchor"),
-                    "anchor describes its row": (c("trade_date") == c("row_date"))
-                    & (c("session_id") == c("row_session"))
-                    & (c("anchor_timestamp") == c("row_time")),
-                },
-            ),
-            _total(folds.groupBy(*keys).count().filter("count > 1"), "anchor unique in its split"),
-            _counts(splits, {"fold has train, validation and test": F.array_sort("s") == want}),
-            _total(fold_violations(plan), "splits strictly one after another"),
-        ]
-    )
+    found = folds.join(anchors, ["ticker", "global_anchor_index"], "left")
+    entry_rules = {
+        "fold index without nulls": reduce(lambda a, b: a & b, [c(f.name).isNotNull() for f in FOLD_INDEX_SCHEMA]),
+        "fold positions not negative": F.least("global_anchor_index", "session_start_index", "anchor_index") >= 0,
+        "anchor inside the dataset": c("row_is_anchor").isNotNull() | (c("global_anchor_index") < 0),
+        "global minus start is local": c("global_anchor_index") - c("session_start_index") == c("anchor_index"),
+        "anchor leaves room for its window": c("anchor_index") >= history - 1,
+        "anchor window and target valid": c("row_is_anchor"),
+        "anchor describes its row": (c("trade_date") == c("row_date"))
+        & (c("session_id") == c("row_session"))
+        & (c("anchor_timestamp") == c("row_time")),
+    }
+    fold = ["ticker", "fold_index"]
+    at = _level(
+        found, [*fold, "split", "global_anchor_index"], entry_rules, [],
+        F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last"),
+    )
+    unique = {"anchor unique in its split": c("n") == 1}
+    below = [*entry_rules, *unique]
+    splits = _level(
+        at, [*fold, "split"], unique, list(entry_rules),
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"),
+    )
+    edges = [
+        F.max(F.when(c("split") == split, c(edge))).alias(f"{split}_{edge}") for split in SPLITS for edge in ("first", "last")
+    ]
+    per_fold = _level(splits, fold, {}, below, F.collect_set("split").alias("splits"), F.sum("n").alias("n"), *edges)
+    fold_rules = {
+        "fold has train, validation and test": F.array_sort("splits") == F.array(*[F.lit(s) for s in sorted(SPLITS)]),
+        "splits strictly one after another": splits_in_order(),
+    }
+    totals = _level(per_fold, [], fold_rules, below, _empty("n").alias("fold index not empty"))
+    return _rules(totals, ["fold index not empty", *below, *fold_rules])
 
 
 def prediction_checks(predictions: DataFrame) -> DataFrame:
-    """Contract of a stored prediction table."""
+    """Contract of a stored prediction table, in one scan."""
     c = F.col
     numbers = ["mid_t", "future_mid", "bid1", "ask1", "spread", "prediction", "target"]
     texts = ["model_name", "model_version", "dataset_version", "split", *KEY]
     sample = ["model_name", "fold_index", *KEY, "anchor_timestamp"]
-    return report(
-        [
-            _nonempty(predictions, "predictions not empty"),
-            _counts(
-                predictions,
-                {
-                    "numbers finite": reduce(lambda a, b: a & b, [is_finite(c(n)) for n in numbers]),
-                    "names not empty": reduce(lambda a, b: a & b, [F.trim(c(t)) != "" for t in texts]),
-                    "fold index positive": c("fold_index") > 0,
-                    "timestamp falls on its trade date": F.date_format("anchor_timestamp", "yyyy-MM-dd")
-                    == c("trade_date"),
-                },
-            ),
-            _total(predictions.groupBy(*sample).count().filter("count > 1"), "sample unique per model and fold"),
-        ]
-    )
+    rules = {
+        "numbers finite": reduce(lambda a, b: a & b, [is_finite(c(n)) for n in numbers]),
+        "names not empty": reduce(lambda a, b: a & b, [F.trim(c(t)) != "" for t in texts]),
+        "fold index positive": c("fold_index") > 0,
+        "timestamp falls on its trade date": F.date_format("anchor_timestamp", "yyyy-MM-dd") == c("trade_date"),
+    }
+    samples = _level(predictions, sample, rules, [], F.count(F.lit(1)).alias("n"))
+    unique = {"sample unique per model and fold": c("n") == 1}
+    totals = _level(samples, [], unique, list(rules), _empty("n").alias("predictions not empty"))
+    return _rules(totals, ["predictions not empty", *rules, *unique])
 
 
 def identity_checks(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthframe.schema import SPLITS
@@ -150,12 +150,17 @@ def fold_bounds(plan: DataFrame) -> DataFrame:
     )
 
 
-def fold_violations(plan: DataFrame) -> DataFrame:
-    """Folds with an empty split or splits that are not strictly one after another."""
+def splits_in_order() -> Column:
+    """On the columns of :func:`fold_bounds`: no split is empty and each ends before the next begins."""
     ordered = (F.col("train_last") < F.col("validation_first")) & (
         F.col("validation_last") < F.col("test_first")
     )
-    return fold_bounds(plan).filter(~F.coalesce(ordered, F.lit(False)))
+    return F.coalesce(ordered, F.lit(False))
+
+
+def fold_violations(plan: DataFrame) -> DataFrame:
+    """Folds with an empty split or splits that are not strictly one after another."""
+    return fold_bounds(plan).filter(~splits_in_order())
 
 
 def fold_index(anchors: DataFrame, plan: DataFrame) -> DataFrame:

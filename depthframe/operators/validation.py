@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthframe.functions.book import is_finite
@@ -93,9 +93,7 @@ def row_checks(rows: DataFrame, feature_count: int) -> DataFrame:
         "session positions cover every row once": (c("lo") == 0) & (c("hi") == c("n") - 1) & (c("d") == c("n")),
         "one start per session": c("start") == c("start_hi"),
     }
-    instrument_rules = {
-        "sessions cover every global row once": (c("first") == 0) & (c("end") == c("rows")) & (c("starts") == c("sessions"))
-    }
+    instrument_rules = {"sessions cover every global row once": c("joined")}
     sessions = _level(
         rows, KEY, row_rules, [],
         F.count(F.lit(1)).alias("n"),
@@ -105,14 +103,12 @@ def row_checks(rows: DataFrame, feature_count: int) -> DataFrame:
         F.min("session_start_index").alias("start"),
         F.max("session_start_index").alias("start_hi"),
     )
+    # One row per session: each must start where those before it end.
+    earlier = Window.partitionBy("ticker").orderBy("start", *KEY[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    joined = F.coalesce(c("start") == F.coalesce(F.sum("n").over(earlier), F.lit(0)), F.lit(False))
     instruments = _level(
-        sessions, ["ticker"], session_rules, list(row_rules),
-        F.min("start").alias("first"),
-        F.max(c("start") + c("n")).alias("end"),
-        F.sum("n").alias("rows"),
-        F.count_distinct("start").alias("starts"),
-        F.count(F.lit(1)).alias("sessions"),
-    )
+        sessions.withColumn("joined", joined), ["ticker"], session_rules, list(row_rules), F.min("joined").alias("joined")
+    )
     below = [*row_rules, *session_rules]
     return _rules(_level(instruments, [], instrument_rules, below), [*below, *instrument_rules])
 

@@ -92,7 +92,7 @@ class IterativeCandidate(GroupedCandidate):
         model, ticker = self.model, rows.schema["ticker"].dataType.simpleString()
         ensure_checkpoint_dir(rows.sparkSession)
         rows, folds = in_blocks(rows.select(*NEEDED, *(["fold_index"] if plan is None else [])), plan)
-        parts, group = _parts(rows.select(*NEEDED, "block"), model.history, BLOCK_KEY)
+        parts, group = _parts(rows, model.history, BLOCK_KEY, [*NEEDED, "block"])
         if folds is None:
             blocks = rows.select(*BLOCK_KEY).distinct()
             folds = blocks.withColumn("fold_index", F.col("block").cast("bigint"))

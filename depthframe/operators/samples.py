@@ -11,6 +11,9 @@ from depthframe.operators.sessions import WHOLE, Slicing, running_max
 from depthframe.schema import KEY
 
 CHUNK_ROWS = 65_536
+#: Rows of whole sessions that a task takes together; a stored dataset keeps their number as ``PART``.
+ROWS_PER_PART = 500_000
+PART = "storage_part"
 
 
 def _true(name: str) -> Column:
@@ -131,6 +134,11 @@ def chunked(rows: DataFrame, context: int, size: int = CHUNK_ROWS) -> DataFrame:
     return out
 
 
+def with_part(rows: DataFrame) -> DataFrame:
+    """Number of the row's part, a bounded run of whole sessions; kept where a stored dataset brings it."""
+    return rows if PART in rows.columns else rows.withColumn(PART, F.expr(f"session_start_index DIV {ROWS_PER_PART}"))
+
+
 def window_samples(
     rows: DataFrame, history: int, size: int = CHUNK_ROWS, keys: list[str] | None = None
 ) -> DataFrame:
@@ -138,8 +146,10 @@ def window_samples(
 
     ``keys`` names further columns that separate copies of a session, such as its fold.
     """
+    # A session lies in one part: naming it lets rows of a stored dataset stay where they are.
+    part = [PART] if PART in rows.columns else []
     frame = (
-        Window.partitionBy(*KEY, *(keys or []), "chunk")
+        Window.partitionBy(*KEY, *part, *(keys or []), "chunk")
         .orderBy("row_no")
         .rowsBetween(-(history - 1), 0)
     )

@@ -155,7 +155,7 @@ def build_dataset(
         ).write.parquet(clean_path)
         timeline = spark.read.parquet(clean_path)
         daily_quality(timeline, prepared).write.parquet(f"{staged}/quality")
-        pkg.write_rows(compile_rows(timeline, config, slicing, scaler), f"{staged}/rows")
+        pkg.write_rows(compile_rows(timeline, config, slicing, scaler), staged, pkg.bucket_count(timeline))
         rows = pkg.Package(spark, staged, record, staged).rows()
         pkg.write_folds(splits.fold_index(anchors(rows), plan), f"{staged}/folds")
         files.delete(clean_path)

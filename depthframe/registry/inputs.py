@@ -6,6 +6,8 @@ fixed test parameters: which events are faulty and how long sessions, grid and w
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from depthframe.operators.samples import (
 )
 from depthframe.operators.sessions import choose_slicing
 from depthframe.operators.timeline import clean_sessions
+from depthframe.sources import package
 from depthframe.schema import LEVELS, label_column
 from depthframe.sources.raw import assign_sessions, prepare_snapshots
 
@@ -151,6 +154,14 @@ def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_rows(spark, sf_dir).checkpoint()
 
 
+def bucketed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dataset_rows`` stored in the layout of a published dataset and read back."""
+    ensure_checkpoint_dir(spark)
+    data = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    package.write_rows(dataset_rows(spark, sf_dir), data, package.bucket_count(timeline(spark, sf_dir)))
+    return package.read_rows(spark, data)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prediction per event: two models over two folds, with tied and missing values."""
     e = events(spark, sf_dir)

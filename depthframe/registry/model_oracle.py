@@ -217,6 +217,11 @@ SELECT ticker, fold_index, n AS train_count, {r("a", 7)} AS slope, {r("b", 7)} A
     " 'not an ISO date' AS rule FROM (SELECT DISTINCT ticker, trade_date FROM snap WHERE ticker = 'T1')",
     "batch_scoring": f"WITH {ROWS} SELECT {K}, CAST(ts AS VARCHAR) AS timestamp,"
     f" {r(f'({_LAST}) / {_N}', 5)} AS prediction FROM stored WHERE is_anchor",
+    "stored_scoring": f"""WITH {ROWS},
+win AS (SELECT *, sum({_LAST}) OVER (PARTITION BY {K} ORDER BY ts
+        ROWS BETWEEN {inputs.HISTORY - 1} PRECEDING AND CURRENT ROW) AS total FROM stored)
+SELECT {K}, CAST(ts AS VARCHAR) AS timestamp, {r(f'total / {_N * inputs.HISTORY}', 5)} AS prediction
+FROM win WHERE is_anchor""",
     "walk_forward_summary": f"""WITH {FOLDED},
 p AS (SELECT q.*, f.slope * q.x + f.intercept AS fitted FROM xy q
       JOIN fit f ON q.ticker = f.ticker AND q.fold_index = f.fold_index WHERE q.split = 'test'),

@@ -125,6 +125,15 @@ def batch_scoring(spark, sf):
     return scored.select(*KEY, text("timestamp"), r("prediction", 5).alias("prediction"))
 
 
+def stored_scoring(spark, sf):
+    """The mean over all values of a window, from stored rows that are not exchanged again."""
+    def window_mean(window: np.ndarray) -> np.ndarray:
+        return window.mean(axis=(1, 2))
+
+    scored = score_windows(inputs.bucketed_rows(spark, sf), window_mean, inputs.HISTORY, ["ticker"])
+    return scored.select(*KEY, text("timestamp"), r("prediction", 5).alias("prediction"))
+
+
 def walk_forward_summary(spark, sf):
     """Two candidates over every fold, evaluated and summarised per candidate."""
     rows, plan = inputs.stored_rows(spark, sf), _plan(spark, sf)
@@ -280,6 +289,7 @@ QUERIES = {
     "logit_optimality": logit_optimality,
     "ridge_coefficients": ridge_coefficients,
     "batch_scoring": batch_scoring,
+    "stored_scoring": stored_scoring,
     "walk_forward_summary": walk_forward_summary,
     "dataset_checks": dataset_checks,
     "broken_rows": broken_rows,

@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthframe.operators import baselines, validation
+from depthframe.operators.samples import PART, with_part
 from depthframe.operators.sessions import choose_slicing
 from depthframe.schema import (
     FOLD_INDEX_SCHEMA,
+    KEY,
     PLAN_SCHEMA,
     PREDICTION_SCHEMA,
     QUALITY_SCHEMA,
@@ -36,6 +38,9 @@ POINTER = "_CURRENT"
 #: Seconds to wait for another writer that has created a marker and not yet filled it.
 PATIENCE = 30
 RECORD = "record.json"
+LAYOUT = "layout.json"
+#: Rows of a bucket if there are more buckets than cores, and the most buckets that Spark allows by default.
+BUCKET_ROWS, MAX_BUCKETS = 4_000_000, 100_000
 
 
 def digest(value) -> str:
@@ -102,7 +107,8 @@ class Package:
     data: str
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(ROWS_SCHEMA).parquet(f"{self.data}/rows")
+        """All rows; in buckets with their part, so that windows over them need no exchange."""
+        return read_rows(self.spark, self.data)
 
     def quality(self) -> DataFrame:
         return self.spark.read.schema(QUALITY_SCHEMA).parquet(f"{self.data}/quality")
@@ -122,7 +128,7 @@ class Package:
         return out
 
     def checks(self) -> DataFrame:
-        rows, folds = self.rows(), self.folds()
+        rows, folds = self.rows().drop(PART), self.folds()
         slicing = choose_slicing(rows)
         return validation.report(
             [
@@ -147,6 +153,10 @@ class Files:
     def path(self, p: str):
         return self._jvm.org.apache.hadoop.fs.Path(p)
 
+    def full(self, p: str) -> str:
+        """With scheme and all folders: a table's relative location would start at the warehouse."""
+        return self._fs.makeQualified(self.path(p)).toString()
+
     def exists(self, p: str) -> bool:
         return self._fs.exists(self.path(p))
 
@@ -202,11 +212,66 @@ def staging_path(root: str) -> str:
     return f"{root}/.staging-{uuid.uuid4().hex}"
 
 
-def write_rows(rows: DataFrame, path: str) -> None:
-    """One folder per trade date. Rebalancing splits a heavy date over files and merges light ones."""
-    rows.hint("rebalance", "trade_date").sortWithinPartitions(
-        "trade_date", "ticker", "session_id", "row_no"
-    ).write.partitionBy("trade_date").parquet(path)
+def bucket_count(timeline: DataFrame) -> int:
+    """Buckets for the rows of a stored timeline; 0 if one session is more than a bucket should hold.
+
+    Counted per session from the keys alone, combined before the exchange.
+    """
+    sizes = timeline.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if largest > BUCKET_ROWS:
+        return 0
+    cores = timeline.sparkSession.sparkContext.defaultParallelism
+    return min(MAX_BUCKETS, max(-(-total // BUCKET_ROWS), cores))
+
+
+def write_rows(rows: DataFrame, data: str, buckets: int) -> None:
+    """The table ``rows`` below ``data``, and a small file that names its layout.
+
+    With ``buckets``, rows lie by instrument and part (a bounded run of whole sessions), one file
+    a bucket, sorted by time within: whatever groups by instrument and part reads it without an
+    exchange, and row groups hold few dates. Without, for sessions too large for one task, there is a
+    folder per trade date; rebalancing splits a heavy date over files and merges light ones.
+    """
+    spark, path = rows.sparkSession, Files(rows.sparkSession, data).full(f"{data}/rows")
+    order = ["ticker", "trade_date", "session_id", "row_no"]
+    if buckets:
+        name = f"rows_{uuid.uuid4().hex}"
+        placed = with_part(rows).repartition(buckets, "ticker", PART)
+        writer = placed.write.format("parquet").bucketBy(buckets, "ticker", PART).sortBy(*order)
+        try:
+            writer.option("path", path).saveAsTable(name)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")  # an external table: its files stay
+    else:
+        rows.hint("rebalance", "trade_date").sortWithinPartitions("trade_date", *order).write.partitionBy(
+            "trade_date"
+        ).parquet(path)
+    Files(spark, data).write_text(f"{data}/{LAYOUT}", json.dumps({"buckets": buckets}))
+
+
+def _buckets(spark: SparkSession, data: str) -> int:
+    """Buckets of the stored rows; 0 for folders by date, as are all tables without a layout file."""
+    files = Files(spark, data)
+    return json.loads(files.read_text(f"{data}/{LAYOUT}"))["buckets"] if files.exists(f"{data}/{LAYOUT}") else 0
+
+
+def read_rows(spark: SparkSession, data: str) -> DataFrame:
+    """Rows that :func:`write_rows` stored. A path says nothing of buckets, so a name stands for it while it is opened."""
+    buckets = _buckets(spark, data)
+    if not buckets:
+        return spark.read.schema(ROWS_SCHEMA).parquet(f"{data}/rows")
+    name = f"rows_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ROWS_SCHEMA)
+    place = Files(spark, data).full(f"{data}/rows").replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}, {PART} bigint) USING parquet"
+        f" CLUSTERED BY (ticker, {PART}) INTO {buckets} BUCKETS LOCATION '{place}'"
+    )
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def write_folds(folds: DataFrame, path: str) -> None:
@@ -226,7 +291,7 @@ def publish(spark: SparkSession, staged: str, output_root: str, record: Record)
     files, final = Files(spark, output_root), f"{output_root}/{record.version}"
     files.write_text(f"{staged}/{RECORD}", record.to_json())
     package = Package(spark, final, record, staged)
-    for name, table in (("rows", package.rows()), ("quality", package.quality()), ("folds", package.folds())):
+    for name, table in (("rows", package.rows().drop(PART)), ("quality", package.quality()), ("folds", package.folds())):
         validation.check_schema(table, validation.SCHEMAS[name], name)
     validation.raise_if_broken(package.checks(), "dataset")
     files.make_folder(final)
@@ -265,7 +330,8 @@ def find_package(spark: SparkSession, root: str) -> Package:
 def audited_package(spark: SparkSession, root: str) -> Package:
     """A published dataset whose stored column types and rows were checked again."""
     package = find_package(spark, root)
-    partitioned = {"rows": ["trade_date"], "folds": ["fold_index", "split"], "quality": []}
+    added = [PART] if _buckets(spark, package.data) else ["trade_date"]
+    partitioned = {"rows": added, "folds": ["fold_index", "split"], "quality": []}
     for name, folder_columns in partitioned.items():
         # The declared schema would hide a drift, so the files' own is read.
         stored = spark.read.parquet(f"{package.data}/{name}").drop(*folder_columns)

@@ -70,6 +70,57 @@ def test_open_and_read(spark, built):
     assert len(features) == 23
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_over_a_stored_dataset_need_no_exchange(spark, built):
+    from depthframe.operators.samples import window_samples
+
+    def mean_score(windows):
+        return windows.mean(axis=(1, 2))
+
+    package = built[2]
+    rows, history = package.rows(), package.record.history
+    scored = bl.score_windows(rows, mean_score, history, ["ticker"])
+    windows = window_samples(rows, history)
+    assert "Exchange" not in plan_of(scored) and "Exchange" not in plan_of(windows)
+    assert "rows_" not in " ".join(t.name for t in spark.catalog.listTables())
+    loose = rows.drop("storage_part")
+    assert "Exchange" in plan_of(bl.score_windows(loose, mean_score, history, ["ticker"]))
+    want = sorted(map(str, bl.score_windows(loose, mean_score, history, ["ticker"]).collect()))
+    assert sorted(map(str, scored.collect())) == want and len(want) == rows.filter("is_anchor").count()
+    folder = built[1] / package.record.version
+    assert list(folder.glob("data-*/rows/part-*.parquet")) and not list(folder.glob("data-*/rows/trade_date=*"))
+
+
+def test_models_fit_from_a_stored_dataset_without_moving_its_rows(spark, built):
+    package = built[2]
+    rows, plan = package.rows(), package.plan()
+    ridge = bl.RidgeBaseline(len(package.record.features), package.record.history)
+    got = candidate_predictions(rows, plan, ridge)
+    other = bl.RidgeBaseline(len(package.record.features), package.record.history)
+    want = candidate_predictions(rows.drop("storage_part"), plan, other)
+    key = ["ticker", "fold_index", "anchor_timestamp"]
+    pairs = got.select(*key, "prediction").join(want.select(*key, F.col("prediction").alias("want")), key, "full")
+    assert pairs.count() > 0
+    assert pairs.filter("prediction IS NULL OR want IS NULL OR abs(prediction - want) > 1e-12").count() == 0
+
+
+def test_a_session_above_a_bucket_is_stored_by_date(spark, built, tmp_path, monkeypatch):
+    root, _, whole = built
+    monkeypatch.setattr(pkg, "BUCKET_ROWS", 39)
+    package = build_dataset(spark, str(root), ["A", "B"], str(tmp_path / "it's"), CONFIG)
+    assert sorted(p.name for p in tmp_path.glob("it's/*/data-*/rows/trade_date=*"))[0] == "trade_date=2026-01-01"
+    columns = [c for c in whole.rows().columns if c != "storage_part"]
+    both = package.rows().select(columns), whole.rows().select(columns)
+    assert both[0].exceptAll(both[1]).count() == both[1].exceptAll(both[0]).count() == 0
+    assert pkg.audited_package(spark, package.root).rows().count() == 400
+    monkeypatch.setattr(pkg, "BUCKET_ROWS", 60)
+    again = build_dataset(spark, str(root), ["A", "B"], str(tmp_path / "it's too"), CONFIG)
+    assert "storage_part" in again.rows().columns and again.rows().count() == 400
+
+
 def test_record_names_the_folder_and_is_strict(built):
     record = built[2].record
     assert built[2].root.endswith(record.version)

@@ -1,8 +1,10 @@
 """Best-fit packing with conflicts: no bin holds two pieces of one source or one duplicate cluster.
 
 Long documents are cut into pieces of ``capacity``; full pieces need no search and fill a bin
-alone. Every document leaves at most one shorter piece. Those are dealt by a hash to shards of
-about ``SHARD_ROWS`` and packed there, longest first: bins are kept ordered by residual and
+alone. Every document leaves at most one shorter piece. Texts are measured once, into a stored
+table that numbers its rows. Short pieces are dealt by a hash of that number to shards of about
+``SHARD_ROWS``, so that no id, source or cluster, however often repeated, fills a shard, and packed
+there, longest first: bins are kept ordered by residual and
 carry one bitmap of sources and one of clusters, and the search goes from the tightest bin that
 is large enough to the next until both bitmaps agree. Shards keep the work of one task bounded
 whatever the size of a source or cluster; each shard leaves a few open bins, no piece is lost.
@@ -16,14 +18,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depthframe.llm.common import normal_text, table
+from depthframe.llm.common import normal_text, stored, table
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
-    """Bin of each piece, in the given order. Negative sources and clusters conflict with nothing."""
+    """Bin of each piece, in the given order. Negative sources and clusters conflict with nothing.
+
+    A piece equal to the one before starts where that one's search ended: all bins passed by then
+    still conflict, and so does the bin that took it.
+    """
+    last, passed = None, (0, 0)
     open_bins: list[tuple[int, int]] = []
     source_map: list[int] = []
     cluster_map: list[int] = []
@@ -31,22 +38,25 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     for size, source, cluster in zip(sizes, sources, clusters):
         own_source = 1 << source if source >= 0 else 0
         own_cluster = 1 << cluster if cluster >= 0 else 0
-        at = bisect_left(open_bins, (size, -1))
+        same = (size, source, cluster) == last and (own_source or own_cluster)
+        at = bisect_left(open_bins, passed if same else (size, -1))
         while at < len(open_bins):
             b = open_bins[at][1]
             if not (source_map[b] & own_source or cluster_map[b] & own_cluster):
                 break
             at += 1
         if at < len(open_bins):
-            residual, b = open_bins.pop(at)
+            residual, b = passed = open_bins.pop(at)
         else:
             residual, b = capacity, len(source_map)
+            passed = (capacity, b)
             source_map.append(0)
             cluster_map.append(0)
         source_map[b] |= own_source
         cluster_map[b] |= own_cluster
         if residual > size:
             insort(open_bins, (residual - size, b))
+        last = size, source, cluster
         out.append(b)
     return out
 
@@ -82,7 +92,6 @@ def pack(
     Bins of short pieces are named by shard, those of full pieces by document and row, so repeated
     rows get bins of their own. Order within a shard: length descending, id, cluster, source.
     """
-    shards = max(1, -(-docs.count() // SHARD_ROWS))
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0)).alias("size"),
@@ -90,11 +99,13 @@ def pack(
         cluster.cast("string").alias("cluster"),
         F.monotonically_increasing_id().alias("rid"),
     )
+    rows = stored(rows)
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
     pieces = F.expr(f"sequence(0L, greatest(0L, (size - 1) DIV {capacity}))")
     cut = rows.withColumn("piece", F.explode(pieces)).select(
         "id", "piece", (F.col("piece") * capacity).alias("start"),
         F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).alias("length"),
-        "source", "cluster", "rid", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)).alias("shard"),
+        "source", "cluster", "rid", F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"),
     )
     names = ["id", "piece", "start", "length"]
     own = F.format_string("d%s-%s-%s", F.col("id"), F.col("piece"), F.col("rid"))

@@ -33,6 +33,29 @@ def test_best_fit_equals_brute_force():
         assert packing.best_fit(sizes, sources, clusters, 60) == slow_best_fit(sizes, sources, clusters, 60)
 
 
+def test_equal_pieces_need_no_walk_over_their_bins():
+    n = 20_000
+    for source, cluster in ((-1, 3), (2, -1), (1, 1)):
+        assert packing.best_fit([3] * n, [source] * n, [cluster] * n, 10) == list(range(n))
+    assert packing.best_fit([3] * 6, [-1] * 6, [-1] * 6, 10) == [0, 0, 0, 1, 1, 1]
+    # Runs of equal pieces between others.
+    rng = random.Random(3)
+    for _ in range(60):
+        runs = [(rng.randrange(1, 30), rng.randrange(-1, 3), rng.randrange(-1, 3), rng.randrange(1, 9)) for _ in range(25)]
+        pieces = [r[:3] for r in sorted(runs, reverse=True) for _ in range(r[3])]
+        assert packing.best_fit(*zip(*pieces), 40) == slow_best_fit(*zip(*pieces), 40)
+
+
+def test_repeated_rows_are_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 50)
+    rows = [(None, "one text", "s")] * 400 + [(5, "other text", "s")] * 200
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = packing.pack_documents(df, 64).collect()
+    assert len(got) == len({r["bin"] for r in got}) == 600
+    shards = [r["bin"].split("-")[0] for r in got]
+    assert len(set(shards)) == 12 and max(shards.count(s) for s in set(shards)) < 100
+
+
 def test_rows_are_whole_and_bins_hold_the_rules(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 40)
     rng = random.Random(2)

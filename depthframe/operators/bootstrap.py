@@ -26,6 +26,8 @@ from depthframe.operators.draws import (
     python_metric,
     rank_by_weights,
 )
+from depthframe.operators.chunks import session_chunks
+from depthframe.operators.ranked import RankedMetric, ranked_draws, ranked_metric
 from depthframe.operators.ranks import rank_correlation, running_total
 from depthframe.plans.evaluate import CANDIDATE, SAMPLE, custom_metric, evaluate
 from depthframe.schema import METRICS
@@ -39,7 +41,7 @@ MULTIPLIER, ADDEND, SQUARE_ADDEND = 48271, 11, 12345
 
 MAX_SESSION_ROWS = 200_000
 MAX_DRAWN_ROWS = 5_000_000
-CHUNK_ROWS = 4_096
+CHUNK_ROWS = 100_000
 SUMS = [
     "n", "abs_error", "sq_error", "p", "t", "pp", "tt", "pt", "nonzero", "hit",
     "pred_up", "real_up", "both_up", "pred_down", "real_down", "both_down",
@@ -363,6 +365,31 @@ def resampled_values(
     )
 
 
+def seeded(predictions: DataFrame, seed: int) -> DataFrame:
+    """Add the fold's seed and the session number."""
+    fold = F.col("fold_index") if "fold_index" in predictions.columns else F.lit(0)
+    number = session_number(F.col("ticker"), F.col("trade_date"), F.col("session_id"))
+    return predictions.withColumns({"_seed": (fold + seed).cast("bigint"), "_session": number})
+
+
+def resampled_ranked(
+    predictions: DataFrame, metric: RankedMetric, name: str, *, draws: int, block: int, seed: int, group: list[str],
+    sample_order: list[str],
+) -> DataFrame:
+    """``(group, draw, metric, value)`` of a metric of sorted scores."""
+    session = [*group, "trade_date", "session_id"]
+    rows = seeded(predictions, seed).select(*dict.fromkeys([*session, *sample_order]), P, T, "_seed", "_session")
+
+    def blocks(seed: int, draw: int, session: int, size: int):
+        return session_blocks(seed, draw, session, size, block)
+
+    values = ranked_draws(
+        rows, lambda r: session_chunks(r, session, sample_order, CHUNK_ROWS), metric, draws=draws,
+        per_task=max(1, MAX_DRAWN_ROWS // CHUNK_ROWS), group=group, session=session, sample_order=sample_order, blocks=blocks,
+    )
+    return values.select(*group, "draw", F.lit(name).alias("metric"), "value")
+
+
 def resampled_metrics(
     predictions: DataFrame, metrics: dict[str, Metric], *, group: list[str], **drawing
 ) -> DataFrame:
@@ -385,20 +412,23 @@ def bootstrap_intervals(
     max_session_rows: int = MAX_SESSION_ROWS,
     custom: dict[str, Metric] | None = None,
     opaque: dict[str, PythonMetric] | None = None,
+    ranked: dict[str, RankedMetric] | None = None,
 ) -> DataFrame:
     """``(group, metric, estimate, lower, upper, confidence_level)`` in long form.
 
     ``custom`` adds user metrics by name, as in ``plans.evaluate.custom_metric``, and ``opaque``
-    Python functions of whole vectors, as in ``plans.evaluate.custom_python_metric``; with either
-    and an empty ``names`` only those are reported.
+    Python functions of whole vectors, as in ``plans.evaluate.custom_python_metric``; ``ranked`` adds
+    Python metrics of sorted scores, whose groups may be of any size. With any of them and an empty
+    ``names`` only those are reported.
     """
     if not 0 < confidence < 1:
         raise ValueError("confidence must be between 0 and 1")
     if draws <= 0 or block <= 0:
         raise ValueError("draws and block must be > 0")
-    custom, opaque = custom or {}, opaque or {}
-    names = [] if (custom or opaque) and names == [] else check_metrics(names or METRICS)
-    taken = (set(custom) | set(opaque)) & set(METRICS) | set(custom) & set(opaque)
+    custom, opaque, ranked = custom or {}, opaque or {}, ranked or {}
+    own = [*custom, *opaque, *ranked]
+    names = [] if own and names == [] else check_metrics(names or METRICS)
+    taken = {n for n in own if n in METRICS or own.count(n) > 1}
     if taken:
         raise ValueError(f"custom metrics need names of their own, not {sorted(taken)}")
     group = list(group or CANDIDATE)
@@ -429,6 +459,9 @@ def bootstrap_intervals(
         own = resampled_metrics(predictions, custom, **drawing)
         own = own.unpivot([*group, "draw"], list(custom), "metric", "value")
         estimates = own if estimates is None else estimates.unionByName(own)
+    for name, metric in ranked.items():
+        own = resampled_ranked(predictions, metric, name, **drawing)
+        estimates = own if estimates is None else estimates.unionByName(own)
     alpha = (1 - confidence) / 2
     # One value per draw, so the exact percentile holds at most ``draws`` values.
     bounds = estimates.groupBy(*group, "metric").agg(
@@ -437,6 +470,7 @@ def bootstrap_intervals(
     point = evaluate(predictions, group, names).unpivot(group, names, "metric", "estimate") if names else None
     extra = [custom_metric(predictions, f, n, group).unpivot(group, [n], "metric", "estimate") for n, f in custom.items()]
     extra += [python_metric(predictions, f, n, group).unpivot(group, [n], "metric", "estimate") for n, f in opaque.items()]
+    extra += [ranked_metric(predictions, f, n, group).unpivot(group, [n], "metric", "estimate") for n, f in ranked.items()]
     for own in extra:
         point = own if point is None else point.unionByName(own)
     return point.join(bounds, [*group, "metric"], "left").select(

@@ -67,6 +67,12 @@ class Cuts:
         code = F.when(F.col("_cuts").isNull(), 0).otherwise(2 * below + F.when(equal >= 2, 1).otherwise(0))
         return joined.withColumn(out, code).drop("_v", "_cuts", *keys)
 
+    def by_group(self) -> dict[tuple, dict[str, list[float]]]:
+        """The cut points by group, for tasks that look them up themselves."""
+        rows = self.table.collect() if self.table is not None else []
+        names = [c for c in self.table.columns if c not in self.group] if rows else []
+        return {tuple(r[g] for g in self.group): {n: r[n] for n in names} for r in rows}
+
 
 def cut_points(df: DataFrame, group: list[str], values: dict[str, Column], rows_per_part: int) -> Cuts:
     """Cut points of each value for every group of more than ``rows_per_part`` rows.

@@ -26,7 +26,7 @@ from depthframe.operators.draws import (
     python_metric,
     rank_by_weights,
 )
-from depthframe.operators.chunks import session_chunks
+from depthframe.operators.chunks import drawn_weights, head, in_order, session_chunks, stream_groups, vectors, with_batches
 from depthframe.operators.ranked import RankedMetric, ranked_draws, ranked_metric
 from depthframe.operators.ranks import rank_correlation, running_total
 from depthframe.plans.evaluate import CANDIDATE, SAMPLE, custom_metric, evaluate
@@ -42,6 +42,7 @@ MULTIPLIER, ADDEND, SQUARE_ADDEND = 48271, 11, 12345
 MAX_SESSION_ROWS = 200_000
 MAX_DRAWN_ROWS = 5_000_000
 CHUNK_ROWS = 100_000
+LISTED_ROWS = 10_000
 SUMS = [
     "n", "abs_error", "sq_error", "p", "t", "pp", "tt", "pt", "nonzero", "hit",
     "pred_up", "real_up", "both_up", "pred_down", "real_down", "both_down",
@@ -391,11 +392,41 @@ def resampled_ranked(
 
 
 def resampled_metrics(
-    predictions: DataFrame, metrics: dict[str, Metric], *, group: list[str], **drawing
-) -> DataFrame:
-    """User metrics, given as aggregates over (prediction, target) columns, of every resample."""
-    rows = resampled_rows(predictions, group=group, **drawing)
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_w")))
+    predictions: DataFrame, metrics: dict[str, Metric], *, draws: int, block: int, seed: int, group: list[str],
+    sample_order: list[str],
+) -> DataFrame:
+    """User metrics, given as aggregates over (prediction, target) columns, of every resample.
+
+    A task lists by row the draws that take it; Spark multiplies the rows just before it aggregates them.
+    """
+    session = [*group, "trade_date", "session_id"]
+    rows = seeded(predictions, seed).select(*dict.fromkeys([*session, *sample_order]), P, T, "_seed", "_session")
+    per_task = max(1, MAX_DRAWN_ROWS // CHUNK_ROWS)
+    chunks = with_batches(session_chunks(rows, session, sample_order, CHUNK_ROWS), draws, per_task)
+
+    def blocks(seed: int, draw: int, session: int, size: int):
+        return session_blocks(seed, draw, session, size, block)
+
+    def listed(batches):
+        table = in_order(pa.Table.from_batches(batches), sample_order)
+        first = table["_first"][0].as_py()
+        numbers = np.arange(first, min(draws, first + per_task), dtype=np.int32)
+        p, t = vectors(table)
+        ok = np.isfinite(p) & np.isfinite(t)
+        p, t, times = p[ok], t[ok], drawn_weights(table, numbers, blocks)[:, ok]
+        for at in range(0, len(p), LISTED_ROWS):
+            part = times[:, at : at + LISTED_ROWS].T
+            ends = np.cumsum(part.sum(axis=1), dtype=np.int32)
+            taken = np.repeat(np.tile(numbers, len(part)), part.ravel())
+            lists = pa.ListArray.from_arrays(np.append(np.int32(0), ends), taken)
+            columns = [pa.repeat(table[g][0], len(part)) for g in group]
+            columns += [pa.array(x[at : at + LISTED_ROWS]) for x in (p, t)] + [lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[*group, P, T, "_draws"])
+
+    schema = f"{head(rows, group)}, {P} double, {T} double, _draws array<int>"
+    taken = stream_groups(chunks, [*session, "_chunk", "_first"], listed, schema)
+    copies = taken.select(*group, P, T, F.explode("_draws").alias("draw"))
+    copies = copies.withColumn("draw", F.col("draw").cast("bigint"))
     return copies.groupBy(*group, "draw").agg(*[f(F.col(P), F.col(T)).alias(n) for n, f in metrics.items()])
 
 

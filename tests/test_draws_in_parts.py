@@ -54,3 +54,12 @@ def test_ranked_metric_equals_the_opaque_one(spark, limits):
     p, t, df = table(spark, 4)
     got = bootstrap_intervals(df, names=[], draws=9, block=5, seed=3, ranked={"tail": TAIL_ERROR}).first()
     check(got, [tail_error(a, b) for a, b in drawn(spark, p, t, 3, 9, 5)])
+
+
+def test_column_metric_of_chunks(spark, limits):
+    p, t, df = table(spark, 5)
+    custom = {"spread": lambda a, b: F.max(F.abs(a - b)), "bias": lambda a, b: F.avg(a - b)}
+    rows = bootstrap_intervals(df, names=[], draws=9, block=5, seed=3, custom=custom).collect()
+    got, want = {r["metric"]: r for r in rows}, list(drawn(spark, p, t, 3, 9, 5))
+    check(got["spread"], [np.abs(a - b).max() for a, b in want])
+    check(got["bias"], [np.mean(a - b) for a, b in want])

@@ -3,8 +3,8 @@
 Blocks never cross a session. Block starts are an integer hash of (seed, resample,
 session, block), so they do not depend on partitioning and SQL can repeat them. Every
 metric but the rank correlation is a function of sums, and a block's sum is the difference of
-two prefix sums: a resample costs one lookup per block and not per row. The rank correlation and
-opaque Python metrics are computed for batches of draws with a group in one task (``operators.draws``).
+two prefix sums: a resample costs one lookup per block and not per row. Other metrics weigh the rows of
+chunks of sessions (``operators.chunks``). Only opaque Python metrics take a group in one task (``operators.draws``).
 """
 
 from __future__ import annotations
@@ -21,14 +21,21 @@ from depthframe.operators import draws as group_draws
 from depthframe.operators.draws import (
     PythonMetric,
     drawn_values,
-    group_sizes,
     metric_by_weights,
     python_metric,
-    rank_by_weights,
 )
-from depthframe.operators.chunks import drawn_weights, head, in_order, session_chunks, stream_groups, vectors, with_batches
+from depthframe.operators.chunks import (
+    chunk_blocks,
+    drawn_weights,
+    head,
+    in_order,
+    session_chunks,
+    stream_groups,
+    vectors,
+    with_batches,
+)
+from depthframe.operators.rank_draws import rank_draws
 from depthframe.operators.ranked import RankedMetric, ranked_draws, ranked_metric
-from depthframe.operators.ranks import rank_correlation, running_total
 from depthframe.plans.evaluate import CANDIDATE, SAMPLE, custom_metric, evaluate
 from depthframe.schema import METRICS
 
@@ -43,6 +50,7 @@ MAX_SESSION_ROWS = 200_000
 MAX_DRAWN_ROWS = 5_000_000
 CHUNK_ROWS = 100_000
 LISTED_ROWS = 10_000
+MAX_BLOCKS = 200_000
 SUMS = [
     "n", "abs_error", "sq_error", "p", "t", "pp", "tt", "pt", "nonzero", "hit",
     "pred_up", "real_up", "both_up", "pred_down", "real_down", "both_down",
@@ -109,23 +117,6 @@ def carried_by_draw(p, t, p0: float, t0: float, draw, lo, hi, draws: int) -> np.
     return np.column_stack([sums, least[0], least[1], -least[2], -least[3]])
 
 
-def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    def get(name):
-        return table[name].cast(pa.float64()).fill_null(float("nan")).to_numpy()
-
-    return get(P), get(T)
-
-
-def _all_blocks(table: pa.Table, n: int, draws: int, block: int):
-    """Every block of an ordinary session: (draw, lo, hi); the last one is cut to fit n rows."""
-    size = min(block, n)
-    count = -(-n // size)
-    draw, b = (a.ravel() for a in np.mgrid[0:draws, 0:count])
-    seed, session = table["_seed"][0].as_py(), table["_session"][0].as_py()
-    lo = block_start(seed, draw.astype("int64"), session, b.astype("int64"), n - size + 1)
-    return draw, lo, lo + np.minimum(size, n - b * size)
-
-
 def _emit(names: list[str], table: pa.Table, sums: np.ndarray) -> pa.Table:
     used = np.flatnonzero(sums[:, 0] > 0)
     data = {g: pa.repeat(table[g][0], len(used)) for g in names}
@@ -147,32 +138,27 @@ def resample_sums(
     """One row per (group, draw) with the summed ``SUMS`` of that resample."""
     rows = _numbered(predictions, seed, group)
     session = [*group, "trade_date", "session_id"]
-    schema = ", ".join(
-        [f"{g} {rows.schema[g].dataType.simpleString()}" for g in group]
-        + ["draw bigint"]
-        + [f"{s} double" for s in CARRIED]
-    )
+    schema = ", ".join([head(rows, group), "draw bigint", *[f"{s} double" for s in CARRIED]])
 
-    def whole(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in sample_order])
-        draw, lo, hi = _all_blocks(table, len(table), draws, block)
-        centre = (table[c][0].as_py() for c in ("_p0", "_t0"))
-        return _emit(group, table, carried_by_draw(*_vectors(table), *centre, draw, lo, hi, draws))
-
-    needed = [*session, *[c for c in sample_order if c not in session], P, T]
-    needed += ["_seed", "_session", "_p0", "_t0"]
-    rows = rows.select(*needed)
-    sizes = rows.groupBy(*session).agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0] or 0
-    if largest <= max_session_rows:
-        partial = rows.groupBy(*session).applyInArrow(whole, schema)
-    else:
-        sized = rows.join(sizes, session)
-        small = sized.filter(F.col("_size") <= max_session_rows).drop("_size")
-        large = sized.filter(F.col("_size") > max_session_rows)
-        partial = small.groupBy(*session).applyInArrow(whole, schema).unionByName(
-            _large_sessions(large, session, group, sample_order, draws, block, schema)
-        )
+    def blocks(seed: int, draw: int, session: int, size: int):
+        return session_blocks(seed, draw, session, size, block)
+
+    def summed(table: pa.Table) -> pa.Table:
+        table = in_order(table, sample_order)
+        centre = [table[c][0].as_py() for c in ("_p0", "_t0")]
+        p, t = vectors(table)
+        step, sums = max(1, MAX_BLOCKS * block // len(p)), []
+        for first in range(0, draws, step):
+            numbers = range(first, min(draws, first + step))
+            found = [chunk_blocks(table, d, blocks) for d in numbers]
+            draw = np.repeat(np.arange(len(numbers)), [len(lo) for lo, _ in found])
+            lo, hi = (np.concatenate(x) for x in zip(*found))
+            sums.append(carried_by_draw(p, t, *centre, draw, lo, hi, len(numbers)))
+        return _emit(group, table, np.concatenate(sums))
+
+    rows = rows.select(*dict.fromkeys([*session, *sample_order]), P, T, "_seed", "_session", "_p0", "_t0")
+    chunks = session_chunks(rows, session, sample_order, max_session_rows)
+    partial = chunks.groupBy(*session, "_chunk").applyInArrow(summed, schema)
     how = {**dict.fromkeys(SUMS, F.sum), **dict.fromkeys(LOWEST, F.min), **dict.fromkeys(HIGHEST, F.max)}
     return partial.groupBy(*group, "draw").agg(*[how[c](c).alias(c) for c in CARRIED])
 
@@ -190,75 +176,7 @@ def _numbered(predictions: DataFrame, seed: int, group: list[str]) -> DataFrame:
         ]
     )
     centre = centre.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("_p0", "_t0")})
-    fold = F.col("fold_index") if "fold_index" in predictions.columns else F.lit(0)
-    number = session_number(F.col("ticker"), F.col("trade_date"), F.col("session_id"))
-    return predictions.join(centre, group).withColumns(
-        {"_seed": (fold + seed).cast("bigint"), "_session": number}
-    )
-
-
-def drawn_blocks(sessions: DataFrame, session: list[str], draws: int, block: int) -> DataFrame:
-    """Every block ``[_lo, _hi)`` of every draw, from one row per session with its ``_size``.
-
-    Block numbers come in batches of a thousand, so no row expands into an unbounded list.
-    """
-    batch = 1000
-    zero = F.lit(0).cast("bigint")
-    out = sessions.withColumn("_len", F.least(F.lit(block).cast("bigint"), F.col("_size")))
-    out = out.withColumn("_count", F.expr("(_size + _len - 1) DIV _len"))
-    out = out.withColumn("_draw", F.explode(F.sequence(zero, F.lit(draws - 1).cast("bigint"))))
-    out = out.withColumn("_batch", F.explode(F.sequence(zero, F.expr(f"(_count - 1) DIV {batch}"))))
-    # Spread a large session's draws before its blocks are listed.
-    out = out.repartition(*session, "_draw", "_batch")
-    first = F.col("_batch") * batch
-    out = out.withColumn(
-        "_block", F.explode(F.sequence(first, F.least(first + batch - 1, F.col("_count") - 1)))
-    )
-    choices = F.col("_size") - F.col("_len") + 1
-    lo = block_start(F.col("_seed"), F.col("_draw"), F.col("_session"), F.col("_block"), choices)
-    left = F.col("_size") - F.col("_block") * F.col("_len")
-    out = out.withColumn("_lo", lo)
-    out = out.withColumn("_hi", F.col("_lo") + F.least(F.col("_len"), left))
-    return out.select(*session, "_draw", "_lo", "_hi")
-
-
-def _large_sessions(rows, session, group, sample_order, draws, block, schema) -> DataFrame:
-    """The same sums for sessions too large for one task.
-
-    Blocks are drawn by Spark and sent to the chunk of rows that holds their start; each
-    chunk carries the ``block - 1`` rows after it, so every block finds all its rows.
-    """
-    placed = running_total(
-        rows.drop("_size"), session, sample_order, F.lit(1).cast("bigint"), "_pos"
-    )
-    own = F.expr(f"_pos DIV {CHUNK_ROWS}")
-    needed_by_previous = (F.col("_pos") % CHUNK_ROWS < block - 1) & (own > 0)
-    placed = placed.withColumn(
-        "_chunk",
-        F.explode(F.when(needed_by_previous, F.array(own - 1, own)).otherwise(F.array(own))),
-    )
-    one = rows.select(*session, "_size", "_seed", "_session").distinct()
-    blocks = drawn_blocks(one, session, draws, block).withColumn(
-        "_chunk", F.expr(f"_lo DIV {CHUNK_ROWS}")
-    )
-
-    def chunk_sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({n: [] for n in [*group, "draw", *CARRIED]}).cast(empty)
-        left = left.sort_by("_pos")
-        first = left["_pos"][0].as_py()
-        centre = (left[c][0].as_py() for c in ("_p0", "_t0"))
-        lo, hi = (right[c].to_numpy() - first for c in ("_lo", "_hi"))
-        draw = right["_draw"].to_numpy()
-        return _emit(group, left, carried_by_draw(*_vectors(left), *centre, draw, lo, hi, draws))
-
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-    empty = pa.schema([(f.split()[0], kinds.get(f.split()[1], pa.string())) for f in schema.split(", ")])
-    keys = [*session, "_chunk"]
-    # New names keep the two sides of the grouping apart: both derive from the same rows.
-    other = [f"_of_{c}" for c in keys]
-    blocks = blocks.select(*[F.col(k).alias(o) for k, o in zip(keys, other)], "_draw", "_lo", "_hi")
-    return placed.groupBy(*keys).cogroup(blocks.groupBy(*other)).applyInArrow(chunk_sums, schema)
+    return seeded(predictions.join(centre, group), seed)
 
 
 def _estimates() -> dict[str, Column]:
@@ -284,62 +202,6 @@ def _estimates() -> dict[str, Column]:
     }
 
 
-def resampled_rows(
-    predictions: DataFrame, *, draws: int, block: int, seed: int, group: list[str], sample_order: list[str]
-) -> DataFrame:
-    """Valid rows of every resample as ``(group, draw, prediction, target, _w)``, ``_w`` times each.
-
-    For metrics that are no function of sums: draws x rows, as any exact method.
-    """
-    session = [*group, "trade_date", "session_id"]
-    fold = F.col("fold_index") if "fold_index" in predictions.columns else F.lit(0)
-    number = session_number(F.col("ticker"), F.col("trade_date"), F.col("session_id"))
-    seeds = {"_seed": (fold + seed).cast("bigint"), "_session": number}
-    extra = [c for c in sample_order if c not in session]
-    rows = predictions.withColumns(seeds).select(*session, *extra, P, T, *seeds)
-    sizes = rows.groupBy(*session, *seeds).agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0] or 0
-    # A session's resamples leave one task together, so this bounds their number.
-    limit = max(1, MAX_DRAWN_ROWS // draws)
-    schema = ", ".join(
-        [f"{g} {rows.schema[g].dataType.simpleString()}" for g in group]
-        + ["draw bigint", f"{P} double", f"{T} double", "_w bigint"]
-    )
-
-    def drawn_rows(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in sample_order])
-        p, t = _vectors(table)
-        draw, lo, hi = _all_blocks(table, len(p), draws, block)
-        edges = np.zeros((draws, len(p) + 1), dtype="int64")
-        np.add.at(edges, (draw, lo), 1)
-        np.add.at(edges, (draw, hi), -1)
-        times = np.cumsum(edges, axis=1)[:, :-1] * (np.isfinite(p) & np.isfinite(t))
-        draw, at = np.nonzero(times)
-        data = {g: pa.repeat(table[g][0], len(at)) for g in group}
-        data |= {"draw": pa.array(draw.astype("int64")), P: pa.array(p[at]), T: pa.array(t[at])}
-        return pa.table(data | {"_w": pa.array(times[draw, at])})
-
-    if largest <= limit:
-        chosen = rows.groupBy(*session).applyInArrow(drawn_rows, schema)
-    else:
-        keys = rows.join(sizes.select(*session, "_size"), session)
-        small = keys.filter(F.col("_size") <= limit).drop("_size")
-        large = keys.filter(F.col("_size") > limit).drop("_size")
-        placed = running_total(large, session, sample_order, F.lit(1).cast("bigint"), "_pos")
-        drawn = drawn_blocks(sizes.filter(F.col("_size") > limit), session, draws, block)
-        drawn = drawn.withColumn("_pos", F.explode(F.sequence("_lo", F.col("_hi") - 1)))
-        drawn = drawn.groupBy(*session, F.col("_draw").alias("draw"), "_pos").agg(
-            F.count(F.lit(1)).alias("_w")
-        )
-        joined = drawn.join(placed, [*session, "_pos"]).filter(finite_pair())
-        chosen = (
-            small.groupBy(*session)
-            .applyInArrow(drawn_rows, schema)
-            .unionByName(joined.select(*group, "draw", P, T, "_w"))
-        )
-    return chosen.select(*group, "draw", P, T, "_w")
-
-
 def session_blocks(seed: int, draw: int, session: int, size: int, block: int):
     """Blocks [lo, hi) that a draw takes from a session of ``size`` rows; the last one is cut to fit."""
     length = min(block, size)
@@ -378,17 +240,31 @@ def resampled_ranked(
     sample_order: list[str],
 ) -> DataFrame:
     """``(group, draw, metric, value)`` of a metric of sorted scores."""
+    where, chunked, how = _in_chunks(predictions, draws, block, seed, group, sample_order)
+    values = ranked_draws(where, chunked, metric, **how)
+    return values.select(*group, "draw", F.lit(name).alias("metric"), "value")
+
+
+def resampled_ranks(
+    predictions: DataFrame, *, draws: int, block: int, seed: int, group: list[str], sample_order: list[str]
+) -> DataFrame:
+    """``(group, draw, metric, value)`` of the rank correlation."""
+    where, chunked, how = _in_chunks(predictions, draws, block, seed, group, sample_order)
+    values = rank_draws(where, chunked, **how)
+    return values.select(*group, "draw", F.lit("rank_ic").alias("metric"), "value")
+
+
+def _in_chunks(predictions, draws, block, seed, group, sample_order):
+    """The rows with their seeds, how to cut them, and what tasks need to list draws."""
     session = [*group, "trade_date", "session_id"]
     rows = seeded(predictions, seed).select(*dict.fromkeys([*session, *sample_order]), P, T, "_seed", "_session")
 
     def blocks(seed: int, draw: int, session: int, size: int):
         return session_blocks(seed, draw, session, size, block)
 
-    values = ranked_draws(
-        rows, lambda r: session_chunks(r, session, sample_order, CHUNK_ROWS), metric, draws=draws,
-        per_task=max(1, MAX_DRAWN_ROWS // CHUNK_ROWS), group=group, session=session, sample_order=sample_order, blocks=blocks,
-    )
-    return values.select(*group, "draw", F.lit(name).alias("metric"), "value")
+    how = {"draws": draws, "per_task": max(1, MAX_DRAWN_ROWS // CHUNK_ROWS), "group": group, "session": session}
+    how |= {"sample_order": sample_order, "blocks": blocks}
+    return rows, lambda r: session_chunks(r, session, sample_order, CHUNK_ROWS), how
 
 
 def resampled_metrics(
@@ -476,13 +352,9 @@ def bootstrap_intervals(
         estimates = sums.select(*group, "draw", *[formulas[n].alias(n) for n in plain])
         estimates = estimates.unpivot([*group, "draw"], plain, "metric", "value")
     whole = {n: metric_by_weights(f) for n, f in opaque.items()}
-    if "rank_ic" in names and group_sizes(predictions, group) > group_draws.MAX_GROUP_ROWS:
-        # No task holds such a group: rank the drawn rows with Spark, draws x rows of them.
-        ranks = rank_correlation(resampled_rows(predictions, **drawing), [*group, "draw"], P, T, F.col("_w"))
-        ranks = ranks.unpivot([*group, "draw"], ["rank_ic"], "metric", "value")
-        estimates = ranks if estimates is None else estimates.unionByName(ranks)
-    elif "rank_ic" in names:
-        whole["rank_ic"] = rank_by_weights
+    if "rank_ic" in names:
+        own = resampled_ranks(predictions, **drawing)
+        estimates = own if estimates is None else estimates.unionByName(own)
     if whole:
         own = resampled_values(predictions, whole, **drawing)
         estimates = own if estimates is None else estimates.unionByName(own)

@@ -1,4 +1,4 @@
-"""Bootstrap statistics that are no function of sums, and opaque metrics over whole vectors.
+"""Opaque Python metrics over whole vectors, and their bootstrap draws.
 
 A task holds one group (a model's predictions of one instrument and fold) and a batch of draws. It sorts
 and ranks the values once; a draw is then a weight per row, from the starts of its blocks, and
@@ -27,24 +27,6 @@ PythonMetric = Callable[[np.ndarray, np.ndarray], float | None]
 ByWeights = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], float | None]]
 
 
-def rank_by_weights(p: np.ndarray, t: np.ndarray) -> Callable[[np.ndarray], float | None]:
-    """Spearman correlation of weighted rows. Values are sorted once; a draw takes prefix sums."""
-    coded = [np.unique(x, return_inverse=True)[1] for x in (p, t)]
-
-    def value(weights: np.ndarray) -> float | None:
-        total, sides = weights.sum(), []
-        for code in coded:
-            there = np.bincount(code, weights)
-            centred = np.cumsum(there) - there + (there + 1) / 2 - (total + 1) / 2
-            if np.count_nonzero(there) < 2:
-                return None
-            sides.append(centred[code])
-        a, b = sides
-        return float((weights * a) @ b / (np.sqrt((weights * a) @ a) * np.sqrt((weights * b) @ b)))
-
-    return value
-
-
 def metric_by_weights(metric: PythonMetric) -> ByWeights:
     """An opaque metric of the drawn rows, each as often as it was drawn."""
 

@@ -63,3 +63,12 @@ def test_column_metric_of_chunks(spark, limits):
     got, want = {r["metric"]: r for r in rows}, list(drawn(spark, p, t, 3, 9, 5))
     check(got["spread"], [np.abs(a - b).max() for a, b in want])
     check(got["bias"], [np.mean(a - b) for a, b in want])
+
+
+def test_rank_correlation_of_draws(spark, limits):
+    def ranks(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    p, t, df = table(spark, 6)
+    got = bootstrap_intervals(df, names=["rank_ic"], draws=9, block=5, seed=3).first()
+    check(got, [np.corrcoef(ranks(a), ranks(b))[0, 1] for a, b in drawn(spark, p, t, 3, 9, 5)])

@@ -176,7 +176,8 @@ def _numbered(predictions: DataFrame, seed: int, group: list[str]) -> DataFrame:
         ]
     )
     centre = centre.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("_p0", "_t0")})
-    return seeded(predictions.join(centre, group), seed)
+    # One row a group. A join by the group would sort whole groups in a task.
+    return seeded(predictions.join(F.broadcast(centre), group), seed)
 
 
 def _estimates() -> dict[str, Column]:

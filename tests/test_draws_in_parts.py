@@ -72,3 +72,15 @@ def test_rank_correlation_of_draws(spark, limits):
     p, t, df = table(spark, 6)
     got = bootstrap_intervals(df, names=["rank_ic"], draws=9, block=5, seed=3).first()
     check(got, [np.corrcoef(ranks(a), ranks(b))[0, 1] for a, b in drawn(spark, p, t, 3, 9, 5)])
+
+
+def test_no_task_joins_a_whole_group(spark, monkeypatch):
+    """The centre of a group's sums comes without a join that sorts the group's rows."""
+    p, t, df = table(spark, 7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drawing = {"draws": 3, "block": 5, "seed": 3, "group": bs.CANDIDATE, "sample_order": bs.SAMPLE}
+        plan = bs.resample_sums(df, **drawing)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from depthframe.functions import metrics as m
 from depthframe.operators.draws import PythonMetric, python_metric
+from depthframe.operators.ranked import RankedMetric, ranked_metric
 from depthframe.operators.ranks import equal_count_bins, rank_correlation
 from depthframe.schema import METRICS
 
@@ -61,6 +62,13 @@ def custom_python_metric(
     return python_metric(predictions, metric, name, list(group or CANDIDATE))
 
 
+def custom_ranked_metric(
+    predictions: DataFrame, metric: RankedMetric, name: str, group: list[str] | None = None
+) -> DataFrame:
+    """A user metric as Python functions of sorted scores; no task holds a group, whatever its size."""
+    return ranked_metric(predictions, metric, name, list(group or CANDIDATE))
+
+
 def daily_metrics(
     predictions: DataFrame, names: list[str] | None = None, group: list[str] | None = None
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from depthframe.operators import bootstrap as bs
 from depthframe.operators import ranked
 from depthframe.operators.bootstrap import bootstrap_intervals
+from depthframe.plans import evaluate as ev
 from depthframe.registry.evaluation_queries import TAIL_ERROR, tail_error
 from tests.test_evaluation import frame, naive_draws
 
@@ -84,3 +85,12 @@ def test_no_task_joins_a_whole_group(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_ranked_metric_of_a_group_beyond_one_task(spark, limits):
+    p, t, df = table(spark, 8)
+    ok = np.isfinite(p) & np.isfinite(t)
+    got = ev.custom_ranked_metric(df, TAIL_ERROR, "tail").first()["tail"]
+    assert got == pytest.approx(tail_error(p[ok], t[ok]))
+    few = ev.custom_ranked_metric(df.limit(3), TAIL_ERROR, "tail").collect()
+    assert all(r["tail"] is not None for r in few)
